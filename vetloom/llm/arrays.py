@@ -9,8 +9,11 @@ one of those.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
@@ -25,6 +28,7 @@ _WORD_BASE = 0xC2B2AE3D27D4EB4F
 _MIX_1, _MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 #: Bytes that one pass of the byte-level hash handles; bounds its temporary arrays.
 PASS_BYTES = 1 << 20
+_NOTHING, _BLANK = pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary())
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +61,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def normal_words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts, each with one space behind it; their spans; each text's first word."""
+    spaced = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_binary()), b""), _NOTHING, _BLANK)
+    data, offsets = text_buffer(spaced)
+    solid = ~SPACE[data]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    norm = data[keep]
+    norm[SPACE[norm]] = 0x20
+    kept = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=kept[1:])
+    ends = np.flatnonzero(norm == 0x20)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1]) if len(ends) else ends
+    return norm, starts, ends, np.searchsorted(starts, kept[offsets])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values."""
     h = h ^ (h >> U64(33))
@@ -185,6 +205,20 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``size`` bytes each, one row at least."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def text_steps(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a text column that hold about ``size`` bytes each."""
+    return steps(text_buffer(column)[1], size)
+
+
 def blobs(items: list[bytes]) -> pa.Array:
     """A binary column."""
     return pa.array(items, pa.binary())

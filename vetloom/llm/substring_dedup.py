@@ -54,7 +54,6 @@ HEAVY_LIST = 1 << 20
 #: Runs that a task of the counting pass gathers before it reports.
 COUNT_PART = 1 << 21
 LAST = np.iinfo(np.int64).max
-NOTHING, BLANK = pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary())
 
 
 @dataclass
@@ -75,22 +74,6 @@ class Split:
     rep_bucket: np.ndarray
 
 
-def _normal(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts, each with one space behind it; their spans; each text's first word."""
-    spaced = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_binary()), b""), NOTHING, BLANK)
-    data, offsets = A.text_buffer(spaced)
-    solid = ~A.SPACE[data]
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]
-    norm = data[keep]
-    norm[A.SPACE[norm]] = 0x20
-    kept = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=kept[1:])
-    ends = np.flatnonzero(norm == 0x20)
-    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1]) if len(ends) else ends
-    return norm, starts, ends, np.searchsorted(starts, kept[offsets])
-
-
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
     return A.gram_hashes(words, n) >> A.U64(1)
 
@@ -103,7 +86,7 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def split(ids: np.ndarray, column: pa.ChunkedArray, window: int, minimiser: int, heavy: np.ndarray, buckets: int) -> Split:
     """Splits the texts, which are in the order of their ids, into super-k-mers."""
-    norm, starts, ends, doc_first = _normal(column)
+    norm, starts, ends, doc_first = A.normal_words(column)
     words = A.span_hashes(norm, starts, ends)
     counts = np.maximum(0, np.diff(doc_first) - window + 1)
     windows = A.concat_ranges(doc_first[:-1], counts)
@@ -262,7 +245,7 @@ def _counter(minimiser: int, threshold: float):
             data, offsets = A.text_buffer(batch.column(0))
             while step < batch.num_rows:
                 stop = max(step + 1, int(np.searchsorted(offsets, offsets[step] + CHUNK_BYTES // 2)))
-                norm, starts, ends, doc_first = _normal(pa.chunked_array([batch.column(0).slice(step, stop - step)]))
+                norm, starts, ends, doc_first = A.normal_words(pa.chunked_array([batch.column(0).slice(step, stop - step)]))
                 runs = _runs(A.span_hashes(norm, starts, ends), minimiser)
                 inside = A.concat_ranges(doc_first[:-1], np.maximum(0, np.diff(doc_first) - minimiser + 1))
                 gathered.append(runs[inside] if len(runs) else runs)
