@@ -67,11 +67,11 @@ def _encoder(path: str, pattern: str):
     """Replaces the last column, a text, by its ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.by_ranks(path, pattern)
+        to_ids = tokens.by_ranks(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for part in _steps(texts):
-                ids = cache.ids(texts[part])
+                ids = to_ids(texts[part])
                 rest = [c.slice(part.start, part.stop - part.start) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary())], [*batch.schema.names[:-1], "ids"])
 

@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_i
     """One row for each piece, with the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.by_tokenizer(path)
+        encode = tokens.by_tokenizer(path)
         names = ["_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_i
                     size += len(texts[stop])
                     stop += 1
                 rows = []
-                for key, ids in zip(keys[start:stop], cache.ids(texts[start:stop]), strict=True):
+                for key, ids in zip(keys[start:stop], encode(texts[start:stop]), strict=True):
                     ids += bytes(4)
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]

@@ -1,52 +1,25 @@
-"""Token ids of whole texts through an exact cache of the pieces between spaces.
-
-A pre-token of the byte-level patterns holds a space at its start only, or is
-white space alone.  So a text can be cut before each space, and the ids of the
-pieces, one behind the other, are those of the text.  The exception is white
-space in runs: within ``\\s\\s\\s`` or ``\\s\\s`` at the end, a cut could fall
-into a run that the pattern takes whole.  Such texts go to the encoder uncut.
-Each worker keeps the ids of the pieces it has met, up to :data:`LIMIT`.
+"""Token ids of whole texts, as little-endian unsigned 32-bit integers.
+
+A vocabulary is given as ranks, or as a tokenizer file.  A tokenizer file that
+is plain byte-level BPE whose merges come in the order of their ids is the same
+thing as ranks, and is run as such, which is several times faster; any other
+file is run by its own library.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import json
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: Entries of a worker's cache; it is emptied beyond them.
-LIMIT = 300_000
-_RUN = re.compile(r"\s\s(?:\s|\Z)")
+#: How byte-level tokenizer files split texts.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ID = np.dtype("<u4")
 
-
-class PieceCache:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]) -> None:
-        self.encode_many = encode_many
-        self.inner: dict[str, bytes] = {}  # pieces behind a space, without it
-        self.heads: dict[str, bytes] = {}  # pieces at the start of a text
-
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], before: str) -> None:
-        if len(cache) + len(wanted) > LIMIT:
-            cache.clear()
-        if new := sorted(wanted - cache.keys()):
-            for piece, ids in zip(new, self.encode_many([before + p for p in new]), strict=True):
-                cache[piece] = np.array(ids, _ID).tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        self._learn(self.heads, {c[0] for c in cut if c}, "")
-        self._learn(self.inner, set(chain.from_iterable(c[1:] for c in cut if c)), " ")
-        whole = iter(self.encode_many([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.inner.__getitem__
-        return [self.heads[c[0]] + b"".join(map(get, c[1:])) if c else np.array(next(whole), _ID).tobytes() for c in cut]
+Encoder = Callable[[list[str]], list[bytes]]
 
 
 @lru_cache(maxsize=2)
@@ -56,18 +29,50 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def by_ranks(path: str, pattern: str) -> PieceCache:
-    """Byte-level BPE by ranks; strings of special tokens are ordinary text."""
+def _encoder(own: dict[bytes, int], pattern: str) -> Encoder:
     import tiktoken
 
-    encoding = tiktoken.Encoding("by_ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
-    return PieceCache(lambda texts: [encoding.encode_ordinary(t) for t in texts])
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own, special_tokens={})
+    return lambda texts: [encoding.encode_to_numpy(t, disallowed_special=()).astype(_ID, copy=False).tobytes() for t in texts]
+
+
+@lru_cache(maxsize=2)
+def by_ranks(path: str, pattern: str) -> Encoder:
+    """Byte-level BPE by ranks; strings of special tokens are ordinary text."""
+    return _encoder(ranks(path), pattern)
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def file_ranks(path: str) -> dict[bytes, int] | None:
+    """The ranks that a tokenizer file amounts to, null if it is not of that kind."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or not level or file.get("normalizer"):
+        return None
+    byte_of, vocab = _byte_of(), model["vocab"]
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    own = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    if made != sorted(set(made)) or len(own) != 256 + len(made) or any(i >= made[0] for t, i in own.items() if len(t) == 1):
+        return None
+    return own
 
 
 @lru_cache(maxsize=2)
-def by_tokenizer(path: str) -> PieceCache:
+def by_tokenizer(path: str) -> Encoder:
     """A tokenizer file; strings of special tokens are ordinary text."""
+    if (own := file_ranks(path)) is not None:
+        return _encoder(own, BYTE_LEVEL)
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -75,4 +80,4 @@ def by_tokenizer(path: str) -> PieceCache:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return PieceCache(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return lambda texts: [np.array(x.ids, _ID).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
