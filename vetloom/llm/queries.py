@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, media, packing, simhash, substring_dedup
+from . import bpe, frames, media, oracles, packing, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = frames.checkpointed(warc.normalise(warc.write(_table(spark, sf_dir, "pages"))))
+    return warc.read(archives, payloads=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media": op2_media,
     "op5_packing": op5_packing,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op10_warc": oracles.OP10,
+}
