@@ -68,7 +68,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
 def _writer(tables: pa.Table, revisits: pa.Table) -> pa.Table:
     if not tables.num_rows:
         return pa.table({"name": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
-    again = {(i, s): r for i, s, r in zip(*(revisits[c].to_pylist() for c in ("_id", "_sha", "_refers")), strict=True)}
+    again = {(i, s): r for i, s, r in zip(*(revisits[c].to_pylist() for c in ("_page", "_key", "_refers")), strict=True)}
     out = zlib.compressobj(LEVEL, wbits=31)
     parts = []
     for page_id, url, sha, payload in zip(*(tables[c].to_pylist() for c in ("_id", "_url", "_sha", "_payload")), strict=True):
@@ -87,8 +87,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = rows.withColumn("_shard", frames.dealt(F.struct("_id", "_sha"), frames.parts(total, SHARD_BYTES)))
     sums = rows.filter(F.octet_length("_payload") >= min_bytes).select("_id", "_sha", "_shard")
     most = sums.groupBy("_sha").agg(F.max("_id").alias("_refers"), F.count("*").alias("_n")).filter("_n > 1 and _refers is not null").drop("_n")
-    revisits = sums.join(most, "_sha").filter("_id is null or _id < _refers").select("_shard", "_id", "_sha", "_refers").distinct()
-    return rows.groupBy("_shard").cogroup(revisits.groupBy("_shard")).applyInArrow(_writer, "name string, content binary")
+    revisits = sums.join(most, "_sha").filter("_id is null or _id < _refers").select(F.col("_shard").alias("_at"), F.col("_id").alias("_page"), F.col("_sha").alias("_key"), "_refers").distinct()
+    return rows.groupBy("_shard").cogroup(revisits.groupBy("_at")).applyInArrow(_writer, "name string, content binary")
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
