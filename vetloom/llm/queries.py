@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, frames, media, oracles, packing, simhash, substring_dedup, warc
+from . import bpe, frames, kdtree, media, oracles, packing, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -63,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media": op2_media,
+    "op4_top_k": op4_top_k,
     "op5_packing": op5_packing,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
+    "op4_top_k": oracles.OP4,
     "op10_warc": oracles.OP10,
 }
