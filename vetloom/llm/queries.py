@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, frames, kdtree, lm, media, oracles, packing, simhash, substring_dedup, warc
+from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels, quality.graded(labels)))
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= quality.KEEP).alias("keep"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +54,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -71,8 +82,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media": op2_media,
+    "op3_quality": op3_quality,
     "op4_top_k": op4_top_k,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
