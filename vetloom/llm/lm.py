@@ -6,7 +6,8 @@ tokens, where ``v`` is the token before.  The weights depend on the bucket of
 ``c(v)`` (its power of two).
 
 1. Texts are dealt into chunks.  Each chunk sends its distinct words and word
-   pairs, as sorted 64-bit hashes with their counts, to buckets by range.
+   pairs, as sorted hashes (64 and 48 bits) with their counts, to buckets by
+   range.
 2. Buckets add up the counts over all chunks and answer each chunk's keys.
 3. A tenth of the training texts is the held-out part: their tokens are looked
    up in the counts without that tenth.  Expectation-maximisation learns the
@@ -19,8 +20,9 @@ A chunk counts a key once, so a frequent word is one row of each chunk.
 Contract: null text counts as empty and has the end as its only token.  Rows
 with a null id are scored but not learned from.  Repeated rows are learned from
 each time and each get a row.  Other columns are not carried.  Without training
-texts the model is uniform.  Two keys with equal hashes would share a count; at
-a billion keys that is expected for fewer than one pair in thirty tables.
+texts the model is uniform.  Keys with equal hashes would share a count: at a
+billion distinct words that is expected once in thirty corpora, and at a
+billion distinct word pairs for four in a million of them.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import frames
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 #: Text for which there is one bucket.
 BUCKET_BYTES = 4 << 20
 ADD = 0.1
+#: Bits of a word pair's hash; they make up most of what is shuffled.
+PAIR_BITS = 48
 #: Of ids' checksums modulo FOLDS: that of texts left out of the training, and that of the held-out part of it.
 FOLDS, LEFT_OUT, DELETED = 10, 0, 1
 #: Buckets of context counts, and cells of the histogram for each estimate (cell 0: zero).
@@ -75,12 +79,12 @@ def grams(column: pa.ChunkedArray) -> Grams:
     before[first] = _START
     number = np.full(len(tokens), -1)
     number[place] = word
-    pairs, pair = np.unique(A.mix(before * _PAIR + tokens * _NEXT), return_inverse=True)
+    pairs, pair = np.unique(A.mix(before * _PAIR + tokens * _NEXT) >> np.uint64(64 - PAIR_BITS), return_inverse=True)
     return Grams(words, pairs, number, pair, np.repeat(np.arange(len(n)), size), first)
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+def _bounds(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
@@ -101,9 +105,9 @@ def _emitter(buckets: int):
         learn, deleted = ((fold != LEFT_OUT) & (fold >= 0))[g.text], (fold == DELETED)[g.text]
         inner = g.word >= 0
         rows = []
-        for kind, keys, number, used in ((0, g.words, g.word, inner), (1, g.pairs, g.pair, np.ones(len(inner), bool))):
+        for kind, bits, keys, number, used in ((0, 64, g.words, g.word, inner), (1, PAIR_BITS, g.pairs, g.pair, np.ones(len(inner), bool))):
             counts = [np.bincount(number[used & which], minlength=len(keys)).astype(np.uint32) for which in (learn, deleted)]
-            edges = np.append(np.searchsorted(keys, _bounds(buckets)), len(keys))
+            edges = np.append(np.searchsorted(keys, _bounds(buckets, bits)), len(keys))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 some = slice(edges[b], edges[b + 1])
                 rows.append((2 * b + kind, A.pack(_deltas(keys[some]), counts[0][some], counts[1][some])))
