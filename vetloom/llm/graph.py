@@ -32,15 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars link the larger neighbours of a node to its smallest neighbour,
     small stars the others.  The links are written to the checkpoint folder
     after each round; the rounds grow with the logarithm of the number of nodes.
+    A node's smallest neighbour is written before the join that needs it: then
+    both sides of the join are plain shuffles, and Spark can split the part of a
+    node with very many links.
     """
     stars = frames.checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while (now := _state(stars)) != before:
         before = now
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = frames.checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = frames.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = frames.checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
     roots = stars.select(F.col("v").alias("node")).distinct()

@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = frames.checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least")))
     roots = graph.components(trie_edges(distinct, budget))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    # written first, so that the join's sides are plain shuffles, of which a large component's part can be split
+    least = frames.checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = rooted.join(least, "root").select("fp", "component_id")
     done = rows.join(named, "fp")
     return done.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
