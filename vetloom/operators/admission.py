@@ -83,7 +83,7 @@ def admit(candidates: DataFrame, held: DataFrame | None = None, finish: int = FI
         done = done.unionByName(wins.select("o.*"))
         open_ = checkpointed(open_.join(settled, order, "left_anti"))
     if n:
-        done = done.unionByName(open_.groupBy(F.lit(0)).applyInPandas(_greedy, "a long, b long"))
+        done = done.unionByName(open_.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy, "a long, b long"))
     return done
 
 
