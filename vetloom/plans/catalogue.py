@@ -268,10 +268,10 @@ def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.best_fields(extract.page_fields(layout.pages(corpus.tokens(spark, sf_dir))))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount DESC, l_linenumber) AS n FROM lineitem)
-SELECT l_orderkey::VARCHAR AS doc_id, l_returnflag AS field, l_linestatus || l_partkey::VARCHAR AS value, l_discount AS confidence FROM r WHERE n = 1""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount DESC, l_linenumber, l_partkey) AS n FROM lineitem)
+SELECT l_orderkey::VARCHAR AS doc_id, l_returnflag AS field, l_partkey::VARCHAR AS value, l_discount AS confidence FROM r WHERE n = 1""")
 def best_field_across_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_returnflag").alias("field"), F.concat("l_linestatus", F.col("l_partkey").cast("string")).alias("value"), F.col("l_discount").alias("confidence"), F.col("l_linenumber").alias("page_no"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_returnflag").alias("field"), F.col("l_partkey").cast("string").alias("value"), F.col("l_discount").alias("confidence"), (F.col("l_linenumber") * F.lit(1 << 32) + F.col("l_partkey")).alias("page_no"))
     return extract.best_fields(rows)
 
 
