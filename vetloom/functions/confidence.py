@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def exact(recognised: Column | float) -> Column:
     """For a strict match: three fifths pattern, at least 0.9."""
@@ -21,4 +23,4 @@ def repaired(recognised: Column | float) -> Column:
 def hit(value: Column, confidence: Column | float) -> Column:
     """A field, null if there is no value."""
     c = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), c.cast("double").alias("confidence")))
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), c.cast("double").alias("confidence"))))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first, let
+from .text import first, first_of, let
 
 # The formats.
 PAN = "[A-Z]{5}[0-9]{4}[A-Z]"
@@ -97,7 +97,7 @@ def repair_gstin(word: Column) -> Column:
     one, then a repair without.
     """
     guesses = F.array(*[F.concat(F.lit(p), word) for p in "0123"], *[F.concat(word, F.lit(s)) for s in "Z50"])
-    short = first(F.transform(guesses, repair_format), has_checksum)
+    short = first_of(guesses, lambda g: let(repair_format(g), lambda r: F.when(has_checksum(r), r)))
     valid = lambda x: has_checksum(x) & is_format(x, GSTIN)
-    long = let(repair_format(word), lambda r: F.when(has_checksum(r), r).otherwise(F.coalesce(first(variants(F.coalesce(r, word)), valid), r)))
+    long = let(repair_format(word), lambda r: F.when(has_checksum(r), r).otherwise(F.coalesce(let(F.coalesce(r, word), lambda w: first(variants(w), valid)), r)))
     return F.when(F.length(word) == 14, short).when(F.length(word) == 15, long)

@@ -45,9 +45,14 @@ def after(text: Column, separator: str) -> Column:
     return strip(F.substring(text, F.instr(text, separator) + len(separator), F.length(text)))
 
 
-def first(candidates: Column, test: Callable[[Column], Column]) -> Column:
-    """The first of an array that passes, null if none does."""
-    return F.get(F.filter(candidates, test), F.lit(0))
+def first_of(items: Column, body: Callable[[Column], Column], kind: str = "string") -> Column:
+    """The first ``body(item)`` that is not null; nothing is computed for the items behind it."""
+    return F.aggregate(items, F.lit(None).cast(kind), lambda found, x: F.coalesce(found, body(x).cast(kind)))
+
+
+def first(candidates: Column, test: Callable[[Column], Column], kind: str = "string") -> Column:
+    """The first of an array that passes, null if none does; the test stops there."""
+    return first_of(candidates, lambda x: F.when(test(x), x), kind)
 
 
 def windows(text: Column, size: int, count: Column) -> Column:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from vetloom.functions import identifiers as ids
 from vetloom.functions.confidence import exact, hit, repaired
 from vetloom.functions.similarity import closest
-from vetloom.functions.text import LONG_NUMBER, after, filled, find, find_date, first, has_any, let, strip, windows, without, words
+from vetloom.functions.text import LONG_NUMBER, after, filled, find, find_date, first, first_of, has_any, let, strip, windows, without, words
 
 from . import classify, layout
-from .layout import anchor, cleaned
+from .layout import cleaned
 
 #: Registration types of a taxpayer (fixed values).
 REGISTRATION_TYPES = ["Regular", "Composition", "Casual Taxable Person", "SEZ Unit", "SEZ Developer", "Input Service Distributor"]
@@ -44,8 +44,12 @@ TITLES = r"(?i)^(MR\.?|MRS\.?|MS\.?|M/S\.?|SHRI\.?|SMT\.?)\s*"
 FIELD = "struct<value:string,confidence:double>"
 
 
+_NUMBER = {name: i for i, name in enumerate(ANCHORS)}
+
+
 def at(name: str) -> Column:
-    return F.col(f"at.{name}")
+    """The line of an anchor, null if there is none."""
+    return F.get("at", F.lit(_NUMBER[name]))
 
 
 def line(number: Column) -> Column:
@@ -56,7 +60,7 @@ def line(number: Column) -> Column:
 def prepared(pages: DataFrame) -> DataFrame:
     """Adds marks, and ``at``: the line of each anchor."""
     marked = layout.marked(pages, KEYWORDS)
-    return marked.withColumn("at", F.struct(*[anchor(*k).alias(n) for n, k in ANCHORS.items()]))
+    return marked.withColumn("at", layout.anchors(*ANCHORS.values()))
 
 
 def no_digit(text: Column) -> Column:
@@ -75,9 +79,9 @@ def find_pan(text: Column) -> Column:
     upper = F.upper(text)
     spaced = find(upper, r"\s*".join(["[A-Z]"] * 5 + ["[0-9]"] * 4 + ["[A-Z]"]))
     cleans = F.transform(words(text), cleaned)
-    whole = first(F.transform(cleans, ids.repair_pan), lambda x: x.isNotNull())
+    whole = first_of(cleans, ids.repair_pan)
     parts = F.flatten(F.transform(F.filter(cleans, lambda c: F.length(c) > 10), lambda c: windows(c, 10, F.length(c) - 9)))
-    part = first(F.transform(parts, ids.repair_pan), lambda x: x.isNotNull())
+    part = first_of(parts, ids.repair_pan)
     return F.coalesce(hit(find(upper, ids.PAN), exact(0.9)), hit(F.replace(spaced, F.lit(" "), F.lit("")), exact(0.85)), hit(whole, repaired(0.8)), hit(part, repaired(0.75)))
 
 
@@ -86,7 +90,7 @@ def pan_by_anchor() -> Column:
 
     def on(one: Column) -> Column:
         def by_text(clean: Column) -> Column:
-            fixed = first(F.transform(windows(clean, 10, F.length(clean) - 10), ids.repair_pan), lambda x: x.isNotNull())
+            fixed = first_of(windows(clean, 10, F.length(clean) - 10), ids.repair_pan)
             return F.coalesce(hit(find(clean, ids.PAN), exact(one["confidence"])), hit(fixed, repaired(one["confidence"])))
 
         return let(cleaned(one["text"]), by_text)
@@ -122,7 +126,7 @@ def pan_name() -> Column:
 
     best = F.array_max(F.filter(F.transform(region, scored), lambda x: x.isNotNull()))
     person = first(F.col("persons"), lambda p: F.length(p) > 3)
-    return F.coalesce(hit(inline, label["confidence"]), hit(below, following["confidence"]), hit(best["value"], best["confidence"]), hit(person, 0.65))
+    return F.coalesce(hit(inline, label["confidence"]), hit(below, following["confidence"]), let(best, lambda b: hit(b["value"], b["confidence"])), hit(person, 0.65))
 
 
 # --- tax registrations ----------------------------------------------------
@@ -144,7 +148,7 @@ def labelled(name: str, stop: Sequence[str]) -> Column:
     bare = F.when(~colon & F.contains(text, F.lit(" ")) & _longer(rest, 3) & free(rest), rest)
     below = F.when(free(following["text"]) & free(following["text"], labels), filled(following["text"]))
     found = F.coalesce(hit(same, one["confidence"]), hit(bare, one["confidence"] * 0.8), hit(below, following["confidence"]))
-    return F.when(found.isNotNull(), F.struct(found["value"].alias("value"), F.greatest(found["confidence"], F.lit(0.91)).alias("confidence")))
+    return let(found, lambda x: hit(x["value"], F.greatest(x["confidence"], F.lit(0.91))))
 
 
 def tidy_name(value: Column) -> Column:
@@ -155,7 +159,7 @@ def tidy_name(value: Column) -> Column:
 
 def legal_name() -> Column:
     found = F.coalesce(labelled("legal", ["TRADE", "ADDRESS", "CONSTITUTION"]), labelled("trade", ["ADDRESS", "CONSTITUTION"]), labelled("taxpayer", ["ADDRESS"]))
-    return hit(tidy_name(found["value"]), found["confidence"])
+    return let(found, lambda x: hit(tidy_name(x["value"]), x["confidence"]))
 
 
 def address() -> Column:
@@ -172,7 +176,7 @@ def gstin_on(one: Column) -> Column:
             windows(clean, 14, F.least(F.lit(3), size - 13)),
             F.transform(F.regexp_extract_all(clean, F.lit("[A-Z0-9]{14,}"), 0), lambda w: F.substring(w, 1, 15)),
         )
-        fixed = first(F.transform(tries, ids.repair_gstin), lambda x: x.isNotNull())
+        fixed = first_of(tries, ids.repair_gstin)
         return F.coalesce(hit(find(clean, ids.GSTIN), exact(one["confidence"])), hit(fixed, repaired(one["confidence"])))
 
     text = without(F.upper(one["text"]), r"\s+")
@@ -196,10 +200,9 @@ def gstin_candidates() -> Column:
         return F.flatten(F.transform(labels(all_), of))
 
     entity = find(F.col("text"), r"\S*" + ids.GSTIN + r"\S*")
-    fuzzy = first(F.transform(F.regexp_extract_all(upper, F.lit("[A-Z0-9]{15}"), 0), ids.repair_gstin), lambda x: x.isNotNull())
+    fuzzy = first_of(F.regexp_extract_all(upper, F.lit("[A-Z0-9]{15}"), 0), ids.repair_gstin)
     start = F.coalesce(at("gstin"), at("gst"), at("certificate"), at("tax_reg"))
-    around = F.transform(F.array(*[F.lit(i) for i in (0, 1, -1, 2, -2, 3, -3)]), lambda i: gstin_on(line(start + i)))
-    by_anchor = first(around, lambda x: x.isNotNull())
+    by_anchor = first_of(F.array(*[F.lit(i) for i in (0, 1, -1, 2, -2, 3, -3)]), lambda i: gstin_on(line(start + i)), FIELD)
     groups = ["[0-9]"] * 2 + ["[A-Z]"] * 5 + ["[0-9]"] * 4 + ["[A-Z]", "[A-Z0-9]", "Z", "[A-Z0-9]"]
     spaced = without(find(upper, r"\s*".join(groups)), r"\s")
     others = F.array(hit(entity, exact(0.8)), hit(fuzzy, repaired(0.75)), by_anchor, hit(spaced, exact(0.85)))
@@ -221,13 +224,13 @@ def ifsc() -> Column:
 
     def on(one: Column) -> Column:
         def by_text(clean: Column) -> Column:
-            fixed = first(F.transform(F.regexp_extract_all(clean, F.lit("[A-Z0-9]{11}"), 0), ids.repair_ifsc), lambda x: x.isNotNull())
+            fixed = first_of(F.regexp_extract_all(clean, F.lit("[A-Z0-9]{11}"), 0), ids.repair_ifsc)
             return F.coalesce(hit(find(clean, ids.IFSC), exact(one["confidence"])), hit(fixed, repaired(one["confidence"])))
 
         return let(without(without(F.upper(one["text"]), r"\b(IFSC|CODE)\b"), "[^A-Z0-9]"), by_text)
 
     anywhere = F.when(start.isNotNull(), find(F.col("text"), ids.IFSC))
-    return F.coalesce(*[on(line(start + i)) for i in (0, 1, -1)], hit(anywhere, 0.95))
+    return F.coalesce(first_of(F.array(*[F.lit(i) for i in (0, 1, -1)]), lambda i: on(line(start + i)), FIELD), hit(anywhere, 0.95))
 
 
 def account_number() -> Column:
@@ -253,16 +256,16 @@ def _named(name: str) -> Column:
         rest = F.upper(text)
         for word in [*words_, "ACCOUNT"]:
             rest = without(rest, rf"\b{word}\b")
-        rest = strip(rest)
-        rest = F.when(_longer(rest, 2) & no_digit(rest), rest)
+        rest = let(strip(rest), lambda r: F.when(_longer(r, 2) & no_digit(r), r))
     value = person(F.when(F.contains(text, F.lit(":")), after(text, ":")).when(dash, after(text, "-")).otherwise(rest))
     fine = lambda v: _longer(v, 2) & ~F.contains(v, F.lit("..."))
-    under = person(following["text"])
-    return F.coalesce(hit(F.when(fine(value), value), one["confidence"]), hit(F.when(fine(under) & no_digit(under), under), following["confidence"]))
+    own = let(value, lambda v: F.when(fine(v), v))
+    under = let(person(following["text"]), lambda v: F.when(fine(v) & no_digit(v), v))
+    return F.coalesce(hit(own, one["confidence"]), hit(under, following["confidence"]))
 
 
 def _plain(value: Column) -> Column:
-    return F.when(_longer(value, 3) & no_digit(value), value)
+    return let(value, lambda v: F.when(_longer(v, 3) & no_digit(v), v))
 
 
 def payee() -> Column:
@@ -271,9 +274,9 @@ def payee() -> Column:
     above = []
     for i in (1, 2):
         one = line(sign - i)
-        value = person(one["text"])
-        above.append(hit(_plain(F.when(~has_any(F.upper(value), ["FOR ", "YOURS"]), value)), one["confidence"]))
-    relative = F.transform("lines", lambda x: hit(_plain(person(filled(F.regexp_extract(x["text"], r"(?i)([A-Za-z.\s]+)\s+(S/O|D/O|W/O)\s+", 1)))), x["confidence"]))
+        value = let(person(one["text"]), lambda v: F.when(~has_any(F.upper(v), ["FOR ", "YOURS"]), v))
+        above.append(hit(_plain(value), one["confidence"]))
+    relative = first_of(F.col("lines"), lambda x: hit(_plain(person(filled(F.regexp_extract(x["text"], r"(?i)([A-Za-z.\s]+)\s+(S/O|D/O|W/O)\s+", 1)))), x["confidence"]), FIELD)
     told = []
     for name in ("certify", "account_of", "request_of"):
         one, following = line(at(name)), line(at(name) + 1)
@@ -283,12 +286,11 @@ def payee() -> Column:
     def greeted(one: Column) -> Column:
         text = strip(one["text"])
         value = person(F.when(text.rlike(r"(?i)^(MR\.|MRS\.|MS\.|SHRI|SMT)\s+[A-Z\s]+$"), text))
-        return hit(_plain(F.when(~F.contains(F.upper(value), F.lit("MANAGER")), value)), one["confidence"])
+        return hit(_plain(let(value, lambda v: F.when(~F.contains(F.upper(v), F.lit("MANAGER")), v))), one["confidence"])
 
-    some = lambda fields: first(fields, lambda x: x.isNotNull())
     entity = first(F.transform("persons", strip), lambda p: (F.length(p) >= 4) & ~has_any(F.upper(p), OFFICE_WORDS))
     entity = F.when(has_any(F.upper("text"), ["CERTIFY", "BANK"]), entity)
-    return F.coalesce(*[_named(n) for n in ("holder_name", "account_holder", "beneficiary", "customer", "pay")], *above, some(relative), *told, some(F.transform("lines", greeted)), hit(entity, 0.70))
+    return F.coalesce(*[_named(n) for n in ("holder_name", "account_holder", "beneficiary", "customer", "pay")], *above, relative, *told, first_of(F.col("lines"), greeted, FIELD), hit(entity, 0.70))
 
 
 # --- documents ------------------------------------------------------------
@@ -297,8 +299,8 @@ def payee() -> Column:
 def page_fields(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, document_type, field, value, confidence) for all fields of pages with a type.
 
-    Each kind of document has a branch of its own, so that rules only run on
-    pages of their kind, and the fuzzy anchors only on pages with a kind.
+    Pages are read once; a page's type decides which rules run on it.  The
+    similarity functions see only pages with a type and values that need them.
     """
     if "persons" not in pages.columns:
         pages = pages.withColumn("persons", F.lit(None).cast("array<string>"))
@@ -309,16 +311,14 @@ def page_fields(pages: DataFrame) -> DataFrame:
         "GST": {"gstin": best_gstin(gstin_candidates()), "legal_name": legal_name(), "address": address(), "registration_date": date, "registration_type": labelled("reg_type", ["DATE", "ADDRESS", "LEGAL"])},
         "CHEQUE": {"payee_name": payee(), "account_number": account_number(), "ifsc_code": ifsc()},
     }
-    out = None
+    each = F.when(F.lit(False), F.array().cast(f"array<struct<field:string,hit:{FIELD}>>"))
     for kind, fields in rules.items():
-        some = typed.filter(F.col("document_type") == kind)
-        each = F.array(*[F.struct(F.lit(n).alias("field"), f.cast(FIELD).alias("hit")) for n, f in fields.items()])
-        rows = some.select(*layout.PAGE, "document_type", F.explode(each).alias("x")).select(*layout.PAGE, "document_type", "x.field", "x.hit.value", "x.hit.confidence").filter("value is not null")
-        if kind == "GST":
-            snapped = F.coalesce(closest(REGISTRATION_TYPES)(F.when(F.col("field") == "registration_type", F.col("value"))), F.col("value"))
-            rows = rows.withColumn("value", snapped)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        each = each.when(F.col("document_type") == kind, F.array(*[F.struct(F.lit(n).alias("field"), f.cast(FIELD).alias("hit")) for n, f in fields.items()]))
+    # outer: for the other kind the optimizer would repeat all rules in a filter below it
+    rows = typed.select(*layout.PAGE, "document_type", each.alias("_each")).select(*layout.PAGE, "document_type", F.explode_outer("_each").alias("x"))
+    found = rows.select(*layout.PAGE, "document_type", "x.field", "x.hit.value", "x.hit.confidence").filter("value is not null")
+    snapped = closest(REGISTRATION_TYPES)(F.when(F.col("field") == "registration_type", F.col("value")))
+    return found.withColumn("value", F.coalesce(snapped, "value"))
 
 
 def best_fields(fields: DataFrame) -> DataFrame:

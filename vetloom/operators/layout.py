@@ -89,11 +89,15 @@ def marked(pages_: DataFrame, keywords: list[str], fuzzy: bool = True) -> DataFr
     return near.withColumn("marks", F.zip_with(inside, "_near", lambda a, b: F.array_union(a, b))).drop("_near")
 
 
-def anchor(*keywords: str) -> Column:
-    """The number (from 0) of the first line with all keywords, null if there is none."""
-    wanted = F.array(*[F.lit(k) for k in keywords])
-    found = F.array_position(F.transform("marks", lambda m: F.size(F.array_intersect(m, wanted)) == len(keywords)), F.lit(True))
-    return F.when(found > 0, (found - 1).cast("int"))
+def anchors(*sets: list[str]) -> Column:
+    """For each set of keywords, the number (from 0) of the first line with all of them, null if there is none.
+
+    This is one expression over all sets: a struct of them would be taken
+    apart by the optimizer and repeated wherever a rule uses an anchor.
+    """
+    wanted = F.array(*[F.array(*[F.lit(k) for k in some]) for some in sets])
+    first = lambda some: F.array_position(F.transform("marks", lambda m: F.size(F.array_intersect(m, some)) == F.size(some)), F.lit(True))
+    return F.transform(wanted, lambda some: F.nullif(first(some), F.lit(0)).cast("int") - 1)
 
 
 def label_value_pairs(tokens: DataFrame, labels: tuple[str, ...] = GSTIN_LABELS, least: int = 14) -> DataFrame:

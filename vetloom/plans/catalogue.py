@@ -239,25 +239,26 @@ def spatial_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.label_value_pairs(corpus.tokens(spark, sf_dir))
 
 
-def _anchors(fuzzy: bool) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        marked = layout.marked(layout.pages(corpus.tokens(spark, sf_dir)), extract.KEYWORDS, fuzzy)
-        return marked.select("doc_id", "page_no", *[layout.anchor(*extract.ANCHORS[n]).alias(n) for n in ("name", "income_tax", "legal", "gst", "reg_type", "ifsc_code", "holder_name", "account_no")])
+_SHOWN = ("name", "income_tax", "legal", "gst", "reg_type", "ifsc_code", "holder_name", "account_no")
 
-    return run
+
+def _anchors(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    marked = layout.marked(layout.pages(corpus.tokens(spark, sf_dir)), extract.KEYWORDS, fuzzy)
+    rows = marked.select("doc_id", "page_no", layout.anchors(*[extract.ANCHORS[n] for n in _SHOWN]).alias("at"))
+    return rows.select("doc_id", "page_no", *[F.get("at", F.lit(i)).alias(n) for i, n in enumerate(_SHOWN)])
 
 
 _ANCHOR = lambda n: "min(CASE WHEN " + " AND ".join(f"contains(upper(line), '{k}')" for k in extract.ANCHORS[n]) + f" THEN line_no END)::INTEGER AS {n}"
 
 
-@query(f"WITH {_LINES} SELECT doc_id, page_no, {', '.join(map(_ANCHOR, ('name', 'income_tax', 'legal', 'gst', 'reg_type', 'ifsc_code', 'holder_name', 'account_no')))} FROM lines GROUP BY doc_id, page_no")
+@query(f"WITH {_LINES} SELECT doc_id, page_no, {', '.join(map(_ANCHOR, _SHOWN))} FROM lines GROUP BY doc_id, page_no")
 def anchors_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchors(False)(spark, sf_dir)
+    return _anchors(spark, sf_dir, False)
 
 
 @query()
 def anchors_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchors(True)(spark, sf_dir)
+    return _anchors(spark, sf_dir, True)
 
 
 # --- extraction -----------------------------------------------------------
