@@ -5,31 +5,10 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def conf(spark: SparkSession, key: str) -> str | None:
-    """A setting of the session or of its context, null where unset."""
-    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only where the session has none (tests, a single machine) one beside the
-    warehouse is set.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(conf(spark, "spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from vetloom.session import checkpointed, shared_folder  # noqa: F401  the operators take both from here
 
 
 def stored(df: DataFrame) -> DataFrame:
