@@ -48,6 +48,10 @@ def test_variants_match_the_model(spark):
     assert of(spark, words, ids.variants) == [list(model.variants(w)) for w in words]
 
 
+def test_with_checksum(spark):
+    assert of(spark, ["27ABCDE1234F1Z5", "27ABCDE1234F1Z", "27ABCDE1234F", "27abcde1234f1z5", None], ids.with_checksum) == ["27ABCDE1234F1Z0"] * 2 + [None] * 3
+
+
 def test_pan_and_ifsc(spark):
     assert of(spark, ["A8CDE12E4F", "48CDEI2O4F", "ABCDE12345", "ABCDE1234", None], ids.repair_pan) == [None, "ABCDE1204F", "ABCDE1234S", None, None]
     assert of(spark, ["HDFCO00I234", "5BINU0O1234", "HDFCX001234", "HDFC000123"], ids.repair_ifsc) == ["HDFC000I234", "SBIN0001234", None, None]

@@ -4,6 +4,7 @@ import json
 
 from vetloom.schemas import VENDORS
 from vetloom.sources import files, sinks
+from vetloom.streaming.extraction import extract_files
 from vetloom.streaming.registry import Registry
 from tests.test_operators import results, vendor
 
@@ -28,6 +29,20 @@ def test_uploads_and_recogniser(spark, tmp_path):
     assert [r.message for r in failures.collect()] == ["not an image"]
 
 
+def test_extraction_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda: extract_files(spark, str(source), recogniser, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    (source / "a.png").write_text("INCOME TAX ABCDE1234F")
+    (source / "c.txt").write_text("no")
+    run()
+    (source / "d.jpg").write_text("broken")
+    run()
+    got = {r.doc_id.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {"a.png", "d.jpg"} and got["d.jpg"].message == "not an image"
+    assert got["a.png"].fields["pan_number"].value == "ABCDE1234F"
+
+
 def test_labelled(spark, tmp_path):
     path = tmp_path / "pan.json"
     path.write_text(json.dumps([{"file": "a", "name": "N", "pan": "P", "dob": "D", "father_name": "F"}, {"file": "b"}]))

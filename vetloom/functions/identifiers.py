@@ -23,6 +23,19 @@ GST_STATE = [("OILSBZGDQT", "0115876007"), ("OILSBZGDQT", "0115826007"), ("OILSB
 GST_DIGIT = [("OSIZBLGDQT", "0512816007"), ("OSIZBLGDQT", "0512816007"), ("OSIZBLGDQT", "0512819007")]
 # Single swaps that are tried when the checksum fails, by part: first place, last place, from, to.
 SWAPS = [(1, 2, "OQD0I1", "000O99"), (3, 7, "0QO58", "QOQSB"), (8, 11, "751", "239"), (12, 12, "O0QD", "QQO0"), (13, 13, "Z72S5", "2ZZ5S"), (15, 15, "0OQ", "O00")]
+# The letters that a bank's branch codes start with.
+BANK_CODES = {
+    "STATE BANK OF INDIA": "SBIN",
+    "HDFC BANK": "HDFC",
+    "ICICI BANK": "ICIC",
+    "AXIS BANK": "UTIB",
+    "CANARA BANK": "CNRB",
+    "PUNJAB NATIONAL BANK": "PUNB",
+    "BANK OF BARODA": "BARB",
+    "KOTAK MAHINDRA BANK": "KKBK",
+    "INDUSIND BANK": "INDB",
+    "YES BANK": "YESB",
+}
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,6 +60,12 @@ def repair_ifsc(word: Column) -> Column:
     return let(fixed, lambda x: F.when((F.length(word) == 11) & is_format(x, IFSC), x))
 
 
+def bank_code(name: Column) -> Column:
+    """The code of a bank, null if it is not known."""
+    codes = F.create_map(*[F.lit(x) for pair in BANK_CODES.items() for x in pair])
+    return F.try_element_at(codes, F.upper(name))
+
+
 def check_character(body: Column) -> Column:
     """The check character of the first 14 characters: base 36, every second one doubled, digits of the products added."""
     digit = lambda i: (F.call_function("instr", F.lit(DIGITS), F.substring(body, i, F.lit(1))) - 1) * (F.lit(2) - i % 2)
@@ -59,6 +78,12 @@ def has_checksum(gstin: Column) -> Column:
     return F.coalesce(gstin.rlike("^[0-9A-Z]{15}$") & (check_character(gstin) == F.substring(gstin, 15, 1)), F.lit(False))
 
 
+def with_checksum(gstin: Column) -> Column:
+    """The number with the check character that it should have, null if that is not the format."""
+    fixed = F.concat(F.substring(gstin, 1, 14), check_character(gstin))
+    return let(fixed, lambda x: F.when((F.length(gstin) >= 14) & gstin.rlike("^[0-9A-Z]*$") & is_format(x, GSTIN), x))
+
+
 def _attempt(word: Column, mode: int) -> Column:
     """One repair of 15 characters, null if it does not make the format."""
     letter = F.translate(_part(word, 12, 1), *GST_LETTER)

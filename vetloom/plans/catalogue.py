@@ -207,6 +207,14 @@ def legal_name_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", extract.tidy_name(F.expr(_COMPANY)).alias("tidy"))
 
 
+_BANK = DUCK.pick([*ids.BANK_CODES, "NO BANK"], "s_suppkey")
+
+
+@query(f"WITH b(bank, code) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {chr(39)}{c}{chr(39)})' for n, c in ids.BANK_CODES.items())}) SELECT s_suppkey, n.bank, b.code FROM (SELECT s_suppkey, lower({_BANK}) AS bank FROM supplier) n LEFT JOIN b ON upper(n.bank) = b.bank")
+def bank_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(f"lower({_BANK})").alias("bank")).select("s_suppkey", "bank", ids.bank_code(F.col("bank")).alias("code"))
+
+
 @query()
 def snap_registration_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.people(spark, sf_dir).select("k", "type", similarity.closest(extract.REGISTRATION_TYPES)(F.upper("type_read")).alias("of_upper"), similarity.closest(extract.REGISTRATION_TYPES)(F.col("type_read")).alias("snapped"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.schemas import TOKENS, TRUTH
+from vetloom.session import checkpointed
 
 #: Suffixes of files that are taken (fixed values).
 SUFFIXES = (".png", ".jpg", ".jpeg", ".pdf")
@@ -35,8 +36,8 @@ def uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return taken, refused
 
 
-def recognised(files: DataFrame, factory: Callable[[], Recogniser]) -> tuple[DataFrame, DataFrame]:
-    """Tokens of all files, and (doc_id, message) of those that could not be read."""
+def recognised_rows(files: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
+    """Tokens of all files, and a row with a message for each that could not be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = factory()
@@ -51,10 +52,19 @@ def recognised(files: DataFrame, factory: Callable[[], Recogniser]) -> tuple[Dat
                 yield pd.DataFrame(rows, columns=columns)
 
     schema = TOKENS.fromJson(TOKENS.jsonValue()).add("message", "string")
-    rows = files.select("path", "suffix", "content").mapInPandas(run, schema)
+    return files.select("path", "suffix", "content").mapInPandas(run, schema)
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens, and (doc_id, message) of the files that could not be read."""
     return rows.filter("message is null").drop("message"), rows.filter("message is not null").select("doc_id", "message")
 
 
+def recognised(files: DataFrame, factory: Callable[[], Recogniser]) -> tuple[DataFrame, DataFrame]:
+    """Tokens of all files, and (doc_id, message) of those that could not be read, from one pass over them."""
+    return told_apart(checkpointed(recognised_rows(files, factory)))
+
+
 def tokens(spark: SparkSession, path: str) -> DataFrame:
     """A table of tokens that a recogniser has written."""
     return spark.read.schema(TOKENS).parquet(path)
