@@ -34,7 +34,8 @@ from . import arrays as A
 from . import frames
 
 PER_SHARD = 16_384
-PER_BLOCK = 512
+#: Queries of a block: as a shard's tree travels to each block, larger blocks move less.
+PER_BLOCK = 4096
 LEAF = 128
 _EXACT = 1 << 53
 LOWEST = np.iinfo(np.int64).min
