@@ -109,3 +109,12 @@ def test_query(spark, small_dir):
     for r in queries.op2_media(spark, small_dir).collect():
         payload = padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+def test_a_very_long_text():
+    """Several rounds of lanes, in writing and reading."""
+    text = b"a long text, all in one image. \x00\x01" * 140_000
+    files = jpeg.write(np.frombuffer(padded(text) + padded(b"short"), np.uint8), np.array([len(text), 5]))
+    images, coefs = jpeg.read(files)
+    assert [media._payload(i, coefs)[0] for i in images] == [padded(text), padded(b"short")]
+    assert jpeg.rgb(images[0], jpeg.samples(images, coefs)).shape == (images[0].height, images[0].width, 3)

@@ -26,6 +26,8 @@ from . import arrays as A
 
 RESTART = 8
 BLOCK = 64
+#: Lanes that are coded together, and blocks that are transformed together, so that a very large image takes bounded arrays.
+LANES, BLOCKS = 4096, 1 << 15
 MARK = b"payload "
 #: Bits of the fixed-point transform.
 _FIXED = 11
@@ -248,6 +250,20 @@ _TABLES = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC4, b"\0" + _DC_TABLE)
 _SCAN_HEADS = [[_segment(0xDA, bytes([1, c, 0, a, b, h << 4 | low])) for a, b, h, low in script] for c, script in enumerate(SCRIPTS, 1)]
 
 
+def _scan(rows: np.ndarray, opens: np.ndarray, lane_ends: np.ndarray, number: np.ndarray, last: np.ndarray, low: int, top: int, before: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some lanes of a scan, and where each lane ends."""
+    if top == 0 and not before:
+        value, bits = _dc_first(rows[:, 0].astype(np.int64) >> shift, opens)
+        block = np.arange(len(rows))
+    elif top == 0:
+        value, bits, block = (rows[:, 0] & 1).astype(np.uint64), np.ones(len(rows), np.int64), np.arange(len(rows))
+    else:
+        now = rows[:, low : top + 1]
+        value, bits, block = _ac(now >> shift, now >> before != 0 if before else None, opens)
+    packed, size = _packed(value, bits, block, lane_ends)
+    return _marked(packed, size, number, last)
+
+
 def write(data: np.ndarray, n_bytes: np.ndarray) -> list[bytes]:
     """An image for each payload; ``data`` has them all, each filled up with zeros to a positive multiple of 64."""
     blocks = np.maximum(1, -(-n_bytes // BLOCK))
@@ -266,21 +282,19 @@ def write(data: np.ndarray, n_bytes: np.ndarray) -> list[bytes]:
         opens = place % RESTART == 0
         number = place[opens] // RESTART
         ends = np.cumsum(-(-count // RESTART))
-        lane_ends = np.append(np.flatnonzero(opens)[1:], len(rows))
+        lane_edges = np.append(np.flatnonzero(opens), len(rows))
         last = np.zeros(int(ends[-1]), bool)
         last[ends - 1] = True
         for low, top, before, shift in script:
-            if top == 0 and not before:
-                value, bits = _dc_first(rows[:, 0].astype(np.int64) >> shift, opens)
-                block = np.arange(len(rows))
-            elif top == 0:
-                value, bits, block = (rows[:, 0] & 1).astype(np.uint64), np.ones(len(rows), np.int64), np.arange(len(rows))
-            else:
-                now = rows[:, low : top + 1]
-                value, bits, block = _ac(now >> shift, now >> before != 0 if before else None, opens)
-            packed, size = _packed(value, bits, block, lane_ends)
-            out, lane_stop = _marked(packed, size, number, last)
-            scans.append((out.tobytes(), [0, *lane_stop[ends - 1].tolist()]))
+            parts, stops, size_before = [], [], 0
+            for lane in range(0, len(last), LANES):
+                edges = lane_edges[lane : lane + LANES + 1]
+                some = slice(int(edges[0]), int(edges[-1]))
+                out, stop = _scan(rows[some], opens[some], edges[1:] - edges[0], number[lane : lane + LANES], last[lane : lane + LANES], low, top, before, shift)
+                parts.append(out.tobytes())
+                stops.append(stop + size_before)
+                size_before += len(out)
+            scans.append((b"".join(parts), [0, *np.concatenate(stops)[ends - 1].tolist()]))
     files = []
     heads = [h for some in _SCAN_HEADS for h in some]
     for i, (n, w, h) in enumerate(zip(n_bytes.tolist(), wide.tolist(), high.tolist(), strict=True)):
@@ -369,7 +383,7 @@ class _Lanes:
     """Lanes of bits: a place in each, and windows of bits from there."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
-        self.words = np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,))
+        self.words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
         self.at = at
 
     def window(self) -> np.ndarray:
@@ -504,7 +518,10 @@ def _read_ac_more(data, at, order, lane_first, lane_count, low, top, table, shif
     if runs:
         where, first, n = (np.concatenate(x) for x in zip(*runs, strict=True))
         turn = np.argsort(first, kind="stable")  # then all old coefficients come in order
-        set_ = np.unpackbits(data)[A.concat_ranges(where[turn], n[turn])].astype(flat.dtype) << shift
+        place = A.concat_ranges(where[turn], n[turn])
+        low_byte = int(place.min()) >> 3 if len(place) else 0
+        bits = np.unpackbits(data[low_byte : (int(place.max(initial=0)) >> 3) + 1])
+        set_ = bits[place - 8 * low_byte].astype(flat.dtype) << shift
         was = flat[olds]
         flat[olds] = was + np.where(was > 0, set_, -set_)
     coefs[order, low : top + 1] = flat.reshape(-1, width)
@@ -552,14 +569,19 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
             at = 8 * moved[begin]
             lane_count = np.minimum(per[lane_image], count[lane_image] - k * per[lane_image])
             lane_first = np.cumsum(lane_count) - lane_count
-            if top == 0 and not before:
-                _read_dc(data, at, order, lane_first, lane_count, comp, tables, shift, coefs)
-            elif top == 0:
-                _read_dc_more(data, at, order, lane_first, lane_count, shift, coefs)
-            elif not before:
-                _read_ac(data, at, order, lane_first, lane_count, low, top, tables[0], shift, coefs)
-            else:
-                _read_ac_more(data, at, order, lane_first, lane_count, low, top, tables[0], shift, coefs)
+            for lane in range(0, len(at), LANES):
+                part = slice(lane, lane + LANES)
+                start = int(lane_first[lane])
+                stop = int(lane_first[part][-1] + lane_count[part][-1])
+                lanes_ = (data, at[part], order[start:stop], lane_first[part] - start, lane_count[part])
+                if top == 0 and not before:
+                    _read_dc(*lanes_, comp[start:stop], tables, shift, coefs)
+                elif top == 0:
+                    _read_dc_more(*lanes_, shift, coefs)
+                elif not before:
+                    _read_ac(*lanes_, low, top, tables[0], shift, coefs)
+                else:
+                    _read_ac_more(*lanes_, low, top, tables[0], shift, coefs)
     return images, coefs
 
 
@@ -590,13 +612,13 @@ def samples(images: list[Image], coefs: np.ndarray) -> np.ndarray:
     out = np.empty(coefs.shape, np.uint8)
     quants = {p[3] for image in images for p in image.parts}
     if len(quants) <= 1:
-        for quant in quants:
-            out[:] = _samples(coefs, quant)
-        return out
-    for image in images:
-        for c, p in enumerate(image.parts):
-            some = slice(image.base[c], image.base[c] + math.prod(image.grid(c)[2:]))
-            out[some] = _samples(coefs[some], p[3])
+        spans = [(0, len(coefs), quant) for quant in quants]
+    else:
+        spans = [(image.base[c], image.base[c] + math.prod(image.grid(c)[2:]), p[3]) for image in images for c, p in enumerate(image.parts)]
+    for start, stop, quant in spans:
+        for at in range(start, stop, BLOCKS):
+            some = slice(at, min(at + BLOCKS, stop))
+            out[some] = _samples(coefs[some], quant)
     return out
 
 
