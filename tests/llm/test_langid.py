@@ -47,3 +47,11 @@ def test_edges(spark):
     assert got[103].lang_pred == "yy" and got[None].lang_pred == "yy" and not got[None].held_out
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", None, "")], SCHEMA)).collect()] == ["und"]
+
+
+def test_segments_make_no_difference(monkeypatch):
+    texts = pa.array(["hello world " * 50, "", "ñandú corre", "x"])
+    whole = langid.counts(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert (langid.counts(texts) == whole).all()

@@ -40,6 +40,7 @@ CLUSTERS = 6
 SLACK = 0.3
 #: Bytes and texts that are handled together.
 STEP_BYTES, STEP_TEXTS = 1 << 20, 128
+SEGMENT = 1 << 20
 #: Bytes of letters in lower-cased text: a to z and all of longer sequences.
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[128:] = True
@@ -59,22 +60,24 @@ class Model:
 def counts(column: pa.Array) -> np.ndarray:
     """How often each text has an n-gram of each place (texts x DIMS)."""
     data, offsets = A.text_buffer(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")))
-    letter = _LETTER[data]
-    plain = np.where(letter, data, np.uint8(0x20))
     n = np.diff(offsets)
-    text = np.repeat(np.arange(len(n)), n)
     total = np.zeros(len(n) * DIMS, np.int64)
-    hashed = np.zeros(len(data), np.uint64)
-    some = np.zeros(len(data), bool)
-    for size in range(1, GRAMS + 1):
-        m = len(data) - size + 1
-        if m <= 0:
-            break
-        hashed = hashed[:m] * np.uint64(257) + plain[size - 1 :].astype(np.uint64) + np.uint64(1)
-        some = some[:m] | letter[size - 1 :]
-        inside = some & (text[:m] == text[size - 1 :])
-        place = ((hashed[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.int64)
-        total += np.bincount(text[:m][inside] * DIMS + place, minlength=len(total))
+    for start in range(0, len(data), SEGMENT):  # n-grams that start in a segment
+        part = data[start : start + SEGMENT + GRAMS - 1]
+        text = np.searchsorted(offsets, np.arange(start, start + len(part)), side="right") - 1
+        letter = _LETTER[part]
+        plain = np.where(letter, part, np.uint8(0x20))
+        hashed, some = np.zeros(len(part), np.uint64), np.zeros(len(part), bool)
+        for size in range(1, GRAMS + 1):
+            m = len(part) - size + 1
+            if m <= 0:
+                break
+            hashed = hashed[:m] * np.uint64(257) + plain[size - 1 :].astype(np.uint64) + np.uint64(1)
+            some = some[:m] | letter[size - 1 :]
+            inside = some & (text[:m] == text[size - 1 :])
+            inside[SEGMENT:] = False
+            place = ((hashed[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.int64)
+            total += np.bincount(text[:m][inside] * DIMS + place, minlength=len(total))
     return total.reshape(len(n), DIMS)
 
 
