@@ -55,3 +55,21 @@ def test_segments_make_no_difference(monkeypatch):
     for size in (1, 7, 64):
         monkeypatch.setattr(langid, "SEGMENT", size)
         assert (langid.counts(texts) == whole).all()
+
+
+def test_copies_do_not_hide_a_language(spark):
+    copied = spark.range(20_000).selectExpr("concat('zyx wvu ', id % 5, ' zzz') AS text", "'zz' AS lang")
+    other = spark.range(50).selectExpr("concat('aba bab ', id) AS text", "'aa' AS lang")
+    assert set(langid.fit(copied.union(other), "text", "lang").labels) == {"aa", "zz"}
+
+
+def test_every_language_is_learned(spark):
+    names = [f"{a}{b}" for a in "bcdfghjklmnpqrs" for b in "aeiouvwxyzàéîöù"]
+    rows = [(f"{name * 3} {name} {i}", name) for name in names for i in range(2)] + [(f"12 {i}", "digits") for i in range(9)]
+    assert set(langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang").labels) == set(names)
+
+
+def test_sample_bound():
+    assert langid._below(300, 100) == (1 << 63) - 1
+    for m in (10**3, 10**6, 10**12):
+        assert 300 < (langid._below(300, m) + (1 << 63)) * m >> 64 < 600

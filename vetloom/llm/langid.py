@@ -4,9 +4,11 @@ A text's vector has the TF-IDF weights of its lower-cased byte n-grams (1 to 3
 bytes with a letter among them) in ``DIMS`` hashed places, at unit length.
 
 * Document frequencies are counted over all training texts.
-* Centroids are fitted on a bounded sample: about ``SAMPLE`` training texts of
-  each language, whichever have the smallest hashes.  Spherical k-means gives
-  up to ``CLUSTERS`` centroids for each language.  A centroid whose texts
+* Centroids are fitted on a bounded sample: of each language, the ``SAMPLE``
+  distinct training texts with the smallest hashes, or all if it has fewer.
+  Every language is learned; where there are more than ``LANGUAGES``, each has
+  fewer texts (``LEAST`` at least) and centroids instead.  Spherical k-means
+  gives up to ``CLUSTERS`` centroids for each language.  A centroid whose texts
   mostly carry another language's label (mislabelled texts make such ones) goes.
 * A text gets the language of the centroid with the largest cosine.  It is
   *rejected* if that is under the language's limit, which is ``SLACK`` times
@@ -20,6 +22,7 @@ language or fold are not learned from.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +37,8 @@ from . import arrays as A
 
 DIMS = 4096
 GRAMS = 3
-#: Bounds of the sample: texts of each language, and languages.
-SAMPLE, LANGUAGES = 300, 200
+#: Bounds of the sample: texts of each language, languages that have so many, and texts of each of more languages.
+SAMPLE, LANGUAGES, LEAST = 300, 200, 10
 CLUSTERS = 6
 SLACK = 0.3
 #: Bytes and texts that are handled together.
@@ -105,12 +108,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places and counts of each text, packed."""
     for batch in batches:
-        for a, b in _steps(batch.column(1)):
+        for a, b in _steps(batch.column(2)):
             rows = []
-            for row in counts(batch.column(1).slice(a, b - a)):
+            for row in counts(batch.column(2).slice(a, b - a)):
                 at = np.flatnonzero(row)
                 rows.append(A.pack(at.astype(np.uint16), row[at].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["lang", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())], ["lang", "h", "blob"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -128,6 +131,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _below(most: int, m: int) -> int:
+    """A bound that over ``most`` of ``m`` hashes are under, but for odds of about 1 in 10^9; all are if there are few."""
+    wanted = most + math.ceil(6 * math.sqrt(most)) + 20
+    return (1 << 63) - 1 if m <= wanted else (wanted << 64) // m - (1 << 63)
+
+
 def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
     """Learns from the rows of ``train`` with a language."""
     rows = train.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -135,13 +144,16 @@ def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
     found = dict(zip(frequency["place"].tolist(), frequency["n"].tolist(), strict=True))
     n = found.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
-    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # texts that repeat share a hash, so a group of copies counts once
+    hashed = rows.filter(has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
+    of = {r["lang"]: r["n"] for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
         return Model(idf, [], np.zeros(0), np.zeros((0, DIMS), np.float32))
-    share = F.create_map(*[x for lang, m in of.items() for x in (F.lit(lang), F.lit(min(1 << 20, (SAMPLE << 20) // m)))])
-    chosen = rows.filter(F.col("lang").isin(*of) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")]))
-    # texts that repeat share a hash, so a group of copies counts once
-    sample = chosen.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text").mapInArrow(_sampled, "lang string, blob binary").toPandas()
+    most = max(LEAST, min(SAMPLE, SAMPLE * LANGUAGES // len(of)))
+    below = train.sparkSession.createDataFrame([(lang, _below(most, m)) for lang, m in of.items()], "lang string, below long")
+    chosen = hashed.join(F.broadcast(below), "lang").filter("h <= below")
+    sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(_sampled, "lang string, h long, blob binary").toPandas()
+    sample = sample.sort_values(["lang", "h"]).groupby("lang").head(most).reset_index(drop=True)
     langs = sample["lang"].to_numpy()
     count = np.zeros((len(sample), DIMS), np.int64)
     for i, blob in enumerate(sample["blob"]):
@@ -152,7 +164,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
     x, langs = x[full], langs[full]
     labels, parts = [], []
     for lang in sorted(set(langs)):
-        parts.append(kmeans(x[langs == lang], CLUSTERS))
+        parts.append(kmeans(x[langs == lang], max(1, CLUSTERS * most // SAMPLE)))
         labels += [lang] * len(parts[-1])
     if not parts:
         return Model(idf, [], np.zeros(0), np.zeros((0, DIMS), np.float32))
