@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vetloom.llm import langid, queries
 
@@ -73,3 +74,22 @@ def test_sample_bound():
     assert langid._below(300, 100) == (1 << 63) - 1
     for m in (10**3, 10**6, 10**12):
         assert 300 < (langid._below(300, m) + (1 << 63)) * m >> 64 < 600
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter(langid.has_letter(F.col("text")))
+    held = langid.fold(F.col("doc_id")) == 2
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(100)]
+    for left in ("de", "en", "es"):  # French texts also carry other labels, so French is never left out whole
+        model = langid.fit(docs.filter(~held & (F.col("lang") != left)), "text", "lang")
+        got = langid.predict(docs.filter(held).select("text", "lang").union(spark.createDataFrame([(t, "junk") for t in junk], "text string, lang string")), model).collect()
+        rejected = {k: np.mean([r.rejected for r in got if (r.lang if r.lang in (left, "junk") else "learned") == k]) for k in (left, "junk", "learned")}
+        assert rejected[left] > 0.9 and rejected["junk"] > 0.99 and rejected["learned"] < 0.02
+
+
+def test_limit_of_a_single_language():
+    x = langid._unit(np.random.default_rng(0).random((50, 8)).astype(np.float32))
+    model = langid._checked(langid.Model(None, ["a"], np.zeros(1), langid._unit(x.mean(axis=0, keepdims=True))), x, np.array(["a"] * 50), {"a": 50})
+    least = (x @ model.centroids.T).min()
+    assert 0.4 * least < model.limits[0] < least

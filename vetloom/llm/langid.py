@@ -11,8 +11,12 @@ bytes with a letter among them) in ``DIMS`` hashed places, at unit length.
   gives up to ``CLUSTERS`` centroids for each language.  A centroid whose texts
   mostly carry another language's label (mislabelled texts make such ones) goes.
 * A text gets the language of the centroid with the largest cosine.  It is
-  *rejected* if that is under the language's limit, which is ``SLACK`` times
-  the 1 % quantile of the sample's own cosines.
+  *rejected* if that is under the language's limit.  The limit lies ``MARGIN``
+  of the way from what unlearned languages reach to the 1 % quantile of the
+  language's own cosines in the sample.  The former is measured by leaving out
+  each language in turn: the 90 % quantile of its texts' cosines with the other
+  languages' centroids, and of these the median over languages.  Texts nearest
+  to another language than their label's count in neither.
 
 Contract: null text, and text without a letter, is ``und`` with score 0 and
 rejected.  So is any text where nothing was learned.  All columns are kept;
@@ -40,7 +44,9 @@ GRAMS = 3
 #: Bounds of the sample: texts of each language, languages that have so many, and texts of each of more languages.
 SAMPLE, LANGUAGES, LEAST = 300, 200, 10
 CLUSTERS = 6
-SLACK = 0.3
+MARGIN = 0.2
+#: Where one language is learned, what unlearned ones reach is taken as this part of its own quantile.
+ALONE = 1 / 3
 #: Bytes and texts that are handled together.
 STEP_BYTES, STEP_TEXTS = 1 << 20, 128
 SEGMENT = 1 << 20
@@ -187,7 +193,16 @@ def _checked(model: Model, x: np.ndarray, langs: np.ndarray, of: dict[str, int])
             keep[mine[np.argmax([weight[(nearest == i) & (langs == lang)].sum() for i in mine])]] = True
     at = np.flatnonzero(keep)
     labels = labels[at]
-    limit = {lang: SLACK * np.quantile(cosine[langs == lang][:, at[labels == lang]].max(axis=1), 0.01) for lang in set(langs)}
+    cosine = cosine[:, at]
+    own, foreign = {}, []
+    for lang in set(langs):
+        some, mine = cosine[langs == lang], labels == lang
+        right = mine[np.argmax(some, axis=1)]
+        some = some[right] if right.any() else some
+        own[lang] = np.quantile(some[:, mine].max(axis=1), 0.01)
+        if right.any() and not mine.all():
+            foreign.append(np.quantile(some[:, ~mine].max(axis=1), 0.9))
+    limit = {lang: q - (1 - MARGIN) * max(0, q - (np.median(foreign) if foreign else ALONE * q)) for lang, q in own.items()}
     return Model(model.idf, labels.tolist(), np.array([limit[lang] for lang in labels]), model.centroids[at])
 
 
