@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+import corpus_pipeline
 from vetloom.llm import substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words string, kept_text string, note string"
@@ -56,3 +58,31 @@ def test_windows(spark, monkeypatch, heavy, window):
 
 def test_empty(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2000, 8 << 20])
+def test_cut_text_keeps_the_layout(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    rows = [(i, f"\n {t}\t\n" if t and i and i % 2 else t, *rest) for i, t, *rest in corpus(3)]
+    done = substring_dedup.dedup_substrings(spark.createDataFrame([(i, t, t) for i, t, *_ in rows], "doc_id long, text string, before string"), cut=True).collect()
+    assert len(done) == len(rows) and {r.n_removed > 0 for r in done} == {True, False}
+    for r in done:
+        if r.n_removed == 0:
+            assert r.cut_text == r.before
+        else:
+            assert " ".join(r.cut_text.split()) == r.kept_text and len(r.cut_text) < len(r.before)
+
+
+def test_cut_out():
+    text = "  one\n\ntwo  ñandú\tfour \n".encode()
+    for gone, want in (((0,), "  two  ñandú\tfour \n"), ((1, 2), "  one\n\nfour \n"), ((3,), "  one\n\ntwo  ñandú\t"), ((0, 1, 2, 3), "  "), ((0, 2), "  two  four \n")):
+        assert substring_dedup.cut_out(text, np.isin(np.arange(4), gone)).decode() == want
+
+
+def test_stage_leaves_clean_texts_alone(spark, small_dir):
+    text = "A  first\nline.\n\n\tAnd\ta second.\n"
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, "s", len(text)), (2, f"x\n{passage}\n", "s", 0), (3, f"y\n\n{passage}\n\nz\tend\n", "s", 0), (4, None, "s", None)]
+    got = corpus_pipeline.passages(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), small_dir)
+    assert got.columns == ["doc_id", "text", "source", "n_chars"]
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: (text, len(text)), 2: (rows[1][1], len(rows[1][1])), 3: ("y\n\nz\tend\n", 9), 4: (None, None)}

@@ -26,6 +26,10 @@ Contract: null or empty text has no words and is kept.  Rows with a null id
 come after all other ids.  Rows of one id never remove each other's words.  All
 columns but the text are kept; input columns named like an output column are
 replaced.  An empty table gives an empty result.
+
+``kept_text`` is the words that stay, joined by one space.  On request there is
+``cut_text`` too: the text itself, without the removed words and the whitespace
+behind each; where nothing is removed, the text byte for byte (null is null).
 """
 
 from __future__ import annotations
@@ -201,7 +205,18 @@ def _resolver(window: int):
     return resolve
 
 
-def _marker(window: int, minimiser: int, heavy, buckets: int):
+def cut_out(text: bytes, removed: np.ndarray) -> bytes:
+    """The text without the words that are marked, each with the whitespace behind it."""
+    solid = ~A.SPACE[np.frombuffer(text, np.uint8)]
+    starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    edges = np.append(starts, len(text)).tolist()
+    # the edges of what stays: each run of words that stay, the first with the whitespace before it
+    turns = np.flatnonzero(np.diff(removed, prepend=True, append=True)).tolist()
+    stays = [text[edges[a] : edges[b]] for a, b in zip(turns[::2], turns[1::2], strict=True)]
+    return text[: edges[0]] + b"".join(stays)
+
+
+def _marker(window: int, minimiser: int, heavy, buckets: int, cut: bool = False):
     def mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs, ids = _sorted(docs)
         s = split(ids, docs["_text"], window, minimiser, heavy.value, buckets)
@@ -224,7 +239,13 @@ def _marker(window: int, minimiser: int, heavy, buckets: int):
         np.cumsum(size, out=byte[1:])
         edges = byte[s.doc_first]
         texts = [kept[a : max(a, b - 1)] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return pa.table({"_row": docs["_row"], "n_words": np.diff(s.doc_first), "n_removed": np.diff(total[s.doc_first]), "kept_text": A.blobs(texts).cast(pa.string())})
+        n_removed = np.diff(total[s.doc_first])
+        out = {"_row": docs["_row"], "n_words": np.diff(s.doc_first), "n_removed": n_removed, "kept_text": A.blobs(texts).cast(pa.string())}
+        if cut:
+            some = np.flatnonzero(n_removed)
+            shorter = [cut_out(docs["_text"][i].as_py().encode(), removed[s.doc_first[i] : s.doc_first[i + 1]]) for i in some.tolist()]
+            out["cut_text"] = pc.replace_with_mask(docs["_text"].combine_chunks(), pa.array(n_removed > 0), A.blobs(shorter).cast(pa.string()))
+        return pa.table(out)
 
     return mark
 
@@ -275,20 +296,21 @@ def heavy_runs(docs: DataFrame, text_col: str, minimiser: int, total_bytes: int,
     return np.sort(rows.toPandas()["_run"].to_numpy(np.int64).astype(A.U64))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, heavy: int = HEAVY) -> DataFrame:
-    """All columns but the text, then ``n_words``, ``n_removed`` and ``kept_text``."""
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, heavy: int = HEAVY, cut: bool = False) -> DataFrame:
+    """All columns but the text, then ``n_words``, ``n_removed`` and ``kept_text``, and ``cut_text`` if ``cut``."""
     if not 1 <= minimiser <= window:
         raise ValueError("minimiser must be from 1 to window")
     spark = docs.sparkSession
     total = frames.text_bytes(docs, text_col)
     chunks, buckets = frames.parts(total, CHUNK_BYTES), frames.parts(EXPANSION * total, BUCKET_BYTES)
     often = spark.sparkContext.broadcast(heavy_runs(docs, text_col, minimiser, total, heavy))
-    row = frames.others(docs, text_col, "n_words", "n_removed", "kept_text")
+    new = ["n_words", "n_removed", "kept_text", *(["cut_text"] if cut else [])]
+    row = frames.others(docs, text_col, *new)
     id_ = F.col(id_col).cast("long")
     chunked = docs.select(frames.dealt(F.struct(id_, F.octet_length(text_col)), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
     packed = chunked.groupBy("_chunk").applyInArrow(_emitter(window, minimiser, often, buckets), "_bucket long, _chunk long, _blob binary")
     answers = packed.groupBy("_bucket").applyInArrow(_resolver(window), "_chunk long, _bucket long, _blob binary")
-    kind = T.StructType([T.StructField("_row", chunked.schema["_row"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept_text", T.StringType())])
-    done = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_marker(window, minimiser, often, buckets), kind)
-    names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
-    return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "n_words", "n_removed", "kept_text")
+    kind = T.StructType([T.StructField("_row", chunked.schema["_row"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), *(T.StructField(n, T.StringType()) for n in new[2:])])
+    done = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_marker(window, minimiser, often, buckets, cut), kind)
+    names = [c for c in docs.columns if c not in (text_col, *new)]
+    return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *new)
