@@ -16,18 +16,26 @@ SCHEMA = "doc_id long, text string, piece string, offset string"
 
 def test_file_ranks_give_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
-    got = tokens.by_tokenizer(FILE)(TEXTS)
-    for text, ids in zip(TEXTS, got, strict=True):
+    texts = [*TEXTS, "a" + " \n" * tokens.RUN + "b", "\n" * tokens.RUN + "<|endoftext|>" + "\t" * tokens.RUN, "x" + "\u3000" * tokens.RUN + "\x1c 1"]
+    for text, ids in zip(texts, tokens.by_tokenizer(FILE)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert tokens.file_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
 
 
+def test_runs_that_the_library_cannot_match(spark):
+    n = 5_000_000
+    docs = spark.createDataFrame([(1, "a" + " " * n + "b", "x", "y")], SCHEMA)
+    got = packing.pack_sequences(docs, FILE).collect()
+    ids = [64, *[220] * (n - 1), 275, 0]
+    assert sum(r.length for r in got) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in got)
+
+
 def check(rows, got, capacity):
-    encode = tokens.by_tokenizer(FILE)
+    tokenizer = Tokenizer.from_file(FILE)
     expected = []
     for id_, text, *_ in rows:
-        ids = encode([text or ""])[0] + bytes(4)
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         n = len(ids) // 4
         edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
         expected += [(id_, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
@@ -49,6 +57,17 @@ def test_pack_sequences(spark):
     got = packing.pack_sequences(spark.createDataFrame(rows, SCHEMA), FILE, capacity=64, per_partition=20).collect()
     n = check(rows, got, 64)
     assert n <= packing.lower_bound(np.array([r.length for r in got]), 64) + 2
+    assert {r.sequence_id % packing._ROUNDS for r in got} >= {0, 1}  # bins of an exchange, too
+    assert all(r.bound <= r.bins for r in got)
+
+
+def test_hot_rows_are_spread_and_gaps_exchanged(spark):
+    rows = [(None, "one two three", "x", "y")] * 300 + [(i, "word " * (20 + i % 9), "x", "y") for i in range(200)]
+    got = packing.pack_sequences(spark.createDataFrame(rows, SCHEMA), FILE, capacity=64, per_partition=50).collect()
+    n = check(rows, got, 64)
+    lengths = np.array([r.length for r in got])
+    assert n <= 1.05 * len(packing.best_fit(lengths, 64)[1]) + 1
+    assert max(r.bins for r in got) < n / 2
 
 
 def test_bound_and_best_fit():

@@ -8,14 +8,15 @@ shorter.  Pieces are packed in partitions of about :data:`PER_PARTITION`:
 * dual-feasible functions give a lower bound on its number of bins.  A
   partition whose bins equal the bound is certified: its bins are final, but
   for the least filled one;
-* a partition with a gap gives up its least filled bins, in proportion to the
-  gap.  These pieces and the loose bins of certified partitions are exchanged:
-  they go to an eighth as many partitions, where best-fit decreasing runs
-  again, until one partition is left.
+* a partition with a gap gives up its least filled bins, :data:`RELEASE` times
+  as many as the gap.  These pieces and the loose bins of certified partitions
+  are exchanged: dealt anew, into as many partitions as they fill, they are
+  packed again, until they fill one partition or for :data:`ROUNDS` rounds.
 
-At most :data:`RELEASED` bins of a partition travel on, so a round's pieces
-are a small share of those before, and the last partition stays small.  A bin
-that does not travel is final, so no piece is ever dropped.
+Every partition of every round has its bound, also the last, and each piece
+tells the bins and the bound of the partition in which it became final.  A bin
+that does not travel is final, so no piece is ever dropped.  Where sizes leave
+a gap that exchanging does not close, the last round's bins stay uncertified.
 
 Contract: null text counts as empty and makes a piece of one token.  Repeated
 rows, also of one id, are packed each.  An empty table gives an empty result.
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 
 from . import frames, tokens
 
-PER_PARTITION = 100_000
-FEWER = 8
-RELEASED = 64
-#: Rounds and partitions in a sequence's number.
+PER_PARTITION = 8192
+#: Bins that travel for each bin over the bound, and rounds.
+RELEASE, ROUNDS = 8, 6
+#: Rounds and bins in a sequence's number.
 _ROUNDS, _BINS = 16, 1 << 24
 _STEP = 1 << 21
 PIECE = "_id long, piece int, start long, length long, ids_crc32 long"
@@ -119,13 +120,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _packer(capacity: int, round_: int, last: bool):
     def pack(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        pieces = pieces.sort_values(["_id", "piece", "start", "ids_crc32", "_n"], kind="stable", ignore_index=True)
         lengths = pieces["length"].to_numpy(np.int64)
         bins, room = best_fit(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
         moves = np.zeros(len(room), bool)
         if not last:
-            gap = len(room) - lower_bound(lengths, capacity)
-            by_room = np.argsort(-room, kind="stable")[: min(RELEASED, 1 + 8 * gap)]
+            by_room = np.argsort(-room, kind="stable")[: 1 + RELEASE * (len(room) - bound)]
             moves[by_room[room[by_room] > 0]] = True
         order = np.argsort(bins, kind="stable")
         run = np.cumsum(lengths[order]) - lengths[order]
@@ -134,27 +135,29 @@ def _packer(capacity: int, round_: int, last: bool):
         offset[order] = run - run[first][bins[order]]
         pieces["sequence_id"] = (int(key[0]) * _BINS + bins) * _ROUNDS + round_
         pieces["offset"] = offset
+        pieces["bins"], pieces["bound"] = len(room), bound
         pieces["_moves"] = moves[bins]
-        return pieces.drop(columns="_part")
+        return pieces.drop(columns=["_part", "_n"])
 
     return pack
 
 
 def pack_sequences(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PER_PARTITION) -> DataFrame:
-    """A row for each piece: id, piece, start, length, ids_crc32, sequence_id and offset."""
+    """A row for each piece: id, piece, start, length, ids_crc32, sequence_id and offset, and its partition's bins and bound."""
     pool = frames.checkpointed(token_pieces(docs, path, capacity, id_col, text_col))
-    n_parts = frames.parts(pool.count(), per_partition)
     names = ["_id", "piece", "start", "length", "ids_crc32"]
+    kind = f"{PIECE}, sequence_id long, offset long, bins long, bound long, _moves boolean"
     done: DataFrame | None = None
-    round_ = 0
-    while True:
-        part = frames.dealt(F.struct(F.lit(round_), *names), n_parts)
-        kind = f"{PIECE}, sequence_id long, offset long, _moves boolean"
-        packed = frames.checkpointed(pool.withColumn("_part", part).groupBy("_part").applyInPandas(_packer(capacity, round_, n_parts == 1), kind))
+    for round_ in range(ROUNDS):
+        n_parts = frames.parts(pool.count(), per_partition)
+        last = n_parts == 1 or round_ == ROUNDS - 1
+        # the rows are written, so their numbers stay; they spread rows that are all the same
+        numbered = pool.withColumn("_n", F.monotonically_increasing_id())
+        part = frames.dealt(F.struct(F.lit(round_), "_n", *names), n_parts)
+        packed = frames.checkpointed(numbered.withColumn("_part", part).groupBy("_part").applyInPandas(_packer(capacity, round_, last), kind))
         final = packed.filter(~F.col("_moves")).drop("_moves")
         done = final if done is None else done.unionByName(final)
-        if n_parts == 1:
-            return done.withColumnRenamed("_id", id_col)
+        if last:
+            break
         pool = packed.filter("_moves").select(*names)
-        n_parts = frames.parts(n_parts, FEWER)
-        round_ += 1
+    return done.withColumnRenamed("_id", id_col)
