@@ -6,9 +6,12 @@ characters, and the chunks are pre-tokenised in parallel.  A chunk's first
 pre-tokens may be wrong, because it starts anywhere.  From the first boundary
 that two neighbours share in their overlap on, both give the same pre-tokens,
 so the text is stitched there, and the pieces between the stitches are encoded
-in parallel.  Where an overlap has no shared boundary (one pre-token covers
-it), the neighbour is pre-tokenised again from the last true boundary, however
-far that reaches, so the ids are always those of the whole text.
+in parallel.  Where one pre-token covers an overlap, it is a run of letters,
+digits, signs or white space, and such a run ends at the same place wherever
+one starts in it: the neighbour's boundaries are true, and the open pre-token
+goes on.  Where an overlap has boundaries but none is shared, or the pattern is
+another one, the neighbour is pre-tokenised again from the last true boundary.
+So the ids are always those of the whole text.
 
 Contract: null text counts as empty and has no ids.  Repeated rows, also of
 one id, each get their result.  Other columns are not carried.  Decoding null
@@ -30,6 +33,8 @@ from . import tokens
 
 #: Characters of a chunk and of the overlap behind it.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: An overlap from which a pre-token that covers it is longer than any fixed word of the pattern.
+RUN = 4
 #: Characters of the texts that are encoded together, about.
 STEP = 1 << 21
 _KEY = ["_id", "_hash", "_size"]
@@ -95,50 +100,64 @@ def _schema(batch: pa.RecordBatch) -> pa.Schema:
 
 
 def _pretokeniser(pattern: str, chunk: int, overlap: int):
-    """Adds the boundaries in both overlaps of a chunk, and the last one before the right one."""
+    """Adds the boundaries in both overlaps of a chunk, the last one before the right one, and whether a run covers that."""
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, last = [], [], []
+            left, right, last, covered = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 b = [0, *boundaries(text, pattern)]
                 sure = _sure(b, text)
                 left.append(b[: bisect_right(b, overlap)])
                 right.append([x - chunk for x in sure[bisect_left(sure, chunk) :]])
                 last.append(sure[bisect_right(sure, chunk) - 1])
+                covered.append(_covered(b, chunk, len(text), pattern))
             lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, lists), pa.array(right, lists), pa.array(last, pa.int32())], [*batch.schema.names, "_left", "_right", "_last"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, lists), pa.array(right, lists), pa.array(last, pa.int32()), pa.array(covered, pa.bool_())], [*batch.schema.names, "_left", "_right", "_last", "_covered"])
 
     return pretokenise
 
 
-def _true_ends(text: str, end: int, pattern: str) -> tuple[list[int], int]:
-    """Boundaries to stitch at from ``end`` on, counted from there, and the last one up to it."""
-    sure = _sure([0, *boundaries(text, pattern)], text)
-    return [x - end for x in sure[bisect_left(sure, end) :]], sure[bisect_right(sure, end) - 1]
+def _covered(b: list[int], start: int, stop: int, pattern: str) -> bool:
+    """Whether one pre-token, a run, covers the characters from ``start`` to ``stop``."""
+    return pattern == tokens.BYTE_LEVEL and stop >= start + RUN and bisect_left(b, stop) == bisect_left(b, start)
 
 
-def stitch(chunks: Iterator[tuple[str, list[int], list[int], int]], pattern: str, chunk: int) -> Iterator[str]:
-    """The pieces of one text from its chunks: (text, boundaries in its left and right overlap, last before the right one)."""
-    text, start, end, right, last = "", 0, 0, [], 0
-    for n, (following, left, its_right, its_last) in enumerate(chunks):
-        # text[start:] begins at a true boundary, and the following chunk at text[end].
+def _true_ends(text: str, end: int, pattern: str) -> tuple[list[int], int, bool]:
+    """Boundaries to stitch at from ``end`` on, counted from there, the last one up to it, and whether a run covers all behind it."""
+    b = [0, *boundaries(text, pattern)]
+    sure = _sure(b, text)
+    return [x - end for x in sure[bisect_left(sure, end) :]], sure[bisect_right(sure, end) - 1], _covered(b, end, len(text), pattern)
+
+
+def stitch(chunks: Iterator[tuple[str, list[int], list[int], int, bool]], pattern: str, chunk: int) -> Iterator[str]:
+    """The pieces of one text from its chunks: (text, boundaries in its left and right overlap, last before the right one, whether a run covers that)."""
+    held: list[str] = []  # the open piece before text[start:]
+    text, start, end, right, last, covered = "", 0, 0, [], 0, False
+    for n, (following, left, its_right, its_last, its_covered) in enumerate(chunks):
+        # held and text[start:] begin at a true boundary, and the following chunk at text[end].
         mine = set(left)
         shared = next((x for x in right if end + x >= start and x in mine), None)
         if n == 0 or shared is not None:
             if n:
-                yield text[start : end + shared]
-            text, start, right, last = following, shared or 0, its_right, its_last
+                yield "".join([*held, text[start : end + shared]])
+            held, text, start, right, last, covered = [], following, shared or 0, its_right, its_last, its_covered
+            end = min(chunk, len(following))
+            continue
+        if (stop := max(start, last)) > start:
+            yield "".join([*held, text[start:stop]])
+            held = []
+        if covered:
+            held.append(text[stop:end])
+            text, start, right, last, covered = following, 0, its_right, its_last, its_covered
             end = min(chunk, len(following))
         else:
-            stop = max(start, last)
-            if stop > start:
-                yield text[start:stop]
-            end += min(chunk, len(following)) - stop
-            text, start = text[stop : end + stop - min(chunk, len(following))] + following, 0
-            right, last = _true_ends(text, end, pattern)
-    if text[start:]:
-        yield text[start:]
+            open_ = "".join([*held, text[stop:end]])
+            held, text, start = [], open_ + following, 0
+            end = len(open_) + min(chunk, len(following))
+            right, last, covered = _true_ends(text, end, pattern)
+    if held or text[start:]:
+        yield "".join([*held, text[start:]])
 
 
 def _stitcher(pattern: str, chunk: int):
@@ -153,7 +172,7 @@ def _stitcher(pattern: str, chunk: int):
                     row = next(same)
                     several = 1 + sum(1 for _ in same)
                     copies = several if n == 0 else copies
-                    yield row["_text"], row["_left"], row["_right"], row["_last"]
+                    yield row["_text"], row["_left"], row["_right"], row["_last"], row["_covered"]
 
             for n, piece in enumerate(stitch(once(), pattern, chunk)):
                 yield pa.RecordBatch.from_pylist([dict(zip(_KEY, key, strict=True)) | {"_n": n, "_copies": copies, "_text": piece}], pa.schema([("_id", pa.int64()), ("_hash", pa.int64()), ("_size", pa.int64()), ("_n", pa.int64()), ("_copies", pa.int64()), ("_text", pa.string())]))
@@ -180,7 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     short = rows.filter(size <= chunk).mapInArrow(_encoder(path, pattern), "_id long, ids binary")
     key = "_id long, _hash long, _size long"
     cut = rows.filter(size > chunk).select("_id", F.xxhash64("_text").alias("_hash"), size.alias("_size"), "_text").mapInArrow(_cutter(chunk, overlap), f"{key}, _n long, _text string")
-    marked = cut.repartition(*_KEY, "_n").mapInArrow(_pretokeniser(pattern, chunk, overlap), f"{key}, _n long, _text string, _left array<int>, _right array<int>, _last int")
+    marked = cut.repartition(*_KEY, "_n").mapInArrow(_pretokeniser(pattern, chunk, overlap), f"{key}, _n long, _text string, _left array<int>, _right array<int>, _last int, _covered boolean")
     pieces = marked.repartition(*_KEY).sortWithinPartitions(*_KEY, "_n").mapInArrow(_stitcher(pattern, chunk), f"{key}, _n long, _copies long, _text string")
     encoded = pieces.repartition(*_KEY, "_n").mapInArrow(_encoder(path, pattern), f"{key}, _n long, _copies long, ids binary")
     long = encoded.repartition(*_KEY).sortWithinPartitions(*_KEY, "_n").mapInArrow(_joined, "_id long, ids binary")
