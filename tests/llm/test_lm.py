@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vetloom.llm import lm
@@ -58,6 +59,67 @@ def test_scores(spark, monkeypatch):
     assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)  # nearer to zero: pairs tell a lot here
 
 
+def plain_scores(rows):
+    """Deleted interpolation token by token: counts without the held-out tenth, expectation-maximisation by level, then all training counts."""
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in rows if i is not None}
+    train = [(i, ["<s>", *words(t), "</s>"]) for i, t in rows if fold.get(i, 0) != 0]
+
+    def counted(some):
+        count, pairs = Counter(), Counter()
+        for _, tokens in some:
+            count.update(tokens)
+            pairs.update(zip(tokens, tokens[1:], strict=False))
+        return count, pairs, sum(count.values()) - count["<s>"]
+
+    def parts(model, v, w):
+        count, pairs, total = model
+        return pairs[v, w] / count[v] if count[v] else 0.0, (count[w] / total if total else 0.0), math.frexp(count[v])[1]
+
+    whole, without = counted(train), counted([x for x in train if fold[x[0]] != 1])
+    p0 = 1 / (len(whole[0]) - 1 + 1)  # the start is no word
+    seen = {}
+    for i, tokens in train:
+        if fold[i] == 1:
+            for v, w in zip(tokens, tokens[1:], strict=False):
+                p2, p1, level = parts(without, v, w)
+                seen.setdefault(level, []).append((p2, p1, p0))
+    lambdas = {}
+    for level, p in seen.items():
+        p, w = np.array(p), np.array([0.4, 0.4, 0.2])
+        for _ in range(lm.ROUNDS):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        lambdas[level] = 0.9999 * w + 0.0001 / 3
+    out = []
+    for i, t in rows:
+        tokens, total = ["<s>", *words(t), "</s>"], 0.0
+        for v, w in zip(tokens, tokens[1:], strict=False):
+            p2, p1, level = parts(whole, v, w)
+            nearest = min(lambdas, key=lambda x: (abs(x - level), x))
+            total += math.log10(float(lambdas[nearest] @ [p2, p1, p0]))
+        out.append(total)
+    return out
+
+
+def test_scores_against_token_by_token_interpolation(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 30_000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), want in zip(rows, plain_scores(rows), strict=True):
+        assert got[i] == pytest.approx(want, rel=0.01)  # the operator's weights come from a histogram
+
+
+def test_counts_beyond_32_bits():
+    large = 3 << 32
+    keys = np.array([5, 9], np.uint64)
+    one = lm.A.pack(lm._deltas(keys), lm.A.narrow(np.array([large, 1])), lm.A.narrow(np.array([large, 0])))
+    table = pa.table({"_bucket": [0, 0], "_chunk": [0, 7], "_blob": lm.A.blobs([one, one])})
+    out = lm._resolver(1)(table).to_pylist()
+    assert [x.tolist() for x in lm.A.unpack(out[0]["_blob"])] == [[2 * large, 2], [2 * large, 0]]
+    assert [x.tolist() for x in lm.A.unpack(out[1]["_blob"])] == [[2 * large, 2]]
+    assert (out[2]["_distinct"], out[2]["_tokens"], out[2]["_deleted"]) == (2, 2 * large + 2, 2 * large)
+
+
 def test_weights_find_a_mixture():
     rng = np.random.default_rng(1)
     p2, p1 = rng.random(400), rng.random(400)

@@ -183,6 +183,12 @@ def ranges_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return out
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in the smallest unsigned type that holds them all."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed string."""
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes()

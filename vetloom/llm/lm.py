@@ -133,11 +133,11 @@ def _emitter(buckets: int):
         inner = g.word >= 0
         rows = []
         for kind, bits, keys, number, used in ((0, 64, g.words, g.word, inner), (1, PAIR_BITS, g.pairs, g.pair, np.ones(len(inner), bool))):
-            counts = [np.bincount(number[used & which], minlength=len(keys)).astype(np.uint32) for which in (learn, deleted)]
+            counts = [np.bincount(number[used & which], minlength=len(keys)) for which in (learn, deleted)]
             edges = np.append(np.searchsorted(keys, _bounds(buckets, bits)), len(keys))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 some = slice(edges[b], edges[b + 1])
-                rows.append((2 * b + kind, A.pack(_deltas(keys[some]), counts[0][some], counts[1][some])))
+                rows.append((2 * b + kind, A.pack(_deltas(keys[some]), *(A.narrow(c[some]) for c in counts))))
         chunk = table["_chunk"][0].as_py()
         return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int64()), "_chunk": pa.array([chunk] * len(rows), pa.int64()), "_blob": A.blobs([r[1] for r in rows])})
 
@@ -159,7 +159,7 @@ def _resolver(n_deleted: int):
         out, at = [], 0
         for chunk, part in zip(chunks, parts, strict=True):
             mine = number[at : at + len(part[1])]
-            out.append(A.pack(total[mine].astype(np.uint32), deleted[mine].astype(np.uint32)) if chunk < n_deleted else A.pack(total[mine].astype(np.uint32)))
+            out.append(A.pack(*(A.narrow(c[mine]) for c in ((total, deleted) if chunk < n_deleted else (total,)))))
             at += len(mine)
         words = bucket % 2 == 0
         sums = [int((total > 0).sum()), int(total.sum()), int(deleted.sum())] if words else [0, 0, 0]
