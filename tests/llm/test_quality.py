@@ -1,5 +1,9 @@
 """The ordinal model: recovery of known weights, held-out ratings, and the rules of the contract."""
 
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -20,6 +24,50 @@ def test_features_are_those_of_each_text_alone():
         assert a == pytest.approx(b)
 
 
+def plain_features(text):
+    """The features by their description, in plain Python: lower-cased words, beginnings, endings, and shares."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    distinct, shares = set(), Counter()
+    was = None
+    for w in words:
+        raw = w.encode()
+        stop = max((i + 1 for i, b in enumerate(raw) if b >= 128 or chr(b).isalnum()), default=0)
+        core, tail = raw[:stop], raw[stop:]
+        distinct |= {("word", core.lower()), ("start", core.lower()[: quality.PREFIX])}
+        letters = [b for b in core if b >= 128 or chr(b).isalnum()]
+        if tail:
+            distinct.add(("tail", tail))
+            shares["tail", tail] += 1
+        shares["capitals"] += len(letters) > 1 and all(b >= 128 or chr(b).isupper() for b in letters) and chr(core[0]).isupper() and core[0] < 128
+        shares["again"] += raw == was
+        was = raw
+    return len(distinct), sorted(n / len(words) * 4 for n in shares.values() if n)
+
+
+def test_features_against_plain_words():
+    rng = random.Random(4)
+    pieces = ["The", "the", "CAT", "cat!!", "É", "ÉT", "A", "A1", "--", "x.y,", "NO!", "no&&&", "\x85z", "日本"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) + rng.choice(["", "\n", " \t"]) for _ in range(300)]
+    text, _, value = quality.features(pa.array(texts))
+    for i, t in enumerate(texts):
+        n, shares = plain_features(t)
+        mine = value[text == i]
+        ones = int((mine == 1.0).sum()) - sum(x == 1.0 for x in shares)
+        assert ones == n, t
+        assert sorted([*mine[mine != 1.0], *[1.0] * sum(x == 1.0 for x in shares)]) == pytest.approx(shares), t
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    docs = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * (i % 7 + 1), "x") for i in range(200)] + [(5, "good", "x")] * 50, SCHEMA)
+    ratings = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    for sample, most in ((20, 10_000), (200, 60), (1, 1)):
+        model = quality.fit(docs, ratings, quality.graded(ratings), sample=sample, most=most)
+        got = quality.score(docs, model).collect()
+        assert len(got) == 250
+        if most > 1:
+            assert all((r.tail_probability > 0.5) == r.text.startswith("good") for r in got)
+
+
 def test_thresholds_are_ordered_and_grades_follow():
     rng = np.random.default_rng(0)
     n = 600

@@ -10,14 +10,15 @@ grades share, one for each hashed feature of the text:
 * shares of the words: with capitals only, that repeat the word before, and
   with each such ending.
 
-The model is fitted on a bounded sample of the rated texts: about
-:data:`SAMPLE`, whichever ids have the smallest hashes.  Every text is scored
-over its whole length.
+The model is fitted on a bounded sample of the rated texts: of the
+:data:`SAMPLE` ids with the smallest hashes as many, in that order, as have
+:data:`FEATURES` features together.  Every text is scored over its whole length.
 
 Contract: null text has no features.  All columns are kept; input columns named
 like an output column are replaced.  Ratings are whole numbers from 0; rows
-with a null id or grade are not learned from, and of ratings that repeat an id
-the largest counts.  Without ratings all grades are 0.
+with a null id or grade are not learned from.  Of ratings that repeat an id the
+largest counts, and of texts that do the one with the smallest hash.  Without
+ratings all grades are 0.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from . import frames
 PLACE_BITS = 18
 PLACES = 1 << PLACE_BITS
 PREFIX = 5
-#: Rated texts that the model is fitted on, about, and texts that a feature needs among them.
-SAMPLE, LEAST_TEXTS = 6000, 4
+#: Rated texts that the model is fitted on, and features of them all, at most; texts that a feature needs among them.
+SAMPLE, FEATURES, LEAST_TEXTS = 6000, 4_000_000, 4
 STEP_BYTES = 2 << 20
 #: Steps and pace of the fit, and its two penalties: on squares, and on absolute values, which keeps few weights.
 ROUNDS, RATE, DECAY, SPARSE = 300, 0.05, 1e-5, 3e-4
@@ -138,22 +139,24 @@ def fit_arrays(text: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in A.text_steps(batch.column(1), STEP_BYTES):
-            text, place, value = features(batch.column(1).slice(a, b - a))
+        for a, b in A.text_steps(batch.column(2), STEP_BYTES):
+            text, place, value = features(batch.column(2).slice(a, b - a))
             edges = np.searchsorted(text, np.arange(b - a + 1))
             blobs = [A.pack(place[i:j].astype(np.uint32), value[i:j].astype(np.float32)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())], ["grade", "blob"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(edges)), pa.array(blobs, pa.binary())], ["h", "grade", "n", "blob"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = FEATURES) -> Model:
     """Learns from the texts of a bounded number of rated ids."""
     rated = ratings.select(F.col(id_col).cast("long").alias("_id"), grade.cast("int").alias("grade")).filter("_id is not null and grade is not null").groupBy("_id").agg(F.max("grade").alias("grade"))
-    n = rated.count()
-    share = min(1 << 20, (sample << 20) // max(1, n))
-    chosen = rated.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share)
+    chosen = rated.withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    # about `sample` rows of two numbers, whatever the input
-    rows = texts.join(F.broadcast(chosen), "_id").select("grade", "text").mapInArrow(_extractor, "grade int, blob binary").toPandas()
+    # `sample` rows of three numbers, whatever the input
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "h", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    seen = frames.checkpointed(one.select("h", "grade", "text").mapInArrow(_extractor, "h long, grade int, n long, blob binary"))
+    sizes = seen.select("h", "n").toPandas().sort_values("h")
+    within = sizes["h"][sizes["n"].cumsum() <= most]
+    rows = seen.filter(F.col("h") <= (int(within.iloc[-1]) if len(within) else -(1 << 63))).toPandas().sort_values(["h", "grade"])
     parts = [A.unpack(b) for b in rows["blob"]]
     text = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
     place, value = (np.concatenate([np.zeros(0), *(p[i] for p in parts)]) for i in (0, 1))
