@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from vetloom.llm import kdtree
 
@@ -28,18 +30,51 @@ def test_tree_boxes_hold_their_vectors():
     assert (vectors[tree.ids] == tree.vectors).all()
 
 
-def test_all_products(spark):
+def test_all_products(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (4, 8))
     rows = [(i, [float(x) for x in centres[i % 4] + rng.normal(0, 0.2, 8)], "", "") for i in range(300)]
     rows += [(300 + i, rows[0][1], "", "") for i in range(40)]  # ties
     rows += [(500, None, "", ""), (501, [1.0, None], "", ""), (502, [float("nan")] * 8, "", ""), (503, [float("inf")] * 8, "", ""), (None, [1.0] * 8, "", ""), (510, [9.0, -9.0], "", ""), (7, [5.0] * 8, "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
-    for shard, block in ((50, 4), (10_000, 512)):
-        got = kdtree.top_k(df, query_every=10, per_shard=shard, per_block=block).collect()
+    for shard, tree in ((50, 2), (10_000, 64)):
+        monkeypatch.setattr(kdtree, "PER_TREE", tree)
+        monkeypatch.setattr(kdtree, "PER_GROUP", 3)
+        got = kdtree.top_k(df, query_every=10, per_shard=shard).collect()
         assert sorted(map(tuple, got)) == brute(rows, 5, 10)
 
 
+def test_regions_are_balanced_and_hold_every_vector():
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-500, 500, (3000, 4))
+    split = kdtree.regions(vectors[:500], 7)
+    n = np.bincount(split.of(vectors), minlength=7)
+    assert len(n) == 7 and n.min() > 200
+    same = kdtree.regions(np.ones((50, 4), np.int64), 7)
+    assert (same.of(vectors) == 0).all()
+
+
+def test_far_shards_are_not_asked():
+    queries = np.array([[10, 0], [0, 10]])
+    asked = kdtree.A.pack(np.array([1, 2]), queries, np.array([50, 200]), np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    boxes = kdtree.A.pack(np.array([0, 1, 2]), np.array([0, 0, 0, 0, -9, -9]), np.array([9, 9, 4, 4, 9, 25]))
+    batch = pa.RecordBatch.from_pylist([{"_part": 0, "_asked": asked, "_boxes": boxes}])
+    rows = next(kdtree._asker(2, 4)(iter([batch]))).to_pylist()
+    assert [(r["_part"], kdtree.A.unpack(r["_blob"])[0].tolist()) for r in rows] == [(2, [1, 2])]  # shard 1 reaches 40 of 50 and of 200
+
+
+def test_large_components(spark):
+    one = 800_000_000 / 256
+    rows = [(0, [one] + [0.0] * 63, "", ""), (1, [one] + [0.0] * 63, "", ""), (2, [-one] + [1.0] * 63, "", ""), (10, [1.0] * 64, "", "")]
+    got = kdtree.top_k(spark.createDataFrame(rows, SCHEMA), query_every=10, per_shard=2).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 10)
+    far = [(0, [2.0**40], "", ""), (1, [-(2.0**40)], "", ""), (2, [1.0], "", "")]
+    with pytest.raises(Exception, match="64 bits"):
+        kdtree.top_k(spark.createDataFrame(far, SCHEMA), query_every=10).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        kdtree.top_k(spark.createDataFrame([(0, [2.0**80], "", "")], SCHEMA)).collect()
+
+
 def test_few_and_none(spark):
     assert kdtree.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     few = [(0, [1.0], "", ""), (1, [2.0], "", "")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.session import checkpointed, shared_folder  # noqa: F401  the operators take both from here
@@ -28,6 +28,11 @@ def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def tasks(spark: SparkSession, total: int, each: int) -> int:
+    """How many tasks share ``total`` bytes so that each has about ``each``, and no fewer than the session's shuffles have."""
+    return max(parts(total, each), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(key: Column, n: int) -> Column:
     """A number from 0 to ``n - 1``, spread by a hash of ``key``."""
     return F.pmod(F.xxhash64(key), F.lit(n))

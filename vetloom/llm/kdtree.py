@@ -1,32 +1,39 @@
 """Exact top-k search by inner product with a KD-tree in each shard.
 
-Components become whole numbers, ``floor(scale * x)``.  Vectors are dealt into
-shards of about :data:`PER_SHARD`; each shard's tree is built by median splits
-of its widest dimension, with tight bounding boxes.  The largest inner product
-that a query can have inside a box bounds a node, and nodes are visited best
-first until the bound falls below the kth score.
-
-Queries travel in blocks.  A block is first searched in one shard, its home;
-the kth scores found there are propagated with it to all other shards, so that
-most of their nodes are never opened.  At most k rows of a query and shard
-come back, and Spark ranks them.
+Components become whole numbers, ``floor(scale * x)``.  Median splits of a
+bounded sample (:data:`SAMPLE_BYTES`) cut space into regions, and every vector
+goes to its region, so that near ones meet; a region with many vectors is dealt
+over shards of about :data:`PER_SHARD`.  Each shard's tree is built by median
+splits of its widest dimension, with tight bounding boxes.  The largest inner
+product that a query can have inside a box bounds a node, and nodes are visited
+best first until the bound falls below the kth score.
+
+1. A query is first searched where it lies.  The kth score found there is
+   propagated with it.
+2. The bounds of all shards' outer boxes tell in which other shards a query can
+   still find something; it goes to no other.
+3. A shard's tree is read once, and blocks of queries stream past it.  At most k
+   rows of a query and shard come back, and Spark ranks them.
 
 Contract: vectors that are null, or hold null or a component that is not
 finite, take no part, and neither do rows with a null id.  Missing trailing
 components count as zero.  Rows with the query's own id are not candidates.
 Rows that repeat a query's id with another vector are a query of their own.
-Ties go to the smaller id.  Scores beyond 64 bits are an error.  An empty table
-gives an empty result.
+Ties go to the smaller id.  Products beyond 64 bits are computed as they are; a
+component or a returned score beyond 64 bits is an error.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +41,11 @@ from . import arrays as A
 from . import frames
 
 PER_SHARD = 16_384
-#: Queries of a block: as a shard's tree travels to each block, larger blocks move less.
-PER_BLOCK = 4096
+#: Blocks of queries for which a shard's tree is read once, and boxes that a task compares with a block.
+PER_TREE, PER_GROUP = 64, 1024
+#: Bounds of what the regions are fitted on and of their number.
+SAMPLE, SAMPLE_BYTES, REGIONS = 32_768, 16 << 20, 4096
+TASK_BYTES = 32 << 20
 LEAF = 128
 _EXACT = 1 << 53
 LOWEST = np.iinfo(np.int64).min
@@ -77,30 +87,99 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> Tree:
     return Tree(ids[order], vectors[order], *(np.array(x, np.int64) for x in (first, last, left, right)), np.array(low), np.array(high))
 
 
-def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+@dataclass
+class Regions:
+    """Splits of space; below ``left`` or ``right`` a negative number -1 - i is region i.  Region i has the shards ``first[i]`` to ``first[i + 1] - 1``."""
+
+    dim: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    first: np.ndarray
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The region of each vector."""
+        node = np.zeros(len(vectors), np.int64) if len(self.dim) else np.full(len(vectors), -1)
+        while len(at := np.flatnonzero(node >= 0)):
+            here = node[at]
+            node[at] = np.where(vectors[at, self.dim[here]] < self.value[here], self.left[here], self.right[here])
+        return -1 - node
+
+    def shards(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """The shard of each vector: within a region, any of its shards by the id."""
+        region = self.of(vectors)
+        several = (self.first[1:] - self.first[:-1])[region].astype(np.uint64)
+        return self.first[region] + (A.mix(ids.astype(np.uint64)) % several).astype(np.int64)
+
+
+def regions(sample: np.ndarray, n: int) -> Regions:
+    """``n`` regions by splits of the sample's widest dimension at its median, or the like for an odd number."""
+    nodes: list[list[int]] = []
+    found = 0
+
+    def cut(some: np.ndarray, n: int) -> int:
+        nonlocal found
+        width = some.max(axis=0) - some.min(axis=0) if len(some) > 1 else np.zeros(1)
+        if n == 1 or not width.max():
+            found += 1
+            return -found
+        dim, half = int(np.argmax(width)), n // 2
+        values = np.sort(some[:, dim])
+        value = int(values[len(values) * half // n])
+        value = value if value > values[0] else int(values[np.searchsorted(values, values[0], side="right")])
+        at = len(nodes)
+        nodes.append([dim, value, 0, 0])
+        low = some[:, dim] < value
+        nodes[at][2], nodes[at][3] = cut(some[low], half), cut(some[~low], n - half)
+        return at
+
+    cut(sample, n)
+    return Regions(*(np.array([x[i] for x in nodes], np.int64) for i in range(4)), np.arange(found + 1))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows, filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), width), np.int64)
+    out[np.repeat(np.arange(len(n)), n), A.concat_ranges(np.zeros(len(n), np.int64), n)] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def _kind(a: np.ndarray, b: np.ndarray) -> type:
     """A type in which the inner products are exact."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most >= 1 << 63:
-        raise ValueError("scores need more than 64 bits")
-    return np.float64 if most < _EXACT else np.int64
+    most = _largest(a) * _largest(b) * max(1, a.shape[1])
+    return np.float64 if most < _EXACT else np.int64 if most < 1 << 63 else object
+
+
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, kind: type) -> np.ndarray:
+    """The largest product that each query can have inside each box."""
+    q = queries.astype(kind)
+    return np.maximum(q, 0) @ high.astype(kind).T + np.minimum(q, 0) @ low.astype(kind).T
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    try:
+        return scores.astype(np.int64)
+    except OverflowError:
+        raise ValueError("a score needs more than 64 bits") from None
 
 
 def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, ids and scores of its best at least ``kth``, in order; at most k."""
     kind = _kind(tree.vectors, queries)
     vectors, q = tree.vectors.astype(kind), queries.astype(kind)
-    bounds = np.maximum(q, 0) @ tree.high.astype(kind).T + np.minimum(q, 0) @ tree.low.astype(kind).T
+    bounds = _bounds(queries, tree.low, tree.high, kind)
     left, right, first, last = (x.tolist() for x in (tree.left, tree.right, tree.first, tree.last))
     out = []
     for me, vector, bound, least in zip(query_ids.tolist(), q, bounds, kth.tolist(), strict=True):
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64 if kind is not object else object)
+        least = -math.inf if least == LOWEST else least
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= least:
             node = heapq.heappop(heap)[1]
@@ -110,7 +189,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             a, b = first[node], last[node]
-            found = (vectors[a:b] @ vector).astype(np.int64)
+            found = (vectors[a:b] @ vector).astype(scores.dtype)
             good = np.flatnonzero((found >= least) & (tree.ids[a:b] != me))
             if len(good):
                 ids, scores = np.concatenate([ids, tree.ids[a:b][good]]), np.concatenate([scores, found[good]])
@@ -118,58 +197,109 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth:
                 ids, scores = ids[order], scores[order]
                 if len(scores) == k:
                     least = max(least, int(scores[-1]))
-        out.append((ids, scores))
+        out.append((ids, _longs(scores)))
     return out
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
     """``floor(scale * x)`` of each component, null where the vector takes no part."""
+
+    def whole(x: Column) -> Column:
+        product = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(product) < float(1 << 63), F.floor(product)).otherwise(F.raise_error(F.lit("a component needs more than 64 bits")).cast("long"))
+
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    return F.when(fine, F.transform(vector, whole))
+
+
+SHARD = "_part long, _box binary, _tree binary, _asked binary"
+FOUND = "query_id long, _hash long, vec_id long, score long"
 
 
-def _packer(width: int, tree: bool):
-    """Packs a shard's tree, or a block of queries."""
+def _sharder(split: Regions, width: int, count: bool = False):
+    """The shard of each row, or how many rows of a batch each region has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column("_v"), width)
+            if count:
+                region, n = np.unique(split.of(vectors), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(n)], ["region", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(split.shards(batch.column("_id").to_numpy(), vectors)), *batch.columns], ["_part", *batch.schema.names])
+
+    return run
+
+
+def _builder(width: int, k: int, query_every: int):
+    """A shard's outer box and tree, and its own queries with what they find in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, vectors = table["_id"].to_numpy(), _matrix(table["_v"].to_pylist(), width)
-        if tree:
-            t = build(ids, vectors)
-            blob = A.pack(t.ids, t.vectors, t.first, t.last, t.left, t.right, t.low, t.high)
-        else:
-            blob = A.pack(ids, vectors)
-        return pa.table({"_part": table["_part"].slice(0, 1), "_blob": pa.array([blob], pa.binary())})
+        ids, vectors = table["_id"].to_numpy(), _matrix(table["_v"], width)
+        tree = build(ids, vectors)
+        asked = np.flatnonzero(ids % query_every == 0)
+        rows = np.unique(np.column_stack([ids[asked], vectors[asked]]), axis=0)
+        mine, queries = rows[:, 0], rows[:, 1:]
+        found = search(tree, mine, queries, k, np.full(len(mine), LOWEST))
+        n = np.array([len(s) for _, s in found], np.int64)
+        kth = np.array([s[-1] if len(s) == k else LOWEST for _, s in found], np.int64)
+        vec, score = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+        blobs = [A.pack(tree.low[0], tree.high[0]), A.pack(*(getattr(tree, f) for f in _FIELDS)), A.pack(mine, queries, kth, n, vec, score)]
+        return pa.table({"_part": table["_part"].slice(0, 1), **{c: pa.array([x], pa.binary()) for c, x in zip(("_box", "_tree", "_asked"), blobs, strict=True)}})
 
     return run
 
 
+_FIELDS = ("ids", "vectors", "first", "last", "left", "right", "low", "high")
+
+
 def _tree(blob: bytes, width: int) -> Tree:
     ids, vectors, first, last, left, right, low, high = A.unpack(blob)
     return Tree(ids, vectors.reshape(-1, width), first, last, left, right, low.reshape(-1, width), high.reshape(-1, width))
 
 
-FOUND = "query_id long, _hash long, vec_id long, score long"
+def _boxes(table: pa.Table) -> pa.Table:
+    """A group of outer boxes in one row."""
+    boxes = [A.unpack(b) for b in table["_box"].to_pylist()]
+    blob = A.pack(table["_part"].to_numpy(), np.concatenate([b[0] for b in boxes]), np.concatenate([b[1] for b in boxes]))
+    return pa.table({"_group": table["_group"].slice(0, 1), "_boxes": pa.array([blob], pa.binary())})
 
 
-def _searcher(width: int, k: int, home: bool):
-    """Searches blocks in shards: rows, or at home the block with the kth scores and the rows in it."""
+def _asker(width: int, spread: int):
+    """For each block of queries and each shard but its own: those queries that can find something there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                tree = _tree(batch.column("_blob")[row].as_py(), width)
-                parts = A.unpack(batch.column("_queries")[row].as_py())
-                ids, queries = parts[0], parts[1].reshape(-1, width)
-                kth = np.full(len(ids), LOWEST) if home else parts[2]
+            for row in batch.to_pylist():
+                part, low, high = A.unpack(row["_boxes"])
+                ids, queries, kth = A.unpack(row["_asked"])[:3]
+                queries, low, high = (x.reshape(-1, width) for x in (queries, low, high))
+                kind = _kind(np.concatenate([low, high]), queries)
+                open_ = (_bounds(queries, low, high, kind) >= kth[:, None]) | (kth == LOWEST)[:, None]
+                open_[:, part == row["_part"]] = False
+                to = np.flatnonzero(open_.any(axis=0))
+                blobs = [A.pack(ids[x], queries[x], kth[x]) for x in open_.T[to]]
+                n = len(to)
+                yield pa.RecordBatch.from_arrays([pa.array(part[to]), pa.array(np.full(n, row["_part"] % spread)), pa.array(np.ones(n, np.int32)), A.blobs(blobs)], ["_part", "_salt", "_kind", "_blob"])
+
+    return run
+
+
+def _searcher(width: int, k: int):
+    """Rows of a shard and salt come together: its tree, then blocks of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, tree = None, None
+        for batch in batches:
+            for kind, blob in zip(batch.column("_kind").to_pylist(), batch.column("_blob"), strict=True):
+                if kind == 0:
+                    packed, tree = blob.as_py(), None
+                    continue
+                tree = tree or _tree(packed, width)
+                ids, queries, kth = A.unpack(blob.as_py())
+                queries = queries.reshape(-1, width)
                 found = search(tree, ids, queries, k, kth)
-                n = np.array([len(s) for _, s in found], np.int64)
-                vec, score = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                if home:
-                    kth = np.array([s[-1] if len(s) == k else LOWEST for _, s in found], np.int64)
-                    blob = A.pack(ids, queries, kth, n, vec, score)
-                    yield pa.RecordBatch.from_arrays([batch.column("_block").slice(row, 1), batch.column("_part").slice(row, 1), pa.array([blob], pa.binary())], ["_block", "_home", "_queries"])
-                else:
-                    yield _rows(ids, queries, n, vec, score)
+                yield _rows(ids, queries, np.array([len(s) for _, s in found]), *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
 
     return run
 
@@ -182,26 +312,39 @@ def _rows(ids: np.ndarray, queries: np.ndarray, n: np.ndarray, vec: np.ndarray,
 def _at_home(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("_queries").to_pylist():
+            for blob in batch.column("_asked").to_pylist():
                 ids, queries, _, n, vec, score = A.unpack(blob)
                 yield _rows(ids, queries.reshape(-1, width), n, vec, score)
 
     return run
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, query_every: int = 50, scale: int = 256, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, query_every: int = 50, scale: int = 256, per_shard: int = PER_SHARD) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; queries are the rows whose id is divisible by ``query_every``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), whole_numbers(F.col(vector_col), scale).alias("_v")).filter("_id is not null and _v is not null")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("width")).first()
-    width, n_shards = max(1, size["width"] or 1), frames.parts(size["n"], per_shard)
-    n_blocks = frames.parts(frames.parts(size["n"], query_every), per_block)
-    shards = frames.checkpointed(rows.withColumn("_part", frames.dealt(F.struct("_id", "_v"), n_shards)).groupBy("_part").applyInArrow(_packer(width, True), "_part long, _blob binary"))
-    asked = rows.filter(F.pmod("_id", F.lit(query_every)) == 0).distinct().withColumn("_part", frames.dealt(F.struct("_v", "_id"), n_blocks))
-    blocks = asked.groupBy("_part").applyInArrow(_packer(width, False), "_part long, _blob binary").select(F.col("_part").alias("_block"), F.col("_blob").alias("_queries"))
-    home = blocks.withColumn("_part", F.pmod("_block", F.lit(n_shards))).join(shards, "_part").repartition(F.col("_block"))
-    blocks = frames.checkpointed(home.mapInArrow(_searcher(width, k, True), "_block long, _home long, _queries binary"))
-    everywhere = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).filter("_part <> _home").withColumn("_part", F.col("_part").cast("long"))
-    away = everywhere.join(shards, "_part").repartition(F.col("_block"), F.col("_part"))
-    found = away.mapInArrow(_searcher(width, k, False), FOUND).unionByName(blocks.mapInArrow(_at_home(width), FOUND))
+    n, width = size["n"], max(1, size["width"] or 1)
+    split = Regions(*(np.zeros(0, np.int64),) * 4, np.arange(2))
+    if (n_regions := min(REGIONS, frames.parts(n, per_shard))) > 1:
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width), max(4096, 16 * n_regions)))
+        sample = rows.orderBy(F.xxhash64("_v", "_id")).limit(most).select("_v").toArrow()
+        split = regions(_matrix(sample["_v"], width), n_regions)
+        of = {r["region"]: r["n"] for r in rows.mapInArrow(_sharder(split, width, True), "region long, n long").groupBy("region").agg(F.sum("n").alias("n")).collect()}
+        split.first = np.cumsum([0, *(frames.parts(of.get(i, 0), per_shard) for i in range(len(split.first) - 1))])
+    n_shards = int(split.first[-1])
+    tasks = frames.tasks(vectors.sparkSession, 8 * width * n, TASK_BYTES)
+    dealt = rows.mapInArrow(_sharder(split, width), "_part long, _id long, _v array<long>").repartition(tasks, "_part")
+    shards = frames.stored(dealt.groupBy("_part").applyInArrow(_builder(width, k, query_every), SHARD))
+    groups, spread = frames.parts(n_shards, PER_GROUP), frames.parts(n_shards, PER_TREE)
+    boxes = shards.select("_part", "_box", F.pmod("_part", F.lit(groups)).alias("_group")).groupBy("_group").applyInArrow(_boxes, "_group long, _boxes binary")
+    blocks = shards.select("_part", "_asked", F.explode(_upto(groups)).alias("_group"))
+    asked = blocks.join(boxes, "_group").repartition(tasks, "_part", "_group").select("_part", "_asked", "_boxes").mapInArrow(_asker(width, spread), "_part long, _salt long, _kind int, _blob binary")
+    trees = shards.select("_part", F.explode(_upto(spread)).alias("_salt"), F.lit(0).alias("_kind"), F.col("_tree").alias("_blob"))
+    away = trees.unionByName(asked).repartition(tasks, "_part", "_salt").sortWithinPartitions("_part", "_salt", "_kind").mapInArrow(_searcher(width, k), FOUND)
+    found = away.unionByName(shards.select("_asked").mapInArrow(_at_home(width), FOUND))
     order = Window.partitionBy("query_id", "_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
