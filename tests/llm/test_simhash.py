@@ -37,12 +37,41 @@ def test_dense_tries_match_all_pairs(spark):
         keys = np.unique(np.concatenate([keys, keys[:60] ^ flips, keys[:60] ^ np.roll(flips, 1) ^ flips]))
     fps = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long").repartition(3)
     at = {k: i for i, k in enumerate(keys.view(np.int64).tolist())}
-    for chunk in (4, 4096):  # the smaller one cuts every value of the leading bits
-        edges = simhash.trie_edges(fps, 4, chunk=chunk).collect()
+    for chunk, per_lead in ((4, 1 << 20), (4096, 1 << 20), (4, 0), (2, 1e-9)):  # the smaller chunks cut every value of the leading bits; 0 takes more blocks
+        edges = simhash.trie_edges(fps, 4, chunk=chunk, per_lead=per_lead).collect()
         got = graph.local_components(len(keys), np.array([at[e.u] for e in edges]), np.array([at[e.v] for e in edges]))
         assert got.tolist() == slow_components(keys.tolist()).tolist()
 
 
+def test_orders_of_bits(spark):
+    rng = np.random.default_rng(5)
+    fps = [0, -1, *rng.integers(-(1 << 63), 1 << 63, 20).tolist()]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for shared, n, lead in ((1, 5, 12), (2, 15, 20), (3, 35, 27), (4, 70, 32)):
+        all_ = simhash.orders(4, shared)
+        assert len(all_) == n and min(o.lead for o in all_) == lead
+        for order in all_[::7]:
+            keys = np.array([r.k for r in df.select(order.key().alias("k")).collect()], np.int64).view(np.uint64)
+            assert order.back(keys).tolist() == fps
+    assert [simhash.shared_blocks(x, 4) for x in (0, 1 << 26, 1 << 27, 1 << 35)] == [1, 1, 2, 3]
+
+
+def test_pairs_of_chunks_are_pruned_before_keys_move(spark):
+    rng = np.random.default_rng(6)
+    keys = np.sort(np.unique(rng.integers(0, 1 << 52, 4000, dtype=np.uint64)))  # one value of the twelve leading bits
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array((keys ^ simhash._SIGN).view(np.int64))], ["b", "k"])
+    rows = next(simhash._chunks(simhash.orders(4, 1), 8)(iter([batch]))).to_pylist()
+    chunks = spark.createDataFrame([tuple(r.values()) for r in rows], "b int, lead long, lo long, hi long, common int, keys binary")
+    got = {(r.lo, r.lo2) for r in simhash.chunk_pairs(chunks, 4).collect()}
+    n = len(rows)
+    assert n == 500 and len(got) < n * (n - 1) / 2 * 0.85
+    members = {r["lo"]: np.frombuffer(r["keys"], np.uint64) for r in rows}
+    for a in list(members)[::25]:
+        for b in members:
+            near = (np.bitwise_count(members[a][:, None] ^ members[b][None, :]) <= 4).any()
+            assert not near or a >= b or (a, b) in got
+
+
 def test_query_rows(spark):
     base = " ".join(f"w{i}" for i in range(300))
     texts = [base, base.replace("w7 ", "v7 "), base + " end", "other text of five words", "", None, " \n", "short", "SHORT"]

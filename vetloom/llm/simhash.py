@@ -5,14 +5,18 @@ A fingerprint has 64 bits; a bit is set if it is in over half the XXH64 values
 link where their fingerprints differ in at most ``budget`` bits.
 
 1. Equal fingerprints become one.  From here on only fingerprints travel.
-2. Of ``budget + 1`` blocks of bits, two linked fingerprints share one.  For
-   each block the fingerprints are rotated so that it leads, and sorted by
-   range: each partition holds a part of the trie of these rotations.
-3. Below each value of the leading block, pairs of trie nodes are traversed
+2. Of ``budget + s`` blocks of bits, two linked fingerprints share ``s``.  For
+   each choice of ``s`` blocks the fingerprints' bits are put in an order in
+   which these lead, and sorted by range: each partition holds a part of the
+   trie of that order.  More fingerprints take a larger ``s``, so that about
+   :data:`PER_LEAD` share the leading bits at any size.
+3. Below each value of the leading bits, pairs of trie nodes are traversed
    together.  Each step adds the bit in which two children differ, and a pair
    is pruned when that exceeds the budget.  Leaves are compared outright.
 4. A value with many fingerprints, or one at a partition's edge, is cut into
-   chunks, and pairs of these chunks are traversed in tasks of their own.
+   chunks.  Pairs of these whose common leading bits differ by more than the
+   budget are pruned before any fingerprint moves; the others are traversed in
+   tasks of their own.
 5. A task reports a star for each component of what it has seen, not pairs:
    two nodes whose fingerprints are all in one component already are pruned.
    Alternating stars join these components over all tasks.
@@ -24,7 +28,9 @@ Repeated rows each get a row.  Other columns are not carried.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,9 @@ SEED = 42
 STEP_BYTES, STEP_SHINGLES = 4 << 20, 1 << 17
 #: Fingerprints of a chunk, and pairs up to which two nodes are compared outright.
 CHUNK, LEAF = 4096, 64
+#: Fingerprints under one value of the leading bits, about, from which on more blocks are taken.
+PER_LEAD = 16_384
+TASK_BYTES = 8 << 20
 #: Neighbours in sorted order that are linked first, so that dense regions are pruned early.
 NEAR = 4
 SALTS = 16
@@ -81,22 +90,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "_id long, fp long").withColumnRenamed("_id", id_col)
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """Offset and width of each block."""
-    edges = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _rotated(offset: int) -> Column:
-    fp = F.col("fp")
-    return fp.bitwiseXOR(F.lit(0)) if offset == 0 else F.shiftleft(fp, offset).bitwiseOR(F.shiftrightunsigned(fp, BITS - offset))
-
-
-def _back(keys: np.ndarray, offset: int) -> np.ndarray:
-    """The fingerprints of rotated keys, as longs."""
-    if offset:
-        keys = (keys >> np.uint64(offset)) | (keys << np.uint64(BITS - offset))
-    return keys.view(np.int64)
+@dataclass(frozen=True)
+class Order:
+    """An order of the bits: segments (offset and width) one behind the other, and how many bits lead."""
+
+    segments: tuple[tuple[int, int], ...]
+    lead: int
+
+    def key(self) -> Column:
+        """The fingerprint in this order."""
+        at, out = 0, F.lit(0).cast("long")
+        for offset, width in self.segments:
+            bits = F.shiftrightunsigned("fp", BITS - offset - width).bitwiseAND(F.lit((1 << width) - 1))
+            out = out.bitwiseOR(F.shiftleft(bits, BITS - at - width))
+            at += width
+        return out
+
+    def back(self, keys: np.ndarray) -> np.ndarray:
+        """The fingerprints of keys in this order, as longs."""
+        at, out = 0, np.zeros(len(keys), np.uint64)
+        for offset, width in self.segments:
+            bits = (keys >> np.uint64(BITS - at - width)) & np.uint64((1 << width) - 1)
+            out |= bits << np.uint64(BITS - offset - width)
+            at += width
+        return out.view(np.int64)
+
+
+def orders(budget: int, shared: int) -> list[Order]:
+    """One for each choice of ``shared`` of ``budget + shared`` blocks."""
+    n = budget + shared
+    edges = [BITS * i // n for i in range(n + 1)]
+    out = []
+    for lead in itertools.combinations(range(n), shared):
+        segments: list[tuple[int, int]] = []
+        for block in [*lead, *(i for i in range(n) if i not in lead)]:
+            offset, width = edges[block], edges[block + 1] - edges[block]
+            if segments and sum(segments[-1]) == offset and segments[-1][1] + width < BITS:
+                offset, width = segments[-1][0], segments.pop()[1] + width
+            segments.append((offset, width))
+        out.append(Order(tuple(segments), sum(edges[i + 1] - edges[i] for i in lead)))
+    return out
+
+
+def shared_blocks(n: int, budget: int, per_lead: int = PER_LEAD) -> int:
+    """How many blocks lead, so that about ``per_lead`` of ``n`` fingerprints share a value of them."""
+    return next((s for s in range(1, 4) if n >> min(o.lead for o in orders(budget, s)) <= per_lead), 4)
 
 
 def _close(keys: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
@@ -147,29 +185,29 @@ def trie_links(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budg
     return np.concatenate(from_ or [np.zeros(0, np.int64)]), np.concatenate(to or [np.zeros(0, np.int64)])
 
 
-def _stars(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, offset: int, budget: int) -> pa.RecordBatch:
+def _stars(keys: np.ndarray, pairs: tuple[np.ndarray, ...], order: Order, budget: int) -> pa.RecordBatch:
     """A link from each member of a component to its smallest fingerprint."""
     near = [(np.arange(len(keys) - s), np.arange(s, len(keys))) for s in range(1, min(NEAR, len(keys) - 1) + 1)]
     i, j = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64),) * 2
     ok = _close(keys, i, j, budget)
     i, j = i[ok], j[ok]
     labels = graph.local_components(len(keys), i, j)
-    more = trie_links(keys, pairs, depth, budget, labels)
+    more = trie_links(keys, pairs, order.lead, budget, labels)
     labels = graph.local_components(len(keys), np.concatenate([i, more[0]]), np.concatenate([j, more[1]]))
-    fps = _back(keys, offset)
-    order = np.lexsort((fps, labels))
-    first = np.maximum.accumulate(np.where(np.diff(labels[order], prepend=-1) != 0, np.arange(len(order)), 0)) if len(order) else order
-    u, v = fps[order], fps[order[first]] if len(order) else fps
+    fps = order.back(keys)
+    by = np.lexsort((fps, labels))
+    first = np.maximum.accumulate(np.where(np.diff(labels[by], prepend=-1) != 0, np.arange(len(by)), 0)) if len(by) else by
+    u, v = fps[by], fps[by[first]] if len(by) else fps
     return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
 
 def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each block in a partition, its keys in order."""
+    """For each order in a partition, its keys in order."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if parts:
-        block, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for b in np.unique(block).tolist():
-            yield b, np.sort(key[block == b].view(np.uint64) ^ _SIGN)
+        number, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for b in np.unique(number).tolist():
+            yield b, np.sort(key[number == b].view(np.uint64) ^ _SIGN)
 
 
 def _ranges(keys: np.ndarray, width: int) -> np.ndarray:
@@ -178,66 +216,75 @@ def _ranges(keys: np.ndarray, width: int) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(lead, prepend=~lead[:1]) != 0), len(keys))
 
 
-def _within(budget: int, chunk: int):
+def _within(all_: list[Order], budget: int, chunk: int):
     """Links within the chunks of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, keys in _sorted_parts(batches):
-            offset, width = _blocks(budget)[b]
-            edges = _ranges(keys, width)
+            edges = _ranges(keys, all_[b].lead)
             sizes = np.diff(edges)
             n = -(-sizes // chunk)
             start = np.repeat(edges[:-1], n) + chunk * A.concat_ranges(np.zeros(len(n), np.int64), n)
             stop = np.minimum(start + chunk, np.repeat(edges[1:], n))
-            yield _stars(keys, (start, stop, start, stop), width, offset, budget)
+            yield _stars(keys, (start, stop, start, stop), all_[b], budget)
 
     return run
 
 
-def _chunks(budget: int, chunk: int):
-    """The chunks of values that are cut, or that may go on in the next partition."""
+_CHUNK = {"b": pa.int32(), "lead": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "common": pa.int32(), "keys": pa.binary()}
+
+
+def _chunks(all_: list[Order], chunk: int):
+    """The chunks of values that are cut, or that may go on in the next partition, and how many leading bits all of a chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
         for b, keys in _sorted_parts(batches):
-            offset, width = _blocks(budget)[b]
+            width, rows = all_[b].lead, []
             edges = _ranges(keys, width)
             for i in {0, len(edges) - 2, *np.flatnonzero(np.diff(edges) > chunk).tolist()}:
                 for at in range(edges[i], edges[i + 1], chunk):
                     some = keys[at : min(at + chunk, edges[i + 1])]
-                    rows.append((b, int(some[0] >> np.uint64(BITS - width)), int((some[0] ^ _SIGN).view(np.int64)), int((some[-1] ^ _SIGN).view(np.int64)), some.tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b", "lead", "lo", "hi", "keys"])
+                    common = BITS - int(some[0] ^ some[-1]).bit_length()
+                    rows.append((b, int(some[0] >> np.uint64(BITS - width)), int((some[0] ^ _SIGN).view(np.int64)), int((some[-1] ^ _SIGN).view(np.int64)), common, some.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK.values(), strict=True)], list(_CHUNK))
 
     return run
 
 
-def _between(budget: int):
+def chunk_pairs(chunks: DataFrame, budget: int) -> DataFrame:
+    """(b, lo, lo2): pairs of chunks with the same leading bits whose common bits differ by the budget at most.  No keys travel."""
+    heads = chunks.select("b", "lead", "lo", "hi", "common")
+    left = heads.withColumn("salt", frames.dealt(F.col("lo"), SALTS))
+    right = heads.select("b", "lead", F.col("lo").alias("lo2"), F.col("common").alias("common2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    differ = F.bit_count(F.expr("shiftrightunsigned(lo ^ lo2, 64 - least(common, common2))"))
+    return left.join(right, ["b", "lead", "salt"]).filter(F.col("hi") < F.col("lo2")).filter(differ <= budget).select("b", "lo", "lo2")
+
+
+def _between(all_: list[Order], budget: int):
     """Links between the two chunks of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 one, two = (np.frombuffer(row[k], np.uint64) for k in ("keys", "keys2"))
-                offset, width = _blocks(budget)[row["b"]]
                 at, end = np.array([len(one)]), np.array([len(one) + len(two)])
-                yield _stars(np.concatenate([one, two]), (np.array([0]), at, at, end), width, offset, budget)
+                yield _stars(np.concatenate([one, two]), (np.array([0]), at, at, end), all_[row["b"]], budget)
 
     return run
 
 
-def trie_edges(fps: DataFrame, budget: int, chunk: int = CHUNK) -> DataFrame:
+def trie_edges(fps: DataFrame, budget: int, chunk: int = CHUNK, per_lead: int = PER_LEAD) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) with the components that all pairs within the budget have."""
-    blocks = _blocks(budget)
-    rotated = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("b"), _rotated(o).bitwiseXOR(F.lit(-(1 << 63))).alias("k")) for i, (o, _) in enumerate(blocks)])).alias("x")).select("x.b", "x.k")
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tries = frames.checkpointed(rotated.repartitionByRange(n, "b", "k"))
-    within = tries.mapInArrow(_within(budget, chunk), "u long, v long")
-    parts = tries.mapInArrow(_chunks(budget, chunk), "b int, lead long, lo long, hi long, keys binary")
-    left = parts.withColumn("salt", frames.dealt(F.col("lo"), SALTS))
-    right = parts.select("b", "lead", F.col("lo").alias("lo2"), F.col("keys").alias("keys2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = left.join(right.withColumn("salt", F.col("salt").cast("long")), ["b", "lead", "salt"]).filter("hi < lo2")
-    between = pairs.repartition(n, F.xxhash64("lo", "lo2")).select("b", "keys", "keys2").mapInArrow(_between(budget), "u long, v long")
+    spark, n = fps.sparkSession, fps.count()
+    all_ = orders(budget, shared_blocks(n, budget, per_lead))
+    keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("b"), o.key().bitwiseXOR(F.lit(-(1 << 63))).alias("k")) for i, o in enumerate(all_)])).alias("x")).select("x.b", "x.k")
+    tries = frames.checkpointed(keyed.repartitionByRange(frames.tasks(spark, 12 * n * len(all_), TASK_BYTES), "b", "k"))
+    within = tries.mapInArrow(_within(all_, budget, chunk), "u long, v long")
+    chunks = frames.stored(tries.mapInArrow(_chunks(all_, chunk), "b int, lead long, lo long, hi long, common int, keys binary"))
+    pairs = frames.stored(chunk_pairs(chunks, budget))
+    tasks = frames.tasks(spark, 16 * chunk * pairs.count(), 4 * TASK_BYTES)
+    full = pairs.join(chunks.select("b", "lo", "keys"), ["b", "lo"]).join(chunks.select("b", F.col("lo").alias("lo2"), F.col("keys").alias("keys2")), ["b", "lo2"])
+    between = full.repartition(tasks, F.xxhash64("b", "lo", "lo2")).select("b", "keys", "keys2").mapInArrow(_between(all_, budget), "u long, v long")
     return within.unionByName(between)
 
 
