@@ -161,15 +161,31 @@ def test_refused_vendors_hold_nothing(spark):
     assert [v[0] for _, v in sorted(outcomes(spark, rows).items())] == ["SUCCESS", "DUPLICATE_VENDOR", "SUCCESS"]
 
 
-@pytest.mark.parametrize("finish", [0, 1_000_000])
-def test_rounds_match_one_by_one(spark, finish):
+@pytest.mark.parametrize(("rounds", "group"), [(2, 0), (0, 1_000_000), (1, 10), (2, 10_000)])
+def test_rounds_match_one_by_one(spark, rounds, group):
     rng = random.Random(7)
     some = [(i, [f"k{rng.randint(0, 60)}" for _ in range(rng.randint(0, 3))]) for i in range(150)]
     rows = spark.createDataFrame([(i, 0, sorted(set(k))) for i, k in some], "a long, b long, keys array<string>")
-    assert sorted(r.a for r in admission.admit(rows, finish=finish).collect()) == model.greedy(some)
+    assert sorted(r.a for r in admission.admit(rows, rounds=rounds, group=group).collect()) == model.greedy(some)
     held = spark.createDataFrame([("k1",), ("k2",)], "key string")
     left = [(i, k) for i, k in some if not {"k1", "k2"} & set(k)]
-    assert sorted(r.a for r in admission.admit(rows, held, finish).collect()) == model.greedy(left)
+    assert sorted(r.a for r in admission.admit(rows, held, rounds, group).collect()) == model.greedy(left)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    one = admission._round
+    monkeypatch.setattr(admission, "_round", lambda open_: made.append(1) or one(open_))
+    some = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(400)]
+    rows = spark.createDataFrame([(i, 0, k) for i, k in some], "a long, b long, keys array<string>")
+    assert sorted(r.a for r in admission.admit(rows).collect()) == model.greedy(some) and len(made) == admission.ROUNDS
+
+
+def test_documents_without_tokens(spark):
+    docs = [*paper("d", "INCOME TAX"), ("bare", None, None, None, None, None), ("blank", 1, 0, None, "", 0.5), ("bad", None, None, None, None, None)]
+    failures = spark.createDataFrame([("bad", "cannot read")], "doc_id string, message string")
+    rows = {r.doc_id: (r.status, r.document_type, len(r.fields)) for r in extract.results(table(spark, *docs), failures).collect()}
+    assert rows == {"d": ("success", "PAN", 0), "bare": ("success", "UNKNOWN", 0), "blank": ("success", "UNKNOWN", 0), "bad": ("failure", "UNKNOWN", 0)}
 
 
 def test_push(spark):

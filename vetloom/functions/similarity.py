@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANCHOR_CUTOFF, SNAP_CUTOFF = 0.75, 0.6
@@ -27,20 +26,26 @@ def similar(word: str, other: str, cutoff: float) -> bool:
     return match.quick_ratio() >= cutoff and match.ratio() >= cutoff
 
 
+@lru_cache(maxsize=200_000)
+def _near(word: str, keys: tuple[str, ...], cutoff: float) -> tuple[str, ...]:
+    return tuple(k for k in keys if similar(word, k, cutoff))
+
+
+@lru_cache(maxsize=200_000)
+def _closest(value: str, members: tuple[str, ...], cutoff: float) -> str | None:
+    return next(iter(difflib.get_close_matches(value, members, n=1, cutoff=cutoff)), None)
+
+
 def near_keywords(keywords: Sequence[str], cutoff: float = ANCHOR_CUTOFF):
     """A function of a page's lines: for each line, the keywords that one of its words is similar to."""
     keys = tuple(keywords)
 
     @F.pandas_udf("array<array<string>>")
     def near(lines: pd.Series) -> pd.Series:
-        @lru_cache(maxsize=100_000)
-        def of(word: str) -> tuple[str, ...]:
-            return tuple(k for k in keys if similar(word, k, cutoff))
-
         def page(texts) -> list[list[str]] | None:
             if texts is None:
                 return None
-            return [sorted({k for w in (t or "").upper().split() for k in of(re.sub(r"[^\w]", "", w))}) for t in texts]
+            return [sorted({k for w in (t or "").upper().split() for k in _near(re.sub(r"[^\w]", "", w), keys, cutoff)}) for t in texts]
 
         return lines.map(page)
 
@@ -49,21 +54,10 @@ def near_keywords(keywords: Sequence[str], cutoff: float = ANCHOR_CUTOFF):
 
 def closest(domain: Sequence[str], cutoff: float = SNAP_CUTOFF):
     """A function of a value: the most similar member of a domain, null below the cutoff."""
-    members = list(domain)
+    members = tuple(domain)
 
     @F.pandas_udf("string")
     def snap(values: pd.Series) -> pd.Series:
-        @lru_cache(maxsize=100_000)
-        def of(value: str) -> str | None:
-            found = difflib.get_close_matches(value, members, n=1, cutoff=cutoff)
-            return found[0] if found else None
-
-        return values.map(lambda v: None if v is None else of(v))
+        return values.map(lambda v: None if v is None else _closest(v, members, cutoff))
 
     return snap
-
-
-def may_be_similar(word: Column, other: Column, cutoff: float = ANCHOR_CUTOFF) -> Column:
-    """A bound by lengths alone, to filter by before the similarity is computed."""
-    a, b = F.length(word), F.length(other)
-    return 2 * F.least(a, b) >= F.lit(cutoff) * (a + b)

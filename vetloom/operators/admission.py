@@ -9,8 +9,11 @@ depends on the order.  It is found in rounds over (vendor, key) rows:
 
 Each round is a few equi-joins and settles at least the first vendor of every
 group of vendors that share keys, and all others of a key that many share.
-When at most :data:`FINISH` vendors are open, one pass over them, whose size
-was just counted, ends it.
+What :data:`ROUNDS` of them leave are mostly short chains: groups are then
+found as components of shared keys, and each group of at most :data:`GROUP`
+vendors is judged in one pass, group beside group.  Larger groups take more
+rounds.  Only a chain of more than GROUP vendors, each of whom shares a key with
+the next alone, takes rounds in proportion to its length.
 
 Contract: vendors with the same ``arrival_seq`` come in any one order.  Null or
 empty keys never collide.  An empty table gives an empty result.
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from vetloom.functions.text import filled
 from vetloom.session import checkpointed
 
-from . import vendors
+from . import graph, vendors
 
-FINISH = 20_000
+ROUNDS, GROUP = 2, 10_000
 #: Texts of outcomes (fixed values).
 NO_CONNECTION, TIMED_OUT = "Unable to connect to ERP system", "ERP request timed out after 30 seconds"
 GSTIN_NEEDED, DUPLICATE = "GSTIN is required for vendor creation", "Vendor with same PAN/GSTIN/Bank Account already exists"
@@ -66,7 +69,25 @@ def _greedy(open_: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(admitted, columns=["a", "b"])
 
 
-def admit(candidates: DataFrame, held: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those admitted in one round, and those that are still open."""
+    keyed = open_.select(F.struct("a", "b").alias("o"), F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("o").alias("first"))
+    wins = checkpointed(keyed.join(first, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).filter("all").select("o"))
+    taken = keyed.join(wins, "o", "left_semi").select("key").distinct()
+    settled = keyed.join(taken, "key", "left_semi").select("o.*").distinct()
+    return wins.select("o.*"), checkpointed(open_.join(settled, ["a", "b"], "left_anti"))
+
+
+def _grouped(open_: DataFrame) -> DataFrame:
+    """Adds ``root``: the first vendor that shared keys lead to."""
+    keyed = open_.select(F.struct("a", "b").alias("u"), F.explode("keys").alias("key"))
+    links = keyed.join(keyed.groupBy("key").agg(F.min("u").alias("v")), "key").select("u", "v")
+    roots = graph.components(links).withColumnRenamed("node", "u")
+    return open_.withColumn("u", F.struct("a", "b")).join(roots, "u", "left").select("a", "b", "keys", F.coalesce("root", "u").alias("root"))
+
+
+def admit(candidates: DataFrame, held: DataFrame | None = None, rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
     """Of candidates (a, b, keys), in the order of (a, b), those admitted.  ``held`` has the column ``key``."""
     order = ["a", "b"]
     if held is not None:
@@ -74,20 +95,23 @@ def admit(candidates: DataFrame, held: DataFrame | None = None, finish: int = FI
         candidates = candidates.join(blocked, order, "left_anti")
     done = candidates.filter(F.size("keys") == 0).select(*order)
     open_ = checkpointed(candidates.filter(F.size("keys") > 0))
-    while (n := open_.count()) > finish:
-        keyed = open_.select(F.struct(*order).alias("o"), F.explode("keys").alias("key"))
-        first = keyed.groupBy("key").agg(F.min("o").alias("first"))
-        wins = checkpointed(keyed.join(first, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).filter("all").select("o"))
-        taken = keyed.join(wins, "o", "left_semi").select("key").distinct()
-        settled = keyed.join(taken, "key", "left_semi").select("o.*").distinct()
-        done = done.unionByName(wins.select("o.*"))
-        open_ = checkpointed(open_.join(settled, order, "left_anti"))
-    if n:
-        done = done.unionByName(open_.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy, "a long, b long"))
+    made = 0
+    while not open_.isEmpty():
+        if made >= rounds:
+            grouped = checkpointed(_grouped(open_))
+            sized = grouped.groupBy("root").agg(F.count("*").alias("n"))
+            small = grouped.join(sized.filter(F.col("n") <= group), "root", "left_semi")
+            done = done.unionByName(checkpointed(small.groupBy("root").applyInPandas(_greedy, "a long, b long")))
+            open_ = checkpointed(grouped.join(sized.filter(F.col("n") > group), "root", "left_semi").select("a", "b", "keys"))
+            if open_.isEmpty():
+                break
+        won, open_ = _round(open_)
+        done = done.unionByName(won)
+        made += 1
     return done
 
 
-def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
+def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None) -> DataFrame:
     """The vendors with ``success``, ``error_code``, ``message``, ``vendor_id`` and ``erp_reference``."""
     rows = checkpointed(arrivals.withColumn("_row", F.monotonically_increasing_id()))
     wrong = vendors.errors()
@@ -100,7 +124,7 @@ def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame |
     judged = rows.withColumn("_early", early)
     candidates = judged.filter("_early is null").select(F.col("arrival_seq").alias("a"), F.col("_row").alias("b"), keys().alias("keys"))
     held = None if registry is None else registry.select(F.struct(F.col("bank_account").alias("account_number")).alias("bank_details"), "pan", "gstin").select(F.explode(keys()).alias("key"))
-    won = admit(candidates, held, finish).select(F.col("b").alias("_row"), F.lit(True).alias("_won"))
+    won = admit(candidates, held).select(F.col("b").alias("_row"), F.lit(True).alias("_won"))
     done = judged.join(won, "_row", "left")
     success = F.coalesce("_won", F.lit(False))
     digest = F.upper(F.sha2(F.concat_ws("|", F.col("arrival_seq").cast("string"), *[F.coalesce(c, F.lit("")) for c in ("vendor_name", "pan", "gstin", "bank_details.account_number")]), 256))
@@ -122,7 +146,8 @@ def registered(outcomes_: DataFrame) -> DataFrame:
 
 def push(results: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None) -> DataFrame:
     """For each extraction result (with ``arrival_seq``): extraction_status, document_type, erp_status, vendor_id, erp_reference, message."""
-    mapped = vendors.map_vendors(results, keep=("doc_id", "arrival_seq")).withColumn("_errors", vendors.errors())
+    results = checkpointed(results)
+    mapped = checkpointed(vendors.map_vendors(results, keep=("doc_id", "arrival_seq")).withColumn("_errors", vendors.errors()))
     tried = outcomes(mapped.filter("size(_errors) = 0").drop("_errors"), rules, registry).select("doc_id", "success", "error_code", F.col("message").alias("_told"), "vendor_id", "erp_reference")
     rows = results.join(mapped.select("doc_id", "_errors"), "doc_id", "left").join(tried, "doc_id", "left")
     ok = F.col("status") == "success"

@@ -296,15 +296,17 @@ def payee() -> Column:
 # --- documents ------------------------------------------------------------
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, document_type, field, value, confidence) for all fields of pages with a type.
+def _page_rows(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, document_type, field, value, confidence): a row for each field that a page can have, one without a field for a page without a type.
 
     Pages are read once; a page's type decides which rules run on it.  The
-    similarity functions see only pages with a type and values that need them.
+    similarity functions see only the lines of pages with a type, and values
+    that need them.
     """
     if "persons" not in pages.columns:
         pages = pages.withColumn("persons", F.lit(None).cast("array<string>"))
-    typed = prepared(classify.sticky_type(pages).filter(F.col("document_type") != classify.UNKNOWN))
+    typed = classify.sticky_type(pages)
+    typed = prepared(typed.withColumn("lines", F.when(F.col("document_type") != classify.UNKNOWN, F.col("lines"))))
     date = hit(find_date(F.col("text")), 0.90)
     rules = {
         "PAN": {"pan_number": F.coalesce(find_pan(F.col("text")), pan_by_anchor()), "name": pan_name(), "date_of_birth": date},
@@ -316,30 +318,43 @@ def page_fields(pages: DataFrame) -> DataFrame:
         each = each.when(F.col("document_type") == kind, F.array(*[F.struct(F.lit(n).alias("field"), f.cast(FIELD).alias("hit")) for n, f in fields.items()]))
     # outer: for the other kind the optimizer would repeat all rules in a filter below it
     rows = typed.select(*layout.PAGE, "document_type", each.alias("_each")).select(*layout.PAGE, "document_type", F.explode_outer("_each").alias("x"))
-    found = rows.select(*layout.PAGE, "document_type", "x.field", "x.hit.value", "x.hit.confidence").filter("value is not null")
+    found = rows.select(*layout.PAGE, "document_type", "x.field", "x.hit.value", "x.hit.confidence")
     snapped = closest(REGISTRATION_TYPES)(F.when(F.col("field") == "registration_type", F.col("value")))
     return found.withColumn("value", F.coalesce(snapped, "value"))
 
 
+def page_fields(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, document_type, field, value, confidence) for all fields of pages with a type."""
+    return _page_rows(pages).filter("value is not null")
+
+
+def _best() -> Column:
+    """The most confident value, that of the earliest page among equals."""
+    return F.max_by(F.struct("value", "confidence"), F.when(F.col("value").isNotNull(), F.struct("confidence", -F.col("page_no"))))
+
+
 def best_fields(fields: DataFrame) -> DataFrame:
     """For each document and field the most confident value, that of the earliest page among equals."""
-    best = F.max_by(F.struct("value", "confidence"), F.struct("confidence", -F.col("page_no")))
-    return fields.groupBy("doc_id", "field").agg(best.alias("best")).select("doc_id", "field", "best.value", "best.confidence")
+    return fields.groupBy("doc_id", "field").agg(_best().alias("best")).select("doc_id", "field", "best.value", "best.confidence")
 
 
 def results(tokens: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """An extraction result for each document: type, status, message and the map of its fields.
 
-    ``failures`` has (doc_id, message) of documents that could not be read.
+    A document of which ``tokens`` has no token with a place and a text (a row
+    without a page tells of a document without any) is a success of unknown
+    type without fields.  ``failures`` has (doc_id, message) of documents that
+    could not be read.
     """
-    pages = layout.pages(tokens)
-    last = F.max_by("document_type", "page_no")
-    types = classify.sticky_type(pages).groupBy("doc_id").agg(last.alias("document_type"))
-    best = best_fields(page_fields(pages)).filter(filled(F.col("value")).isNotNull())
-    maps = best.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("value", "confidence").alias("hit"))))).alias("fields"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{FIELD}>"))
-    done = types.join(maps, "doc_id", "left").select("doc_id", "document_type", F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"), F.coalesce("fields", none).alias("fields"))
+    rows = _page_rows(layout.pages(tokens)).select("doc_id", "page_no", "document_type", "field", "value", "confidence")
+    bare = tokens.filter(F.coalesce(~layout.has_place(), F.lit(True))).select("doc_id").distinct()
+    rows = rows.unionByName(bare, allowMissingColumns=True)
+    one = rows.groupBy("doc_id", "field").agg(_best().alias("hit"), F.max(F.struct("page_no", "document_type")).alias("last"))
+    entry = F.when(filled(F.col("hit.value")).isNotNull() & F.col("field").isNotNull(), F.struct("field", "hit"))
+    done = one.groupBy("doc_id").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(entry)).alias("fields"))
+    done = done.select("doc_id", F.coalesce("last.document_type", F.lit(classify.UNKNOWN)).alias("document_type"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"), F.map_from_entries("fields").alias("fields"))
     if failures is not None:
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{FIELD}>"))
         failed = failures.select("doc_id", F.lit(classify.UNKNOWN).alias("document_type"), F.lit("failure").alias("status"), "message", none.alias("fields"))
         done = done.join(failures.select("doc_id"), "doc_id", "left_anti").unionByName(failed)
     return done

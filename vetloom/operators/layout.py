@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetloom.functions.similarity import near_keywords
-from vetloom.functions.text import has_any, let
+from vetloom.functions.text import has_any
 
 #: Tokens whose tops differ by less than this from the token before are on its line.
 LINE_GAP = 10.0
@@ -45,10 +45,15 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
 
 
+def has_place() -> Column:
+    """Whether a token counts: it has a page, a text and a box."""
+    return F.col("page_no").isNotNull() & F.col("text").isNotNull() & (F.size("box") > 0)
+
+
 def placed(tokens: DataFrame) -> DataFrame:
     """The tokens with their corner and the number of their line (from 0)."""
     corner = F.get("box", F.lit(0))
-    rows = tokens.filter("text is not null and size(box) > 0").select(*PAGE, "tok_idx", "box", "text", "conf", corner["x"].alias("x"), corner["y"].alias("y"))
+    rows = tokens.filter(has_place()).select(*PAGE, "tok_idx", "box", "text", "conf", corner["x"].alias("x"), corner["y"].alias("y"))
     order = Window.partitionBy(*PAGE).orderBy("y", "x", "tok_idx")
     jump = F.coalesce((F.abs(F.col("y") - F.lag("y").over(order)) >= LINE_GAP).cast("int"), F.lit(0))
     flagged = rows.withColumn("_jump", jump)
@@ -63,20 +68,22 @@ def _merged(parts: Column) -> Column:
     return F.struct(F.array_join(parts["text"], " ").alias("text"), _mean(parts["conf"]).alias("confidence"), F.get(parts["box"], F.lit(0)).alias("box"))
 
 
+def _by_line(tokens: DataFrame) -> DataFrame:
+    """A row for each line with its tokens from left to right.  Lines lie where their page does, so this needs no shuffle of its own."""
+    parts = F.array_sort(F.collect_list(F.struct("x", "y", "tok_idx", "text", "conf", "box")))
+    return placed(tokens).groupBy(*PAGE, "line_no").agg(parts.alias("_parts"))
+
+
 def lines(tokens: DataFrame) -> DataFrame:
     """A row for each line: text, confidence (the mean) and the leftmost token's box."""
-    parts = F.array_sort(F.collect_list(F.struct("x", "y", "tok_idx", "text", "conf", "box")))
-    return placed(tokens).groupBy(*PAGE, "line_no").agg(parts.alias("_parts")).select(*PAGE, "line_no", _merged(F.col("_parts")).alias("_line")).select(*PAGE, "line_no", "_line.*")
+    return _by_line(tokens).select(*PAGE, "line_no", _merged(F.col("_parts")).alias("_line")).select(*PAGE, "line_no", "_line.*")
 
 
 def pages(tokens: DataFrame) -> DataFrame:
     """A row for each page: ``text``, ``tokens`` and ``lines``."""
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "x", "y", "tok_idx", "text", "conf", "box")))
-    rows = placed(tokens).groupBy(*PAGE).agg(parts.alias("_parts"))
-    numbers = F.sequence(F.lit(0), F.array_max(F.col("_parts.line_no")))
-    lines_ = F.transform(numbers, lambda n: let(F.filter("_parts", lambda t: t["line_no"] == n), _merged))
-    recognised = F.array_sort(F.transform("_parts", lambda t: F.struct(t["tok_idx"].alias("tok_idx"), t["text"].alias("text"), t["conf"].alias("conf"), t["box"].alias("box"))))
-    return rows.select(*PAGE, recognised.alias("tokens"), lines_.alias("lines")).withColumn("text", F.array_join(F.col("tokens.text"), "\n"))
+    rows = _by_line(tokens).select(*PAGE, "line_no", _merged(F.col("_parts")).alias("_line"), "_parts").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", "_line", "_parts"))).alias("_lines"))
+    recognised = F.array_sort(F.transform(F.flatten("_lines._parts"), lambda t: F.struct(t["tok_idx"].alias("tok_idx"), t["text"].alias("text"), t["conf"].alias("conf"), t["box"].alias("box"))))
+    return rows.select(*PAGE, recognised.alias("tokens"), F.col("_lines._line").alias("lines")).withColumn("text", F.array_join(F.col("tokens.text"), "\n"))
 
 
 def marked(pages_: DataFrame, keywords: list[str], fuzzy: bool = True) -> DataFrame:

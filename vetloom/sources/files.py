@@ -37,7 +37,7 @@ def uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def recognised_rows(files: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
-    """Tokens of all files, and a row with a message for each that could not be read."""
+    """Tokens of all files, a row without a page for each that has none, and a row with a message for each that could not be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = factory()
@@ -47,6 +47,7 @@ def recognised_rows(files: DataFrame, factory: Callable[[], Recogniser]) -> Data
                 try:
                     pages = recognise(bytes(content), kind_)
                     rows = [(path, p, i, [{"x": float(x), "y": float(y)} for x, y in box], text, float(conf), None) for p, page in enumerate(pages, 1) for i, (box, text, conf) in enumerate(page)]
+                    rows = rows or [(path, None, None, None, None, None, None)]
                 except Exception as error:  # a file that cannot be read is a result of its own
                     rows = [(path, None, None, None, None, None, str(error))]
                 yield pd.DataFrame(rows, columns=columns)
