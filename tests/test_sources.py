@@ -3,7 +3,7 @@
 import json
 
 from vetloom.schemas import VENDORS
-from vetloom.sources import files, sinks
+from vetloom.sources import clients, files, sinks
 from vetloom.streaming.extraction import extract_files
 from vetloom.streaming.registry import Registry
 from tests.test_operators import results, vendor
@@ -13,6 +13,8 @@ def recogniser():
     def read(content, suffix):
         if content == b"broken":
             raise ValueError("not an image")
+        if content == b"blank":
+            return []
         box = [(0, 0), (40, 0), (40, 12), (0, 12)]
         return [[(box, content.decode(), 0.9)]] * (2 if suffix == ".pdf" else 1)
 
@@ -20,13 +22,14 @@ def recogniser():
 
 
 def test_uploads_and_recogniser(spark, tmp_path):
-    for name, content in (("a.PNG", "one"), ("b.pdf", "two"), ("c.txt", "no"), ("d.jpg", "broken")):
+    for name, content in (("a.PNG", "one"), ("b.pdf", "two"), ("c.txt", "no"), ("d.jpg", "broken"), ("e.png", "blank")):
         (tmp_path / name).write_text(content)
     taken, refused = files.uploads(spark, str(tmp_path))
     assert [r.path.rsplit("/", 1)[1] for r in refused.collect()] == ["c.txt"]
     tokens, failures = files.recognised(taken, recogniser)
-    assert sorted((r.doc_id.rsplit("/", 1)[1], r.page_no, r.text) for r in tokens.collect()) == [("a.PNG", 1, "one"), ("b.pdf", 1, "two"), ("b.pdf", 2, "two")]
+    assert sorted((r.doc_id.rsplit("/", 1)[1], r.page_no, r.text) for r in tokens.filter("page_no is not null").collect()) == [("a.PNG", 1, "one"), ("b.pdf", 1, "two"), ("b.pdf", 2, "two")]
     assert [r.message for r in failures.collect()] == ["not an image"]
+    assert [r.doc_id.rsplit("/", 1)[1] for r in tokens.filter("page_no is null").collect()] == ["e.png"]
 
 
 def test_extraction_stream(spark, tmp_path):
@@ -43,6 +46,31 @@ def test_extraction_stream(spark, tmp_path):
     assert got["a.png"].fields["pan_number"].value == "ABCDE1234F"
 
 
+class Ledger:
+    def health_check(self):
+        return True
+
+    def check_duplicate(self, vendor):
+        return vendor["pan"] == "BBBBB1111B"
+
+    def create_vendor(self, vendor):
+        if vendor["vendor_name"] == "Odd":
+            raise KeyError("odd")
+        return clients.Answer(True, "SUCCESS", "made", f"V{vendor['arrival_seq']}")
+
+
+class Down(Ledger):
+    def health_check(self):
+        return False
+
+
+def test_other_clients(spark):
+    rows = spark.createDataFrame([vendor(1, "First", pan="AAAAA1111A"), vendor(2, "Second", pan="BBBBB1111B"), vendor(3, "Third", pan="no"), vendor(4, "Odd")], VENDORS)
+    got = {r.arrival_seq: r for r in clients.push(rows, Ledger).collect()}
+    assert [got[i].error_code for i in range(1, 5)] == ["SUCCESS", "DUPLICATE_VENDOR", "VALIDATION_ERROR", "INTERNAL_ERROR"] and got[1].vendor_id == "V1"
+    assert {r.error_code for r in clients.push(rows, Down).collect()} == {"CONNECTION_ERROR"} < set(clients.CODES)
+
+
 def test_labelled(spark, tmp_path):
     path = tmp_path / "pan.json"
     path.write_text(json.dumps([{"file": "a", "name": "N", "pan": "P", "dob": "D", "father_name": "F"}, {"file": "b"}]))

@@ -1,16 +1,20 @@
 """``python -m vetloom extract|evaluate``: reports over tables of tokens.
 
-``extract TOKENS OUT`` writes a report or JSON of each document to a folder.
-``evaluate TOKENS TRUTH`` compares with labelled files (``pan_ground_truth.json``
-and so on, of which any may be missing) and prints the metrics of the eleven
-fields.  A labelled file name matches a document whose id ends with it.  The
-exit code is 0 if all went well, 1 if an input was missing or a document
-failed, and 2 after an error.
+``extract INPUT OUT`` writes a report or JSON of each document to a folder.
+INPUT is a table of tokens, or with ``--recogniser MODULE:FACTORY`` an uploaded
+file or a folder of them (see :mod:`vetloom.sources.files`).  The exit code is 0
+if every document was read, 1 if INPUT is missing or a document failed, and 2
+after an error.  ``evaluate TOKENS TRUTH`` compares with labelled files
+(``pan_ground_truth.json`` and so on, of which any may be missing, with a
+warning) and prints the metrics of the eleven fields.  A labelled file name
+matches a document whose id ends with it.  The exit code is 0, or 2 after an
+error.  Without a command there is help, and 0.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -18,19 +22,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.operators import evaluate, extract
-from vetloom.session import ship
+from vetloom.session import checkpointed, ship
 from vetloom.sources import files, sinks
 
 VERSION = "0.1.0"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _results(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if not args.recogniser:
+        return extract.results(files.tokens(spark, args.input))
+    module, _, name = args.recogniser.partition(":")
+    taken, refused = files.uploads(spark, args.input)
+    tokens, failures = files.recognised(taken, getattr(importlib.import_module(module), name))
+    return extract.results(tokens, failures.unionByName(refused.withColumnRenamed("path", "doc_id")))
+
+
 def _extract(spark: SparkSession, args: argparse.Namespace) -> int:
-    done = extract.results(files.tokens(spark, args.tokens))
+    if not _exists(spark, args.input):
+        print(f"Error: no input {args.input}", file=sys.stderr)
+        return 1
+    done = checkpointed(_results(spark, args))
     if args.output == "json":
         sinks.as_json(done).select("json").write.mode("overwrite").text(args.out)
     else:
         sinks.result_lines(done).repartition("doc_id").sortWithinPartitions("doc_id", "line_no").select("line").write.mode("overwrite").text(args.out)
-    return 0
+    return int(not done.filter("status <> 'success'").isEmpty())
 
 
 def _predictions(spark: SparkSession, tokens: str) -> DataFrame:
@@ -40,18 +61,17 @@ def _predictions(spark: SparkSession, tokens: str) -> DataFrame:
 
 def _evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     kinds = ["pan", "gst", "bank"] if args.doc_type == "all" else [args.doc_type]
-    truth, missing = None, False
+    truth = None
     for kind in kinds:
         path = f"{args.truth.rstrip('/')}/{kind}_ground_truth.json"
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if not _exists(spark, path):
             print(f"Warning: no labelled file {path}", file=sys.stderr)
-            missing = True
             continue
         rows = evaluate.unpivoted(files.labelled(spark, path, kind), kind)
         truth = rows if truth is None else truth.unionByName(rows)
     if truth is None:
-        return 1
+        print("[]" if args.output == "json" else "Nothing to evaluate")
+        return 0
     metrics = evaluate.metrics(evaluate.counts(truth, _predictions(spark, args.tokens))).orderBy("doc_type", "gt_key")
     if args.output == "json":
         print(json.dumps([r.asDict() for r in metrics.collect()], indent=2))  # eleven rows at most
@@ -60,16 +80,17 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
             print(f"{r.doc_type} {r.gt_key}: {r.line}")
         told = evaluate.summary(metrics).first()
         print(f"Fields at the target: {told.passing_fields}/{told.total_fields} ({told.pass_rate:.1%}) - {told.verdict}")
-    return int(missing)
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="vetloom")
     parser.add_argument("--version", action="version", version=VERSION)
-    commands = parser.add_subparsers(dest="command", required=True)
+    commands = parser.add_subparsers(dest="command")
     one = commands.add_parser("extract")
-    one.add_argument("tokens")
+    one.add_argument("input")
     one.add_argument("out")
+    one.add_argument("--recogniser", help="module:factory of the recogniser of uploaded files")
     two = commands.add_parser("evaluate")
     two.add_argument("tokens")
     two.add_argument("truth")
@@ -78,6 +99,9 @@ def main(argv: list[str] | None = None) -> int:
         command.add_argument("--output", choices=["text", "json"], default="text")
         command.set_defaults(run=run)
     args = parser.parse_args(argv)
+    if args.command is None:
+        parser.print_help()
+        return 0
     try:
         return args.run(ship(SparkSession.builder.getOrCreate()), args)
     except Exception as error:  # a command line tells what went wrong and ends

@@ -28,7 +28,10 @@ def suffix(path: Column) -> Column:
 
 
 def uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The files below a folder: those taken (path, suffix, content), and those refused (path, message)."""
+    """The files below a folder: those taken (path, suffix, content), and those refused (path, message).
+
+    Spark's readers pass over files of no bytes, so these are in neither.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     told = files.select("path", suffix(F.col("path")).alias("suffix"), "content")
     taken = told.filter(F.col("suffix").isin(*SUFFIXES))
