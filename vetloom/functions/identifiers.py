@@ -1,6 +1,8 @@
 """Indian tax and bank identifiers: formats, checksum and repair of confused characters.
 
-All are expressions on upper-case text, so they run where the rows are.
+All are expressions on upper-case text, so they run where the rows are.  The
+longer ones are SQL text over a word ``w``: built column by column, a repair
+would take thousands of calls to the JVM before a query starts.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first, first_of, let
+from .text import inline, sql_first, sql_let
 
 # The formats.
 PAN = "[A-Z]{5}[0-9]{4}[A-Z]"
@@ -44,20 +46,25 @@ def is_format(text: Column, pattern: str) -> Column:
     return text.rlike(f"^{pattern}$")
 
 
-def _part(word: Column, start: int, size: int) -> Column:
-    return F.substring(word, start, size)
+def _translated(word: str, start: int, size: int, old: str, new: str) -> str:
+    return f"translate(substring({word}, {start}, {size}), '{old}', '{new}')"
+
+
+def _if_format(fixed: str, pattern: str, also: str = "true") -> str:
+    """The fixed word if it has the format, else null."""
+    return sql_let(fixed, "x", f"CASE WHEN {also} AND x RLIKE '^{pattern}$' THEN x END")
 
 
 def repair_pan(word: Column) -> Column:
     """A ten-character candidate with its letters and digits put right, null if that makes no PAN."""
-    fixed = F.concat(F.translate(_part(word, 1, 5), *TO_LETTER), F.translate(_part(word, 6, 4), *TO_DIGIT), F.translate(_part(word, 10, 1), *TO_LETTER))
-    return let(fixed, lambda x: F.when((F.length(word) == 10) & is_format(x, PAN), x))
+    parts = [_translated("w", 1, 5, *TO_LETTER), _translated("w", 6, 4, *TO_DIGIT), _translated("w", 10, 1, *TO_LETTER)]
+    return inline(word, f"w -> {_if_format(' || '.join(parts), PAN, 'length(w) = 10')}")
 
 
 def repair_ifsc(word: Column) -> Column:
     """An eleven-character candidate put right: letters, then 0, then O as 0."""
-    fixed = F.concat(F.translate(_part(word, 1, 4), *TO_LETTER), F.translate(_part(word, 5, 1), "ODQUCG", "000000"), F.translate(_part(word, 6, 6), "O", "0"))
-    return let(fixed, lambda x: F.when((F.length(word) == 11) & is_format(x, IFSC), x))
+    parts = [_translated("w", 1, 4, *TO_LETTER), _translated("w", 5, 1, "ODQUCG", "000000"), _translated("w", 6, 6, "O", "0")]
+    return inline(word, f"w -> {_if_format(' || '.join(parts), IFSC, 'length(w) = 11')}")
 
 
 def bank_code(name: Column) -> Column:
@@ -66,52 +73,65 @@ def bank_code(name: Column) -> Column:
     return F.try_element_at(codes, F.upper(name))
 
 
-def check_character(body: Column) -> Column:
+def _check(body: str) -> str:
     """The check character of the first 14 characters: base 36, every second one doubled, digits of the products added."""
-    digit = lambda i: (F.call_function("instr", F.lit(DIGITS), F.substring(body, i, F.lit(1))) - 1) * (F.lit(2) - i % 2)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0).cast("long"), lambda a, i: let(digit(i), lambda p: a + F.floor(p / 36) + p % 36))
-    return F.substring(F.lit(DIGITS), ((36 - total % 36) % 36 + 1).cast("int"), F.lit(1))
+    digit = f"(instr('{DIGITS}', substring({body}, place, 1)) - 1) * (2 - place % 2)"
+    total = f"aggregate(sequence(1, 14), 0L, (total, place) -> total + {sql_let(digit, 'product', 'product div 36 + product % 36')})"
+    return f"substring('{DIGITS}', CAST((36 - {total} % 36) % 36 + 1 AS INT), 1)"
+
+
+def _checked(word: str) -> str:
+    return f"coalesce({word} RLIKE '^[0-9A-Z]{{15}}$' AND {_check(word)} = substring({word}, 15, 1), false)"
+
+
+def check_character(body: Column) -> Column:
+    return inline(body, f"w -> {_check('w')}")
 
 
 def has_checksum(gstin: Column) -> Column:
     """Whether 15 characters end with their check character; anything else has none."""
-    return F.coalesce(gstin.rlike("^[0-9A-Z]{15}$") & (check_character(gstin) == F.substring(gstin, 15, 1)), F.lit(False))
+    return inline(gstin, f"w -> {_checked('w')}")
 
 
 def with_checksum(gstin: Column) -> Column:
     """The number with the check character that it should have, null if that is not the format."""
-    fixed = F.concat(F.substring(gstin, 1, 14), check_character(gstin))
-    return let(fixed, lambda x: F.when((F.length(gstin) >= 14) & gstin.rlike("^[0-9A-Z]*$") & is_format(x, GSTIN), x))
+    fixed = f"substring(w, 1, 14) || {_check('w')}"
+    return inline(gstin, f"w -> {_if_format(fixed, GSTIN, chr(39).join(('length(w) >= 14 AND w RLIKE ', '^[0-9A-Z]*$', '')))}")
 
 
-def _attempt(word: Column, mode: int) -> Column:
+def _attempt(word: str, mode: int) -> str:
     """One repair of 15 characters, null if it does not make the format."""
-    letter = F.translate(_part(word, 12, 1), *GST_LETTER)
-    fixed = F.concat(F.translate(_part(word, 1, 2), *GST_STATE[mode]), F.translate(_part(word, 3, 5), *GST_LETTER), F.translate(_part(word, 8, 4), *GST_DIGIT[mode]), letter, _part(word, 13, 1), F.translate(_part(word, 14, 1), "2S5", "ZZZ"), _part(word, 15, 1))
-    return let(fixed, lambda x: F.when(is_format(x, GSTIN), x))
+    parts = [
+        _translated(word, 1, 2, *GST_STATE[mode]), _translated(word, 3, 5, *GST_LETTER), _translated(word, 8, 4, *GST_DIGIT[mode]), _translated(word, 12, 1, *GST_LETTER),
+        f"substring({word}, 13, 1)", _translated(word, 14, 1, "2S5", "ZZZ"), f"substring({word}, 15, 1)",
+    ]
+    return _if_format(" || ".join(parts), GSTIN)
 
 
-def repair_format(word: Column) -> Column:
+def _repaired(word: str) -> str:
     """15 characters repaired: the first attempt with a checksum, else the first that has the format."""
-    tries = F.array(*[_attempt(word, mode) for mode in range(3)])
-    return let(tries, lambda t: F.coalesce(first(t, has_checksum), F.get(t, F.lit(0)), F.get(t, F.lit(1))))
+    tries = f"array({', '.join(_attempt(word, mode) for mode in range(3))})"
+    return sql_let(tries, "tries", f"coalesce({sql_first('tries', 't', f'CASE WHEN {_checked("t")} THEN t END')}, tries[0], tries[1])")
 
 
-def variants(word: Column) -> Column:
-    """The word, then each single swap in it; then the same for the word with its digits put right."""
-    base = F.concat(_part(word, 1, 7), F.translate(_part(word, 8, 4), "OISBAZ", "015847"), _part(word, 12, 3), F.translate(_part(word, 15, 1), "O", "0"))
+def _variants(word: str) -> str:
+    base = f"substring({word}, 1, 7) || {_translated(word, 8, 4, 'OISBAZ', '015847')} || substring({word}, 12, 3) || {_translated(word, 15, 1, 'O', '0')}"
 
-    def swapped(one: Column, based: Column) -> Column:
+    def swapped(one: str) -> str:
         out = [one]
         for start, stop, old, new in SWAPS:
             for i in range(start, stop + 1):
-                now = _part(one, i, 1)
-                apt = F.translate(now, old, new)
-                fits = (apt != now) & ((now == _part(based, i, 1)) if start == 8 else F.lit(True))
-                out.append(F.when(fits, F.concat(F.substring(one, 1, i - 1), apt, F.substring(one, i + 1, 15))))
-        return F.array(*out)
+                now, apt = f"substring({one}, {i}, 1)", _translated(one, i, 1, old, new)
+                fits = f"{apt} <> {now}" + (f" AND {now} = substring(base, {i}, 1)" if start == 8 else "")
+                out.append(f"CASE WHEN {fits} THEN substring({one}, 1, {i - 1}) || {apt} || substring({one}, {i + 1}, 15) END")
+        return ", ".join(out)
+
+    return sql_let(base, "base", f"filter(array({swapped(word)}, {swapped('base')}), y -> y IS NOT NULL)")
 
-    return let(base, lambda b: F.filter(F.concat(swapped(word, b), swapped(b, b)), lambda x: x.isNotNull()))
+
+def variants(word: Column) -> Column:
+    """The word, then each single swap in it; then the same for the word with its digits put right."""
+    return inline(word, f"w -> {_variants('w')}")
 
 
 def repair_gstin(word: Column) -> Column:
@@ -121,8 +141,8 @@ def repair_gstin(word: Column) -> Column:
     hold.  With 15 a repair with a checksum is preferred, then a variant with
     one, then a repair without.
     """
-    guesses = F.array(*[F.concat(F.lit(p), word) for p in "0123"], *[F.concat(word, F.lit(s)) for s in "Z50"])
-    short = first_of(guesses, lambda g: let(repair_format(g), lambda r: F.when(has_checksum(r), r)))
-    valid = lambda x: has_checksum(x) & is_format(x, GSTIN)
-    long = let(repair_format(word), lambda r: F.when(has_checksum(r), r).otherwise(F.coalesce(let(F.coalesce(r, word), lambda w: first(variants(w), valid)), r)))
-    return F.when(F.length(word) == 14, short).when(F.length(word) == 15, long)
+    guesses = "array(" + ", ".join([*(f"'{p}' || w" for p in "0123"), *(f"w || '{s}'" for s in "Z50")]) + ")"
+    short = sql_first(guesses, "g", sql_let(_repaired("g"), "r", f"CASE WHEN {_checked('r')} THEN r END"))
+    varied = sql_let("coalesce(r, w)", "v", sql_first(_variants("v"), "z", f"CASE WHEN {_checked('z')} AND z RLIKE '^{GSTIN}$' THEN z END"))
+    long = sql_let(_repaired("w"), "r", f"CASE WHEN {_checked('r')} THEN r ELSE coalesce({varied}, r) END")
+    return inline(word, f"w -> CASE WHEN length(w) = 14 THEN {short} WHEN length(w) = 15 THEN {long} END")

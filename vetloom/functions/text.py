@@ -13,6 +13,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def inline(value: Column, function: str) -> Column:
+    """``function(value)`` with the value computed once; the function is a lambda in SQL."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), F.lit(0))
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """The same in SQL text: the body with a name for the value."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def sql_first(items: str, name: str, body: str) -> str:
+    """The first body that is not null, of items in order; nothing is computed for the items behind it."""
+    return f"aggregate({items}, CAST(NULL AS STRING), (found, {name}) -> coalesce(found, {body}))"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends (SQL's trim takes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
