@@ -1,12 +1,14 @@
 """Substring dedup against windows in a dictionary."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from vetloom.llm import substring_dedup
+from vetloom.llm import exchange, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words string, kept_text string, note string"
 
@@ -45,9 +47,11 @@ def corpus(seed):
     return rows
 
 
+@pytest.mark.parametrize("direct", [1 << 14, 1])  # one hop and two
 @pytest.mark.parametrize("heavy", [4, 1 << 16])
 @pytest.mark.parametrize("window", [5, 13])
-def test_windows(spark, monkeypatch, heavy, window):
+def test_windows(spark, monkeypatch, heavy, window, direct):
+    monkeypatch.setattr(exchange, "DIRECT", direct)
     monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
     rows = corpus(window)
@@ -56,6 +60,39 @@ def test_windows(spark, monkeypatch, heavy, window):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in done.collect()) == plain(rows, window)
 
 
+def test_reports_of_the_counting_pass_are_bounded(monkeypatch):
+    """At a pretended 100 TB, where the threshold of a part is as low as it gets."""
+    monkeypatch.setattr(substring_dedup, "COUNT_PART", 16_000)
+    monkeypatch.setattr(substring_dedup, "HELD", 3000)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 8000)
+    heavy_list = 1000
+    rng = random.Random(1)
+    texts = [" ".join([*rng.choices("abcdefghijklmnopqrstuvwxyz", k=70), *"xyz" * 10]) for _ in range(800)]
+    most = 100 << 40
+    seen = list(substring_dedup._counter(3, most / heavy_list / 2 / most)(iter([pa.record_batch({"t": pa.array(texts)})])))
+    assert len(seen) == 5
+    words = [t.split() for t in texts]
+    count = Counter(tuple(w[a : a + 3]) for w in words for a in range(len(w) - 2))
+    for batch in seen[:-1]:
+        assert batch.num_rows <= 2 * heavy_list and min(batch["_n"].to_pylist()) >= 8  # of 2 * 16,000 / 1000 / 4
+    top = sorted(count.values())[-3:]
+    found = Counter()
+    for batch in seen:
+        found.update(dict(zip(batch["_run"].to_pylist(), batch["_n"].to_pylist(), strict=True)))
+    assert sorted(found.values())[-3:] == top
+
+
+def test_relay_regroups_every_blob():
+    rng = random.Random(2)
+    sent = {(s, r): f"{s}-{r}".encode() for s in range(7) for r in range(20) if rng.random() < 0.6}
+    for width in (1, 5):
+        tables = [exchange.sent(s, [r for r in range(20) if (s, r) in sent], [sent[s, r] for r in range(20) if (s, r) in sent], width) for s in range(7)]
+        rows = pa.concat_tables(tables)
+        assert all(len({r // width for r in x["_to"]}) == 1 for x in rows.to_pylist())
+        got = exchange._relay(rows).to_pylist()
+        assert {(s, x["_to"]): b for x in got for s, b in zip(x["_from"], x["_blobs"], strict=True)} == sent and len(got) == 20
+
+
 def test_empty(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -9,8 +9,8 @@ id.
    ``minimiser`` words.  Consecutive windows with one minimiser form a
    super-k-mer: one packed string of words that stands for all of them.
    Equal super-k-mers of a chunk travel once, with their smallest id.
-2. The strings go to the bucket of their minimiser, where sorting brings equal
-   windows together.  Equal hashes are only taken as equal after their bytes
+2. The strings go to the bucket of their minimiser (see
+   :mod:`vetloom.llm.exchange`), where sorting brings equal windows together.  Equal hashes are only taken as equal after their bytes
    were compared.  The bucket tells each chunk which windows start in a
    document with a smaller id.
 3. The chunk repeats its split, which is deterministic, and marks the words.
@@ -20,7 +20,8 @@ counted over all texts) come last in the order of minimisers, so they lead a
 super-k-mer only where all runs of a window are that frequent.  Such windows
 travel one by one to the bucket of their own hash, so one frequent line or word
 pair is spread over all buckets.  The list is at most ``2 * HEAVY_LIST`` long
-because of its threshold, whatever the input.
+because of its threshold, and each part of the counting pass reports no more
+than that, whatever the input.
 
 Contract: null or empty text has no words and is kept.  Rows with a null id
 come after all other ids.  Rows of one id never remove each other's words.  All
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from . import frames
+from . import exchange, frames
 
 #: Bytes of text in a chunk, and of packed strings in a bucket, about.
 CHUNK_BYTES = 8 << 20
@@ -55,8 +56,10 @@ EXPANSION = 3
 #: Occurrences from which a minimiser counts as heavy, and the length that their list is held to.
 HEAVY = 1 << 16
 HEAVY_LIST = 1 << 20
-#: Runs that a task of the counting pass gathers before it reports.
-COUNT_PART = 1 << 21
+#: Runs that a task of the counting pass gathers before it reports, and keys that it holds before it adds them up.
+COUNT_PART, HELD = 1 << 24, 1 << 22
+#: Bytes that the tasks of a shuffle get, about; chunks and buckets differ, so some get several times that.
+TASK_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -137,6 +140,8 @@ def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 
 def _emitter(window: int, minimiser: int, heavy, buckets: int):
+    width = exchange.width(buckets)
+
     def emit(table: pa.Table) -> pa.Table:
         chunk = table["_chunk"][0].as_py()
         table, ids = _sorted(table)
@@ -151,7 +156,7 @@ def _emitter(window: int, minimiser: int, heavy, buckets: int):
             packed = b"".join([text[p:q] for p, q in zip(from_byte[i:j].tolist(), to_byte[i:j].tolist(), strict=True)])
             keys.append(b)
             out.append(A.pack(np.frombuffer(packed, np.uint8), s.rep_windows[i:j].astype(np.uint32), s.rep_id[i:j]))
-        return pa.table({"_bucket": pa.array(keys, pa.int64()), "_chunk": pa.array([chunk] * len(keys), pa.int64()), "_blob": A.blobs(out)})
+        return exchange.sent(chunk, keys, out, width)
 
     return emit
 
@@ -186,21 +191,22 @@ def earlier_windows(data: np.ndarray, n_windows: np.ndarray, ids: np.ndarray, wi
     return out
 
 
-def _resolver(window: int):
+def _resolver(window: int, chunks: int):
+    width = exchange.width(chunks)
+
     def resolve(table: pa.Table) -> pa.Table:
-        bucket = table["_bucket"][0].as_py()
-        chunks = table["_chunk"].to_pylist()
-        parts = [A.unpack(x) for x in table["_blob"].to_pylist()]
+        senders, blobs = exchange.flat(table, "_from")
+        parts = [A.unpack(x) for x in blobs]
         data, n_windows, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
         flags = earlier_windows(data, n_windows.astype(np.int64), ids, window)
-        keys, out, at = [], [], 0
-        for chunk, part in zip(chunks, parts, strict=True):
+        out, at = {}, 0
+        for chunk, part in zip(senders.tolist(), parts, strict=True):
             n = int(part[1].astype(np.int64).sum())
             if len(hits := np.flatnonzero(flags[at : at + n])):
-                keys.append(chunk)
-                out.append(A.pack(np.diff(hits, prepend=0).astype(np.uint32)))
+                out[chunk] = A.pack(np.diff(hits, prepend=0).astype(np.uint32))
             at += n
-        return pa.table({"_chunk": pa.array(keys, pa.int64()), "_bucket": pa.array([bucket] * len(keys), pa.int64()), "_blob": A.blobs(out)})
+        to = sorted(out)
+        return exchange.sent(table["_to"][0].as_py(), to, [out[c] for c in to], width)
 
     return resolve
 
@@ -222,7 +228,7 @@ def _marker(window: int, minimiser: int, heavy, buckets: int, cut: bool = False)
         s = split(ids, docs["_text"], window, minimiser, heavy.value, buckets)
         before = np.cumsum(s.rep_windows) - s.rep_windows
         flags = np.zeros(int(s.rep_windows.sum()), bool)
-        for bucket, blob in zip(answers["_bucket"].to_pylist(), answers["_blob"].to_pylist(), strict=True):
+        for bucket, blob in zip(*exchange.flat(answers, "_from"), strict=True):
             flags[before[np.searchsorted(s.rep_bucket, bucket)] + np.cumsum(A.unpack(blob)[0].astype(np.int64))] = True
         gone = np.repeat(s.later, s.length)
         if len(gone):
@@ -250,17 +256,22 @@ def _marker(window: int, minimiser: int, heavy, buckets: int, cut: bool = False)
     return mark
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(number, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
 def _counter(minimiser: int, threshold: float):
     """Reports, for each part of the runs that a task has seen, those that may be heavy over all."""
 
-    def report(gathered: list[np.ndarray]) -> pa.RecordBatch:
-        runs = np.concatenate(gathered)
-        keys, counts = np.unique(runs, return_counts=True)
-        often = counts >= threshold * len(runs)
-        return pa.record_batch({"_run": keys[often].astype(np.int64), "_n": counts[often].astype(np.int64)})
+    def report(keys: list[np.ndarray], counts: list[np.ndarray], n: int) -> pa.RecordBatch:
+        key, count = _added(keys, counts)
+        often = count >= threshold * n
+        return pa.record_batch({"_run": key[often].view(np.int64), "_n": count[often]})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, n = [], 0
+        keys, counts, n, held = [], [], 0, 0
         for batch in batches:
             step = 0
             data, offsets = A.text_buffer(batch.column(0))
@@ -269,14 +280,19 @@ def _counter(minimiser: int, threshold: float):
                 norm, starts, ends, doc_first = A.normal_words(pa.chunked_array([batch.column(0).slice(step, stop - step)]))
                 runs = _runs(A.span_hashes(norm, starts, ends), minimiser)
                 inside = A.concat_ranges(doc_first[:-1], np.maximum(0, np.diff(doc_first) - minimiser + 1))
-                gathered.append(runs[inside] if len(runs) else runs)
-                n += len(inside)
+                key, count_ = np.unique(runs[inside] if len(runs) else runs, return_counts=True)
+                keys.append(key)
+                counts.append(count_)
+                n, held = n + len(inside), held + len(key)
                 if n >= COUNT_PART:
-                    yield report(gathered)
-                    gathered, n = [], 0
+                    yield report(keys, counts, n)
+                    keys, counts, n, held = [], [], 0, 0
+                elif held >= HELD:
+                    key, count_ = _added(keys, counts)
+                    keys, counts, held = [key], [count_], len(key) // 2
                 step = stop
         if n:
-            yield report(gathered)
+            yield report(keys, counts, n)
 
     return count
 
@@ -285,9 +301,12 @@ def heavy_runs(docs: DataFrame, text_col: str, minimiser: int, total_bytes: int,
     """The runs of words with more than ``heavy`` occurrences, sorted; a list of bounded length.
 
     Each part of ``p`` runs reports those with at least ``heavy / 2 * p / all``
-    occurrences.  A run left out of every such report has fewer than
-    ``heavy / 2`` occurrences there, so each heavy run is reported at least
-    ``heavy / 2`` times; fewer than ``2 * all / heavy`` runs can be.
+    occurrences, of which there are at most ``2 * all / heavy``.  A run has
+    fewer than ``heavy / 2`` occurrences in all the parts that leave it out, so
+    each heavy run is reported at least ``heavy / 2`` times; again at most ``2 *
+    all / heavy`` runs can be.  As ``heavy`` is at least ``all / HEAVY_LIST``, a
+    full part has ``COUNT_PART / HEAVY_LIST / 2`` occurrences of each run that
+    it reports, at any size of the input.
     """
     most = max(1, total_bytes // 2)
     heavy = max(heavy, most // HEAVY_LIST)
@@ -308,9 +327,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = frames.others(docs, text_col, *new)
     id_ = F.col(id_col).cast("long")
     chunked = docs.select(frames.dealt(F.struct(id_, F.octet_length(text_col)), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
-    packed = chunked.groupBy("_chunk").applyInArrow(_emitter(window, minimiser, often, buckets), "_bucket long, _chunk long, _blob binary")
-    answers = packed.groupBy("_bucket").applyInArrow(_resolver(window), "_chunk long, _bucket long, _blob binary")
+    few, many = frames.tasks(spark, total, TASK_BYTES), frames.tasks(spark, EXPANSION * total, TASK_BYTES)
+    chunked = chunked.repartition(few, "_chunk")
+    packed = chunked.groupBy("_chunk").applyInArrow(_emitter(window, minimiser, often, buckets), exchange.SENT)
+    answers = exchange.exchange(packed, chunks, buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(window, chunks), exchange.SENT)
+    told = exchange.exchange(answers, buckets, chunks, few).repartition(few, "_to")
     kind = T.StructType([T.StructField("_row", chunked.schema["_row"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), *(T.StructField(n, T.StringType()) for n in new[2:])])
-    done = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_marker(window, minimiser, often, buckets, cut), kind)
+    done = chunked.groupBy("_chunk").cogroup(told.groupBy("_to")).applyInArrow(_marker(window, minimiser, often, buckets, cut), kind)
     names = [c for c in docs.columns if c not in (text_col, *new)]
     return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *new)
