@@ -34,7 +34,9 @@ def plain(rows):
     return out, count, pairs, len(train)
 
 
-def test_scores(spark, monkeypatch):
+@pytest.mark.parametrize("direct", [1 << 14, 1])
+def test_scores(spark, monkeypatch, direct):
+    monkeypatch.setattr(lm.exchange, "DIRECT", direct)
     rng = np.random.default_rng(0)
     follow = rng.integers(0, 40, (40, 3))
     rows = []
@@ -113,10 +115,10 @@ def test_counts_beyond_32_bits():
     large = 3 << 32
     keys = np.array([5, 9], np.uint64)
     one = lm.A.pack(lm._deltas(keys), lm.A.narrow(np.array([large, 1])), lm.A.narrow(np.array([large, 0])))
-    table = pa.table({"_bucket": [0, 0], "_chunk": [0, 7], "_blob": lm.A.blobs([one, one])})
-    out = lm._resolver(1)(table).to_pylist()
-    assert [x.tolist() for x in lm.A.unpack(out[0]["_blob"])] == [[2 * large, 2], [2 * large, 0]]
-    assert [x.tolist() for x in lm.A.unpack(out[1]["_blob"])] == [[2 * large, 2]]
+    table = pa.table({"_to": [0, 0], "_from": [[0], [7]], "_blobs": pa.array([[one], [one]], pa.list_(pa.binary()))})
+    out = lm._resolver(1, 8)(table).to_pylist()
+    assert [x.tolist() for x in lm.A.unpack(out[0]["_blobs"][0])] == [[2 * large, 2], [2 * large, 0]]
+    assert [x.tolist() for x in lm.A.unpack(out[1]["_blobs"][0])] == [[2 * large, 2]]
     assert (out[2]["_distinct"], out[2]["_tokens"], out[2]["_deleted"]) == (2, 2 * large + 2, 2 * large)
 
 

@@ -7,7 +7,7 @@ tokens, where ``v`` is the token before.  The weights depend on the bucket of
 
 1. Texts are dealt into chunks.  Each chunk sends its distinct words and word
    pairs, as sorted hashes (64 and 48 bits) with their counts, to buckets by
-   range.
+   range (see :mod:`vetloom.llm.exchange`).
 2. Buckets add up the counts over all chunks and answer each chunk's keys.
 3. A tenth of the training texts is the held-out part: their tokens are looked
    up in the counts without that tenth.  Expectation-maximisation learns the
@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from . import frames
+from . import exchange, frames
 
 CHUNK_BYTES = 8 << 20
 #: Text for which there is one bucket.
 BUCKET_BYTES = 4 << 20
+#: Bytes that the tasks of a shuffle get, about.
+TASK_BYTES = 16 << 20
 ADD = 0.1
 #: Bits of a word pair's hash; they make up most of what is shuffled.
 PAIR_BITS = 48
@@ -125,6 +127,7 @@ def _texts(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.ChunkedArray]:
 
 def _emitter(buckets: int):
     """For each kind of key and bucket: keys, and their counts in training texts and in the held-out part."""
+    width = exchange.width(2 * buckets)
 
     def emit(table: pa.Table) -> pa.Table:
         _, fold, texts = _texts(table)
@@ -138,42 +141,48 @@ def _emitter(buckets: int):
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 some = slice(edges[b], edges[b + 1])
                 rows.append((2 * b + kind, A.pack(_deltas(keys[some]), *(A.narrow(c[some]) for c in counts))))
-        chunk = table["_chunk"][0].as_py()
-        return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int64()), "_chunk": pa.array([chunk] * len(rows), pa.int64()), "_blob": A.blobs([r[1] for r in rows])})
+        rows.sort(key=lambda r: r[0])
+        return exchange.sent(table["_chunk"][0].as_py(), [r[0] for r in rows], [r[1] for r in rows], width)
 
     return emit
 
 
-_ANSWER = "_chunk long, _bucket long, _blob binary, _distinct long, _tokens long, _deleted long"
+_ANSWER = f"{exchange.SENT}, _distinct long, _tokens long, _deleted long"
 
 
-def _resolver(n_deleted: int):
-    """Answers all chunks' keys; chunk -1 gets how many distinct words and tokens the training texts have."""
+def _resolver(n_deleted: int, chunks: int):
+    """Answers all chunks' keys; a row of range -1 tells how many distinct words and tokens the training texts have."""
+    width = exchange.width(chunks)
 
     def resolve(table: pa.Table) -> pa.Table:
-        bucket, chunks = table["_bucket"][0].as_py(), table["_chunk"].to_pylist()
-        parts = [A.unpack(x) for x in table["_blob"].to_pylist()]
+        bucket = table["_to"][0].as_py()
+        senders, blobs = exchange.flat(table, "_from")
+        parts = [A.unpack(x) for x in blobs]
         keys = np.concatenate([_keys(p[0]) for p in parts])
         distinct, number = np.unique(keys, return_inverse=True)
         total, deleted = (np.bincount(number, np.concatenate([p[i] for p in parts]), len(distinct)).astype(np.int64) for i in (1, 2))
-        out, at = [], 0
-        for chunk, part in zip(chunks, parts, strict=True):
+        out, at = {}, 0
+        for chunk, part in zip(senders.tolist(), parts, strict=True):
             mine = number[at : at + len(part[1])]
-            out.append(A.pack(*(A.narrow(c[mine]) for c in ((total, deleted) if chunk < n_deleted else (total,)))))
+            out[chunk] = A.pack(*(A.narrow(c[mine]) for c in ((total, deleted) if chunk < n_deleted else (total,))))
             at += len(mine)
+        to = sorted(out)
+        told = exchange.sent(bucket, to, [out[c] for c in to], width)
         words = bucket % 2 == 0
         sums = [int((total > 0).sum()), int(total.sum()), int(deleted.sum())] if words else [0, 0, 0]
-        n = len(chunks)
-        columns = ([*chunks, -1], [bucket] * (n + 1), [*out, None], *([None] * n + [s] for s in sums))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({c.split()[0]: pa.array(x, k) for c, x, k in zip(_ANSWER.split(", "), columns, kinds, strict=True)})
+        none = pa.nulls(told.num_rows, pa.int64())
+        for name in ("_distinct", "_tokens", "_deleted"):
+            told = told.append_column(name, none)
+        last = pa.Table.from_pylist([{"_range": -1, "_from": bucket, "_distinct": sums[0], "_tokens": sums[1], "_deleted": sums[2]}], told.schema)
+        return pa.concat_tables([told, last])
 
     return resolve
 
 
 def _answers(table: pa.Table, part: int) -> tuple[np.ndarray, np.ndarray]:
     """The counts of the chunk's words and pairs."""
-    by_bucket = dict(zip(table["_bucket"].to_pylist(), table["_blob"].to_pylist(), strict=True))
+    buckets, blobs = exchange.flat(table, "_from")
+    by_bucket = dict(zip(buckets.tolist(), blobs, strict=True))
     return tuple(np.concatenate([np.zeros(0, np.int64), *(A.unpack(by_bucket[b])[part].astype(np.int64) for b in sorted(by_bucket) if b % 2 == kind)]) for kind in (0, 1))
 
 
@@ -255,14 +264,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     key = F.struct(id_, F.octet_length(text_col))
     chunk = F.when(fold == DELETED, frames.dealt(key, n_deleted)).otherwise(n_deleted + frames.dealt(key, n_other))
     rows = docs.select(chunk.alias("_chunk"), id_.alias("_id"), fold.alias("_fold"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_dealt, "_chunk long, _texts binary")
-    packed = rows.groupBy("_chunk").applyInArrow(_emitter(buckets), "_bucket long, _chunk long, _blob binary")
-    answers = frames.checkpointed(packed.groupBy("_bucket").applyInArrow(_resolver(n_deleted), _ANSWER))
-    sums = answers.filter("_chunk = -1").agg(F.sum("_distinct"), F.sum("_tokens"), F.sum("_deleted")).first()
+    chunks, spark = n_deleted + n_other, docs.sparkSession
+    few, many = frames.tasks(spark, total, TASK_BYTES), frames.tasks(spark, 2 * total, TASK_BYTES)
+    rows = rows.repartition(few, "_chunk")
+    packed = rows.groupBy("_chunk").applyInArrow(_emitter(buckets), exchange.SENT)
+    answers = frames.checkpointed(exchange.exchange(packed, chunks, 2 * buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(n_deleted, chunks), _ANSWER))
+    sums = answers.filter("_range = -1").agg(F.sum("_distinct"), F.sum("_tokens"), F.sum("_deleted")).first()
     distinct, tokens, deleted = (int(x or 0) for x in sums)
     texts = learned["n"]
     distinct, tokens = distinct + (texts > 0), tokens + texts
     without = texts - learned["deleted"], tokens - deleted - learned["deleted"]
-    told = answers.filter("_chunk >= 0").select(F.col("_chunk").alias("_to"), "_bucket", "_blob")
+    told = exchange.exchange(answers.filter("_range >= 0").select("_range", "_from", "_to", "_blobs"), 2 * buckets, chunks, few).repartition(few, "_to")
     seen = rows.filter(F.col("_chunk") < n_deleted).groupBy("_chunk").cogroup(told.filter(F.col("_to") < n_deleted).groupBy("_to"))
     cells = seen.applyInArrow(_collector(*without), "cell long, n double, s2 double, s1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).toPandas()
     n = cells["n"].to_numpy(float)
