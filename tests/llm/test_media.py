@@ -93,7 +93,7 @@ def test_rows(spark):
     texts = ["", None, "plain", "ünïcode \u0000\u0001 " * 90, "plain"]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(0, "again", "clash", 2)]
     got = media.load(media.store(spark.createDataFrame(rows, SCHEMA)), tensors=True)
-    assert got.columns == ["doc_id", "media", "payload", "n_bytes", "width", "height", "feature", "tensor"]
+    assert got.columns == ["doc_id", "media", "payload", "n_bytes", "width", "height", "feature", "error", "tensor"]
     found = got.collect()
     assert sorted((r.doc_id, bytes(r.payload), r.n_bytes) for r in found) == sorted((i, padded((t or "").encode()), len((t or "").encode())) for i, t, *_ in rows)
     assert all(len(r.tensor) == 3 * r.width * r.height for r in found)
@@ -101,13 +101,25 @@ def test_rows(spark):
     assert len({(bytes(r.media), r.feature) for r in same}) == 1
     assert media.load(media.store(spark.createDataFrame([], SCHEMA))).count() == 0
     nulls = media.load(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()
-    assert nulls.payload is None and nulls.tensor is None
+    assert nulls.payload is None and nulls.tensor is None and nulls.error is None
+
+
+def test_broken_images_are_rows_of_their_own(spark):
+    good = jpeg.write(np.frombuffer(padded(b"fine"), np.uint8), np.array([4]))[0]
+    files = [good, b"", b"no image", good[: len(good) // 2], bytes([255, 216, 255, 217]), good]
+    got = {r.i: r for r in media.load(spark.createDataFrame(list(enumerate(files)), "i long, media binary").coalesce(1)).collect()}
+    assert len(got) == len(files)
+    for i in (0, 5):
+        assert bytes(got[i].payload) == padded(b"fine") and got[i].error is None and got[i].tensor is not None
+    for i in (1, 2, 3, 4):
+        assert got[i].error and got[i].payload is None and got[i].tensor is None
 
 
 def test_query(spark, small_dir):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     for r in queries.op2_media(spark, small_dir).collect():
         payload = padded(texts[r.doc_id])
+        assert len(r.tensor) == 3 * r.width * r.height
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 

@@ -8,9 +8,9 @@ upsamples the chroma and gives the RGB tensor, the feature of its colours and,
 for images that ``store`` made, the payload.  Both work on a few MB at a time
 within a task and need no shuffle, so a hot source or group makes no difference.
 
-Contract: null text counts as empty.  A null image gives nulls.  All other
-columns are kept; input columns named like an output column are replaced.
-Bytes that are no such image are an error.
+Contract: null text counts as empty.  A null image gives nulls, and so do bytes
+that are no such image, with the reason in ``error``.  All other columns are
+kept; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -73,29 +73,38 @@ def _payload(image: jpeg.Image, coefs: np.ndarray) -> tuple[bytes | None, int |
 
 
 def load(media: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
-    """All columns, then ``payload``, ``n_bytes``, ``width``, ``height``, ``feature`` and, if asked for, ``tensor`` (height x width x 3 bytes)."""
-    added = {"payload": T.BinaryType(), "n_bytes": T.LongType(), "width": T.IntegerType(), "height": T.IntegerType(), "feature": T.StringType()}
+    """All columns, then ``payload``, ``n_bytes``, ``width``, ``height``, ``feature``, ``error`` and, if asked for, ``tensor`` (height x width x 3 bytes)."""
+    added = {"payload": T.BinaryType(), "n_bytes": T.LongType(), "width": T.IntegerType(), "height": T.IntegerType(), "feature": T.StringType(), "error": T.StringType()}
     if tensors:
         added["tensor"] = T.BinaryType()
     rest = [c for c in media.columns if c not in added]
     schema = T.StructType([*(media.schema[c] for c in rest), *(T.StructField(k, v) for k, v in added.items())])
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
 
     def rows(files: list[bytes]) -> list[tuple]:
         images, coefs = jpeg.read(files)
         blocks, out = jpeg.samples(images, coefs), []
         for image in images:
             tensor = jpeg.rgb(image, blocks)
-            row = (*_payload(image, coefs), image.width, image.height, feature(tensor))
+            row = (*_payload(image, coefs), image.width, image.height, feature(tensor), None)
             out.append((*row, tensor.tobytes()) if tensors else row)
         return out
 
+    def each(files: list[bytes]) -> list[tuple]:
+        """All files together, or one by one if some are no such images."""
+        try:
+            return rows(files)
+        except Exception as error:  # whatever broken bytes lead to is a result of its own
+            if len(files) > 1:
+                return [row for f in files for row in each([f])]
+            return [(*(None,) * 5, str(error) or type(error).__name__, *(None,) * tensors)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(rest.index(media_col))
             for a, b in A.text_steps(column, STEP_BYTES):
                 files = column.slice(a, b - a).to_pylist()
-                found = iter(rows([f for f in files if f is not None]))
+                found = iter(each([f for f in files if f is not None]))
                 columns = zip(*[next(found) if f is not None else (None,) * len(added) for f in files], strict=True)
                 new = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *new], schema.names)

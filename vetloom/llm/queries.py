@@ -5,6 +5,7 @@ Each gets its rows through the operator and derives the digest columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = media.store(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = media.load(images, tensors=False)
+    read = media.load(images)
     return read.select(
         "doc_id",
         "n_bytes",
@@ -37,6 +38,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "width",
+        "height",
+        "tensor",
     )
 
 
@@ -75,8 +79,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = frames.checkpointed(warc.normalise(warc.write(_table(spark, sf_dir, "pages"))))
-    return warc.read(archives, payloads=False)
+    folder = f"{frames.shared_folder(spark)}/warc/{uuid.uuid4().hex}"
+    saved = warc.save(warc.write(_table(spark, sf_dir, "pages")), f"{folder}/gzip")
+    rows = warc.read(warc.normalise(saved, f"{folder}/records"), payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
