@@ -1,6 +1,8 @@
 """Language identification: held-out accuracy, rejection, and the rules of the contract."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,43 @@ def test_counts_are_those_of_each_text_alone():
     assert (langid.counts(pa.array(["HELLO world"])) == langid.counts(pa.array(["hello WORLD"]))).all()
 
 
+def plain_counts(text):
+    """How often each hashed place has an n-gram of 1 to 3 bytes with a letter, others than letters as blanks."""
+    data = (text or "").lower().encode()
+    letter = [b >= 128 or ord("a") <= b <= ord("z") for b in data]
+    out = Counter()
+    for size in (1, 2, 3):
+        for at in range(len(data) - size + 1):
+            if any(letter[at : at + size]):
+                h = 0
+                for i in range(at, at + size):
+                    h = (h * 257 + (data[i] if letter[i] else 0x20) + 1) % 2**64
+                out[(h * 0x9E3779B97F4A7C15 % 2**64) >> 52] += 1
+    return out
+
+
+def test_query_against_plain_vectors(spark, small_dir):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
+    counted = {i: plain_counts(r.text) for i, r in docs.items()}
+    train = [i for i, r in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2 and r.lang is not None]
+    seen = Counter(place for i in train for place in counted[i])
+    idf = [math.log((1 + len(train)) / (1 + seen[place])) + 1 for place in range(langid.DIMS)]
+    frame = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(frame.filter(langid.fold(F.col("doc_id")) != 2), "text", "lang")
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    for r in queries.op6_language_id(spark, small_dir).collect():
+        vector = {place: math.log1p(n) * idf[place] for place, n in counted[r.doc_id].items()}
+        size = math.sqrt(sum(x * x for x in vector.values()))
+        if not any(c.isalpha() for c in docs[r.doc_id].text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = [sum(x * float(c[place]) for place, x in vector.items()) / size for c in model.centroids]
+        best = max(cosines)
+        assert abs(r.score - best) < 1e-4 and r.lang_pred in {model.labels[i] for i, x in enumerate(cosines) if best - x < 1e-4}
+        limit = model.limits[cosines.index(best)]
+        assert r.rejected == (best < limit) or abs(best - limit) < 1e-4
+
+
 def test_mislabelled_cluster_goes():
     rng = np.random.default_rng(0)
     a, b = np.eye(8, dtype=np.float32)[[0, 4]]
