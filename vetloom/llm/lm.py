@@ -41,8 +41,8 @@ from . import exchange, frames
 CHUNK_BYTES = 8 << 20
 #: Text for which there is one bucket.
 BUCKET_BYTES = 4 << 20
-#: Bytes that the tasks of a shuffle get, about.
-TASK_BYTES = 16 << 20
+#: Bytes that the tasks of a shuffle get, about: of texts, so that few chunks meet in a task, and of keys.
+TEXT_TASK, TASK_BYTES = 4 << 20, 16 << 20
 ADD = 0.1
 #: Bits of a word pair's hash; they make up most of what is shuffled.
 PAIR_BITS = 48
@@ -265,7 +265,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunk = F.when(fold == DELETED, frames.dealt(key, n_deleted)).otherwise(n_deleted + frames.dealt(key, n_other))
     rows = docs.select(chunk.alias("_chunk"), id_.alias("_id"), fold.alias("_fold"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_dealt, "_chunk long, _texts binary")
     chunks, spark = n_deleted + n_other, docs.sparkSession
-    few, many = frames.tasks(spark, total, TASK_BYTES), frames.tasks(spark, 2 * total, TASK_BYTES)
+    few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, 2 * total, TASK_BYTES)
     rows = rows.repartition(few, "_chunk")
     packed = rows.groupBy("_chunk").applyInArrow(_emitter(buckets), exchange.SENT)
     answers = frames.checkpointed(exchange.exchange(packed, chunks, 2 * buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(n_deleted, chunks), _ANSWER))

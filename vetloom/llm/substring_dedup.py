@@ -58,8 +58,8 @@ HEAVY = 1 << 16
 HEAVY_LIST = 1 << 20
 #: Runs that a task of the counting pass gathers before it reports, and keys that it holds before it adds them up.
 COUNT_PART, HELD = 1 << 24, 1 << 22
-#: Bytes that the tasks of a shuffle get, about; chunks and buckets differ, so some get several times that.
-TASK_BYTES = 16 << 20
+#: Bytes that the tasks of a shuffle get, about: of texts, so that few chunks meet in a task, and of packed strings.
+TEXT_TASK, TASK_BYTES = 4 << 20, 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -327,7 +327,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = frames.others(docs, text_col, *new)
     id_ = F.col(id_col).cast("long")
     chunked = docs.select(frames.dealt(F.struct(id_, F.octet_length(text_col)), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
-    few, many = frames.tasks(spark, total, TASK_BYTES), frames.tasks(spark, EXPANSION * total, TASK_BYTES)
+    few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, EXPANSION * total, TASK_BYTES)
     chunked = chunked.repartition(few, "_chunk")
     packed = chunked.groupBy("_chunk").applyInArrow(_emitter(window, minimiser, often, buckets), exchange.SENT)
     answers = exchange.exchange(packed, chunks, buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(window, chunks), exchange.SENT)
