@@ -100,7 +100,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     # written first, so that the join's sides are plain shuffles, and Spark can split those of a payload that very many pages share
     most = frames.checkpointed(sums.groupBy("_sha").agg(F.max("_id").alias("_refers"), F.count("*").alias("_n")).filter("_n > 1 and _refers is not null").drop("_n"))
     revisits = sums.join(most, "_sha").filter("_id is null or _id < _refers").select(F.col("_shard").alias("_at"), F.col("_id").alias("_page"), F.col("_sha").alias("_key"), "_refers").distinct()
-    return rows.groupBy("_shard").cogroup(revisits.groupBy("_at")).applyInArrow(_writer, "name string, content binary")
+    tasks = frames.tasks(pages.sparkSession, total, SHARD_BYTES // 2)
+    return rows.repartition(tasks, "_shard").groupBy("_shard").cogroup(revisits.repartition(tasks, "_at").groupBy("_at")).applyInArrow(_writer, "name string, content binary")
 
 
 class Files:
