@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 from vetloom.session import checkpointed, shared_folder  # noqa: F401  the operators take both from here
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame, written as a Parquet table to the shared checkpoint folder and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+def new_table(spark: SparkSession) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The frame, written as a Parquet table to the path (a new one if none) and read from there."""
+    path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing needs any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application's operators have left in the shared folder; frames that read it are lost."""
+    for name in ("tables", "warc"):
+        delete(spark, f"{shared_folder(spark)}/{name}")
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """The UTF-8 bytes of all values of a column: one number, from a scan of that column."""
     return int(df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
