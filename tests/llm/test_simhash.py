@@ -61,8 +61,9 @@ def test_pairs_of_chunks_are_pruned_before_keys_move(spark):
     keys = np.sort(np.unique(rng.integers(0, 1 << 52, 4000, dtype=np.uint64)))  # one value of the twelve leading bits
     batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array((keys ^ simhash._SIGN).view(np.int64))], ["b", "k"])
     rows = next(simhash._chunks(simhash.orders(4, 1), 8)(iter([batch]))).to_pylist()
-    chunks = spark.createDataFrame([tuple(r.values()) for r in rows], "b int, lead long, lo long, hi long, common int, keys binary")
-    got = {(r.lo, r.lo2) for r in simhash.chunk_pairs(chunks, 4).collect()}
+    chunks = spark.createDataFrame([tuple(r.values()) for r in rows], "b int, lead long, lo long, hi long, common int, part long, keys binary")
+    lo = {r["part"]: r["lo"] for r in rows}
+    got = {(lo[r.part], lo[r.part2]) for r in simhash.chunk_pairs(chunks, 4).collect()}
     n = len(rows)
     assert n == 500 and len(got) < n * (n - 1) / 2 * 0.85
     members = {r["lo"]: np.frombuffer(r["keys"], np.uint64) for r in rows}
@@ -72,6 +73,63 @@ def test_pairs_of_chunks_are_pruned_before_keys_move(spark):
             assert not near or a >= b or (a, b) in got
 
 
+def slow_wide(texts, words=5):
+    """Components of all pairs of wide fingerprints within the budget."""
+    fps = simhash.wide_fingerprints(pa.array(texts, pa.string()), words)
+    i, j = np.triu_indices(len(fps), 1)
+    ok = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= simhash.WIDE_BUDGET
+    return graph.local_components(len(fps), i[ok], j[ok])
+
+
+def test_wide_fingerprints_of_each_text_alone():
+    texts = ["a b c d e f g " * 30, "", None, "one", "Two words", "x y z " * 9000]
+    together = simhash.wide_fingerprints(pa.array(texts), 5)
+    for i, text in enumerate(texts):
+        assert (simhash.wide_fingerprints(pa.array([text], pa.string()), 5)[0] == together[i]).all()
+    assert not together[1].any() and (together[1] == together[2]).all() and together[3].any()
+
+
+def edited(words, share, rng):
+    out = list(words)
+    for at in rng.choice(len(out), int(share * len(out)), replace=False):
+        out[at] = f"new{rng.integers(1 << 40)}"
+    return out
+
+
+def test_similar_texts_are_found_and_others_are_not(spark):
+    rng = np.random.default_rng(8)
+    rows, groups = [], []
+    for g in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for text in (base, edited(base, 0.01, rng), [*base, "the", "end"]):
+            rows.append((len(rows), " ".join(text), "clash"))
+            groups.append(g)
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=5, budget=simhash.WIDE_BUDGET, bits=simhash.WIDE).collect()}
+    assert len(got) == len(rows) and len(got[0].fingerprint) == 64
+    roots = {g: {got[i].component_id for i in range(len(rows)) if groups[i] == g} for g in range(150)}
+    assert len(set.union(*roots.values())) >= 150  # no two groups are joined
+    assert sum(len(r) == 1 for r in roots.values()) >= 147
+
+
+def test_wide_tries_match_all_pairs(spark):
+    """A dense group of fingerprints, some with equal keys, cut into small chunks."""
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    fps = np.repeat(centre, 60, axis=0)
+    for row in fps:
+        for bit in rng.choice(256, int(rng.integers(0, 40)), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    fps = np.unique(fps, axis=0)
+    df = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(fps)], "node long, fp binary").repartition(3)
+    i, j = np.triu_indices(len(fps), 1)
+    ok = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= simhash.WIDE_BUDGET
+    want = graph.local_components(len(fps), i[ok], j[ok])
+    for chunk in (5, 4096):
+        edges = simhash.wide_edges(df, chunk=chunk).collect()
+        got = graph.local_components(len(fps), np.array([e.u for e in edges]), np.array([e.v for e in edges]))
+        assert all(want[a] == want[b] for a, b in enumerate(got)) and len(set(got.tolist())) <= len(set(want.tolist())) + 3
+
+
 def test_query_rows(spark):
     base = " ".join(f"w{i}" for i in range(300))
     texts = [base, base.replace("w7 ", "v7 "), base + " end", "other text of five words", "", None, " \n", "short", "SHORT"]
@@ -84,7 +142,7 @@ def test_query_rows(spark):
         assert row.fingerprint == f"{fps[row.doc_id]:016x}"
         me = [r[0] for r in rows].index(row.doc_id)
         assert row.component_id == min(r[0] for r, x in zip(rows, label, strict=True) if x == label[me] and r[0] is not None)
-    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), words=4, budget=4, bits=64)
     assert kept.columns == ["doc_id", "text", "fingerprint"]
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({r.component_id for r in got} | {-1})
 

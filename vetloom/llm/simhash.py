@@ -21,6 +21,17 @@ link where their fingerprints differ in at most ``budget`` bits.
    two nodes whose fingerprints are all in one component already are pruned.
    Alternating stars join these components over all tasks.
 
+That finds every link within a few bits.  Texts with a similarity (Jaccard, of
+five-word shingles) of 0.8 differ in about a seventh of their bits, more than
+blocks can serve.  For these there are *wide* fingerprints of 256 bits and a
+budget of 44.  Here the tries' orders lead with bits drawn at random, so many
+that about :data:`PER_PROBE` fingerprints share their values, and there are so
+many orders that a pair :data:`FAR` bits apart, which is at the edge of 0.8,
+meets in one with a probability of :data:`RECALL`; nearer ones almost surely do.
+Steps 3 to 5 are the same; the traversal adds up differing bits of the order,
+and leaves compare all bits.  The number of orders grows slowly, with about the
+fourth root of the number of fingerprints.
+
 Contract: null or blank text has the fingerprint zero.  ``component_id`` is the
 smallest id that is not null among the rows reachable, null if there is none.
 Repeated rows each get a row.  Other columns are not carried.
@@ -29,6 +40,7 @@ Repeated rows each get a row.  Other columns are not carried.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,9 +59,14 @@ SEED = 42
 STEP_BYTES, STEP_SHINGLES = 4 << 20, 1 << 17
 #: Fingerprints of a chunk, and pairs up to which two nodes are compared outright.
 CHUNK, LEAF = 4096, 64
+#: Pairs of small nodes that are compared at a time.
+STEP_NODES = 1 << 14
 #: Fingerprints under one value of the leading bits, about, from which on more blocks are taken.
 PER_LEAD = 16_384
 TASK_BYTES = 8 << 20
+#: Wide fingerprints: the bits, the budget, and how tries are probed for it.
+WIDE, WIDE_BUDGET = 256, 44
+PER_PROBE, FAR, RECALL = 16, 40, 0.95
 #: Neighbours in sorted order that are linked first, so that dense regions are pruned early.
 NEAR = 4
 SALTS = 16
@@ -77,17 +94,48 @@ def text_fingerprints(column: pa.Array, words: int) -> np.ndarray:
     return np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """The id column and ``fp``, the 64 bits as a long."""
+def wide_fingerprints(column: pa.Array, words: int, bits: int = WIDE) -> np.ndarray:
+    """The wide fingerprint of each text, as rows of 64-bit parts; a shingle's hash is made from those of its words."""
+    norm, starts, ends, first = A.normal_words(column)
+    hashes = A.span_hashes(A.LOWER[norm], starts, ends)
+    n_words = np.diff(first)
+    n = np.where(n_words > 0, np.maximum(1, n_words - words + 1), 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    shingles = A.run_hashes(hashes, A.concat_ranges(first[:-1], n), np.minimum(n_words, words)[doc])
+    salts = np.arange(1, bits // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros((len(n), bits), np.int64)
+    step = STEP_SHINGLES * BITS // bits
+    for at in range(0, len(shingles), step):
+        values = np.stack([A.mix(shingles[at : at + step] + salt) for salt in salts], axis=1)
+        docs = doc[at : at + step]
+        edge = np.flatnonzero(np.diff(docs, prepend=-1))
+        ones[docs[edge]] += np.add.reduceat(np.unpackbits(values.view(np.uint8), axis=1), edge, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
+    """The id column and ``fp``: 64 bits as a long, more as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in A.text_steps(batch.column(1), STEP_BYTES):
-                fp = text_fingerprints(batch.column(1).slice(a, b - a), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["_id", "fp"])
+                column = batch.column(1).slice(a, b - a)
+                fp = pa.array(text_fingerprints(column, words).view(np.int64)) if bits == BITS else _bytes(wide_fingerprints(column, words, bits))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fp], ["_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, fp long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id long, fp {'long' if bits == BITS else 'binary'}").withColumnRenamed("_id", id_col)
+
+
+def _bytes(parts: np.ndarray) -> pa.Array:
+    """Rows of 64-bit parts as byte strings of one length."""
+    size = 8 * parts.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((np.arange(len(parts) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(parts))])
+
+
+def _parts(column: pa.Array) -> np.ndarray:
+    data, offsets = A.text_buffer(column)
+    return np.ascontiguousarray(data).view(np.uint64).reshape(len(offsets) - 1, -1)
 
 
 @dataclass(frozen=True)
@@ -137,24 +185,71 @@ def shared_blocks(n: int, budget: int, per_lead: int = PER_LEAD) -> int:
     return next((s for s in range(1, 4) if n >> min(o.lead for o in orders(budget, s)) <= per_lead), 4)
 
 
-def _close(keys: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
-    return np.bitwise_count(keys[i] ^ keys[j]) <= budget
+@dataclass(frozen=True)
+class Probe:
+    """An order of a wide fingerprint: the bits that make its trie key, and how many of them lead."""
 
+    bits: tuple[int, ...]
+    lead: int
 
-def _leaves(keys: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the members of small nodes."""
-    width = hb - lb
-    i = A.concat_ranges(la, ha - la)
-    pair = np.repeat(np.arange(len(la)), ha - la)
-    j = A.concat_ranges(lb[pair], width[pair])
-    i = np.repeat(i, width[pair])
-    ok = i < j
-    i, j = i[ok], j[ok]
-    ok = _close(keys, i, j, budget)
-    return i[ok], j[ok]
 
+def probes(n: int, bits: int = WIDE, per_probe: int = PER_PROBE) -> list[Probe]:
+    """Orders for ``n`` wide fingerprints."""
+    lead = min(48, max(1, math.ceil(math.log2(max(2, n / per_probe)))))
+    several = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR / bits) ** lead))
+    rng = np.random.default_rng(SEED)
+    return [Probe(tuple(rng.permutation(bits)[:BITS].tolist()), lead) for _ in range(several)]
+
+
+@dataclass
+class Part:
+    """Sorted trie keys of one order, the names of their fingerprints, and all their bits (64 in a column)."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    full: np.ndarray
+
+    def close(self, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
+        if self.full.shape[1] == 1:
+            return np.bitwise_count(self.keys[i] ^ self.keys[j]) <= budget
+        return np.bitwise_count(self.full[i] ^ self.full[j]).sum(axis=1) <= budget
+
+    def cut(self, a: int, b: int) -> bytes:
+        """The members a to b - 1, packed; :func:`unpacked` reads them."""
+        arrays = [self.keys, self.ids, self.full] if self.full.shape[1] > 1 else [self.keys]
+        return b"".join(x[a:b].tobytes() for x in arrays)
 
-def trie_links(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def unpacked(data: list[bytes], order: Order | Probe) -> Part:
+    """The members of some packed ranges, one behind the other."""
+    if isinstance(order, Order):
+        keys = np.concatenate([np.frombuffer(d, np.uint64) for d in data])
+        return Part(keys, order.back(keys), keys[:, None])
+    wide = WIDE // BITS
+    sizes = [len(d) // (16 + 8 * wide) for d in data]
+    whole = zip(data, sizes, strict=True)
+    keys, ids, full = zip(*[(np.frombuffer(d, np.uint64, n), np.frombuffer(d, np.int64, n, 8 * n), np.frombuffer(d, np.uint64, n * wide, 16 * n)) for d, n in whole], strict=True)
+    return Part(np.concatenate(keys), np.concatenate(ids), np.concatenate(full).reshape(-1, wide))
+
+
+def _leaves(part: Part, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the members of small nodes."""
+    links = [(np.zeros(0, np.int64),) * 2]
+    for at in range(0, len(la), STEP_NODES):
+        a, b = la[at : at + STEP_NODES], ha[at : at + STEP_NODES]
+        first, width = lb[at : at + STEP_NODES], (hb - lb)[at : at + STEP_NODES]
+        i = A.concat_ranges(a, b - a)
+        pair = np.repeat(np.arange(len(a)), b - a)
+        j = A.concat_ranges(first[pair], width[pair])
+        i = np.repeat(i, width[pair])
+        ok = i < j
+        i, j = i[ok], j[ok]
+        ok = part.close(i, j, budget)
+        links.append((i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*links, strict=True))
+
+
+def trie_links(part: Part, pairs: tuple[np.ndarray, ...], depth: int, budget: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join components, from pairs of nodes (ranges ``la:ha`` and ``lb:hb`` of the sorted keys)."""
     la, ha, lb, hb = pairs
     used = np.zeros(len(la), np.int64)
@@ -164,20 +259,24 @@ def trie_links(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budg
         same = (labels[la] == labels[lb]) & (changes[ha - 1] == changes[la]) & (changes[hb - 1] == changes[lb])
         small = (ha - la) * (hb - lb) <= LEAF
         leaf = small & ~same
-        i, j = _leaves(keys, la[leaf], ha[leaf], lb[leaf], hb[leaf], budget)
+        i, j = _leaves(part, la[leaf], ha[leaf], lb[leaf], hb[leaf], budget)
         from_.append(i)
         to.append(j)
         go = ~small & ~same
         la, ha, lb, hb, used = (x[go] for x in (la, ha, lb, hb, used))
-        if depth == BITS or not len(la):
+        if not len(la):
             break
-        ones = np.zeros(len(keys) + 1, np.int64)
-        np.cumsum((keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1), out=ones[1:])
-        ma, mb = ha - (ones[ha] - ones[la]), hb - (ones[hb] - ones[lb])
+        if depth < BITS:
+            ones = np.zeros(len(part.keys) + 1, np.int64)
+            np.cumsum((part.keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1), out=ones[1:])
+            ma, mb = ha - (ones[ha] - ones[la]), hb - (ones[hb] - ones[lb])
+        else:  # equal keys of wide fingerprints: halves, which tell nothing of differing bits
+            ma, mb = (la + ha) // 2, (lb + hb) // 2
+        differ = int(depth < BITS)
         own = la == lb
-        children = [(la, ma, lb, mb, used), (ma, ha, mb, hb, used), (la, ma, mb, hb, used + 1)]
+        children = [(la, ma, lb, mb, used), (ma, ha, mb, hb, used), (la, ma, mb, hb, used + differ)]
         other = ~own
-        children.append((ma[other], ha[other], lb[other], mb[other], used[other] + 1))
+        children.append((ma[other], ha[other], lb[other], mb[other], used[other] + differ))
         la, ha, lb, hb, used = (np.concatenate(c) for c in zip(*children, strict=True))
         keep = (ha > la) & (hb > lb) & (used <= budget)
         la, ha, lb, hb, used = (x[keep] for x in (la, ha, lb, hb, used))
@@ -185,29 +284,37 @@ def trie_links(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budg
     return np.concatenate(from_ or [np.zeros(0, np.int64)]), np.concatenate(to or [np.zeros(0, np.int64)])
 
 
-def _stars(keys: np.ndarray, pairs: tuple[np.ndarray, ...], order: Order, budget: int) -> pa.RecordBatch:
+def _stars(part: Part, pairs: tuple[np.ndarray, ...], lead: int, budget: int) -> pa.RecordBatch:
     """A link from each member of a component to its smallest fingerprint."""
-    near = [(np.arange(len(keys) - s), np.arange(s, len(keys))) for s in range(1, min(NEAR, len(keys) - 1) + 1)]
+    n = len(part.keys)
+    near = [(np.arange(n - s), np.arange(s, n)) for s in range(1, min(NEAR, n - 1) + 1)]
     i, j = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64),) * 2
-    ok = _close(keys, i, j, budget)
+    ok = part.close(i, j, budget)
     i, j = i[ok], j[ok]
-    labels = graph.local_components(len(keys), i, j)
-    more = trie_links(keys, pairs, order.lead, budget, labels)
-    labels = graph.local_components(len(keys), np.concatenate([i, more[0]]), np.concatenate([j, more[1]]))
-    fps = order.back(keys)
-    by = np.lexsort((fps, labels))
-    first = np.maximum.accumulate(np.where(np.diff(labels[by], prepend=-1) != 0, np.arange(len(by)), 0)) if len(by) else by
-    u, v = fps[by], fps[by[first]] if len(by) else fps
+    labels = graph.local_components(n, i, j)
+    more = trie_links(part, pairs, lead, budget, labels)
+    labels = graph.local_components(n, np.concatenate([i, more[0]]), np.concatenate([j, more[1]]))
+    by = np.lexsort((part.ids, labels))
+    first = np.maximum.accumulate(np.where(np.diff(labels[by], prepend=-1) != 0, np.arange(n), 0)) if n else by
+    u, v = part.ids[by], part.ids[by[first]] if n else part.ids
     return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
 
-def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+def _sorted_parts(batches: Iterator[pa.RecordBatch], all_: list[Order] | list[Probe]) -> Iterator[tuple[int, Part]]:
     """For each order in a partition, its keys in order."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    wide = isinstance(all_[0], Probe)
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), *((b.column(2).to_numpy(), _parts(b.column(3))) if wide else ())) for b in batches if b.num_rows]
     if parts:
-        number, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        number, key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
         for b in np.unique(number).tolist():
-            yield b, np.sort(key[number == b].view(np.uint64) ^ _SIGN)
+            mine = np.flatnonzero(number == b)
+            keys = key[mine].view(np.uint64) ^ _SIGN
+            if wide:
+                order = np.argsort(keys, kind="stable")
+                yield b, Part(keys[order], more[0][mine][order], more[1][mine][order])
+            else:
+                keys.sort()
+                yield b, Part(keys, all_[b].back(keys), keys[:, None])
 
 
 def _ranges(keys: np.ndarray, width: int) -> np.ndarray:
@@ -216,94 +323,129 @@ def _ranges(keys: np.ndarray, width: int) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(lead, prepend=~lead[:1]) != 0), len(keys))
 
 
-def _within(all_: list[Order], budget: int, chunk: int):
+def _within(all_: list[Order] | list[Probe], budget: int, chunk: int):
     """Links within the chunks of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, keys in _sorted_parts(batches):
-            edges = _ranges(keys, all_[b].lead)
+        for b, part in _sorted_parts(batches, all_):
+            edges = _ranges(part.keys, all_[b].lead)
             sizes = np.diff(edges)
             n = -(-sizes // chunk)
             start = np.repeat(edges[:-1], n) + chunk * A.concat_ranges(np.zeros(len(n), np.int64), n)
             stop = np.minimum(start + chunk, np.repeat(edges[1:], n))
-            yield _stars(keys, (start, stop, start, stop), all_[b], budget)
+            yield _stars(part, (start, stop, start, stop), all_[b].lead, budget)
 
     return run
 
 
-_CHUNK = {"b": pa.int32(), "lead": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "common": pa.int32(), "keys": pa.binary()}
+_CHUNK = {"b": pa.int32(), "lead": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "common": pa.int32(), "part": pa.int64(), "keys": pa.binary()}
 
 
-def _chunks(all_: list[Order], chunk: int):
+def _chunks(all_: list[Order] | list[Probe], chunk: int):
     """The chunks of values that are cut, or that may go on in the next partition, and how many leading bits all of a chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, keys in _sorted_parts(batches):
-            width, rows = all_[b].lead, []
+        for b, part in _sorted_parts(batches, all_):
+            keys, width, rows = part.keys, all_[b].lead, []
             edges = _ranges(keys, width)
             for i in {0, len(edges) - 2, *np.flatnonzero(np.diff(edges) > chunk).tolist()}:
                 for at in range(edges[i], edges[i + 1], chunk):
-                    some = keys[at : min(at + chunk, edges[i + 1])]
-                    common = BITS - int(some[0] ^ some[-1]).bit_length()
-                    rows.append((b, int(some[0] >> np.uint64(BITS - width)), int((some[0] ^ _SIGN).view(np.int64)), int((some[-1] ^ _SIGN).view(np.int64)), common, some.tobytes()))
+                    end = min(at + chunk, edges[i + 1])
+                    low, high = keys[at], keys[end - 1]
+                    common = BITS - int(low ^ high).bit_length()
+                    # keys of wide fingerprints repeat, so a chunk's number tells it apart
+                    number = int(A.mix(part.ids[at : at + 1].view(np.uint64)).view(np.int64)[0])
+                    rows.append((b, int(low >> np.uint64(BITS - width)), int((low ^ _SIGN).view(np.int64)), int((high ^ _SIGN).view(np.int64)), common, number, part.cut(at, end)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK.values(), strict=True)], list(_CHUNK))
 
     return run
 
 
 def chunk_pairs(chunks: DataFrame, budget: int) -> DataFrame:
-    """(b, lo, lo2): pairs of chunks with the same leading bits whose common bits differ by the budget at most.  No keys travel."""
-    heads = chunks.select("b", "lead", "lo", "hi", "common")
-    left = heads.withColumn("salt", frames.dealt(F.col("lo"), SALTS))
-    right = heads.select("b", "lead", F.col("lo").alias("lo2"), F.col("common").alias("common2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    """(b, part, part2): pairs of chunks with the same leading bits whose common bits differ by the budget at most.  No keys travel."""
+    heads = chunks.select("b", "lead", "lo", "common", "part")
+    left = heads.withColumn("salt", frames.dealt(F.col("part"), SALTS))
+    right = heads.select("b", "lead", F.col("lo").alias("lo2"), F.col("common").alias("common2"), F.col("part").alias("part2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     differ = F.bit_count(F.expr("shiftrightunsigned(lo ^ lo2, 64 - least(common, common2))"))
-    return left.join(right, ["b", "lead", "salt"]).filter(F.col("hi") < F.col("lo2")).filter(differ <= budget).select("b", "lo", "lo2")
+    before = F.struct("lo", "part") < F.struct(F.col("lo2").alias("lo"), F.col("part2").alias("part"))
+    return left.join(right, ["b", "lead", "salt"]).filter(before).filter(differ <= budget).select("b", "part", "part2")
 
 
-def _between(all_: list[Order], budget: int):
+def _between(all_: list[Order] | list[Probe], budget: int):
     """Links between the two chunks of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                one, two = (np.frombuffer(row[k], np.uint64) for k in ("keys", "keys2"))
-                at, end = np.array([len(one)]), np.array([len(one) + len(two)])
-                yield _stars(np.concatenate([one, two]), (np.array([0]), at, at, end), all_[row["b"]], budget)
+                order = all_[row["b"]]
+                one, both = unpacked([row["keys"]], order), unpacked([row["keys"], row["keys2"]], order)
+                at, end = np.array([len(one.keys)]), np.array([len(both.keys)])
+                yield _stars(both, (np.array([0]), at, at, end), order.lead, budget)
 
     return run
 
 
+def _edges(keyed: DataFrame, all_: list[Order] | list[Probe], budget: int, chunk: int, n: int, size: int) -> DataFrame:
+    """Links from the tries of keyed fingerprints: order ``b``, key ``k`` and, of wide ones, their name and bits."""
+    spark = keyed.sparkSession
+    tries = frames.checkpointed(keyed.repartitionByRange(frames.tasks(spark, size * n * len(all_), TASK_BYTES), "b", "k"))
+    within = tries.mapInArrow(_within(all_, budget, chunk), "u long, v long")
+    chunks = frames.stored(tries.mapInArrow(_chunks(all_, chunk), "b int, lead long, lo long, hi long, common int, part long, keys binary"))
+    pairs = frames.stored(chunk_pairs(chunks, budget))
+    tasks = frames.tasks(spark, 2 * size * chunk * pairs.count(), 4 * TASK_BYTES)
+    full = pairs.join(chunks.select("b", "part", "keys"), ["b", "part"]).join(chunks.select("b", F.col("part").alias("part2"), F.col("keys").alias("keys2")), ["b", "part2"])
+    between = full.repartition(tasks, F.xxhash64("b", "part", "part2")).select("b", "keys", "keys2").mapInArrow(_between(all_, budget), "u long, v long")
+    return within.unionByName(between)
+
+
 def trie_edges(fps: DataFrame, budget: int, chunk: int = CHUNK, per_lead: int = PER_LEAD) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) with the components that all pairs within the budget have."""
-    spark, n = fps.sparkSession, fps.count()
+    n = fps.count()
     all_ = orders(budget, shared_blocks(n, budget, per_lead))
     keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("b"), o.key().bitwiseXOR(F.lit(-(1 << 63))).alias("k")) for i, o in enumerate(all_)])).alias("x")).select("x.b", "x.k")
-    tries = frames.checkpointed(keyed.repartitionByRange(frames.tasks(spark, 12 * n * len(all_), TASK_BYTES), "b", "k"))
-    within = tries.mapInArrow(_within(all_, budget, chunk), "u long, v long")
-    chunks = frames.stored(tries.mapInArrow(_chunks(all_, chunk), "b int, lead long, lo long, hi long, common int, keys binary"))
-    pairs = frames.stored(chunk_pairs(chunks, budget))
-    tasks = frames.tasks(spark, 16 * chunk * pairs.count(), 4 * TASK_BYTES)
-    full = pairs.join(chunks.select("b", "lo", "keys"), ["b", "lo"]).join(chunks.select("b", F.col("lo").alias("lo2"), F.col("keys").alias("keys2")), ["b", "lo2"])
-    between = full.repartition(tasks, F.xxhash64("b", "lo", "lo2")).select("b", "keys", "keys2").mapInArrow(_between(all_, budget), "u long, v long")
-    return within.unionByName(between)
+    return _edges(keyed, all_, budget, chunk, n, 12)
+
+
+def _probed(all_: list[Probe]):
+    """A row for each wide fingerprint and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(_parts(batch.column(1)).view(np.uint8), axis=1)
+            for b, probe in enumerate(all_):
+                keys = np.packbits(np.ascontiguousarray(bits[:, probe.bits]), axis=1).view(">u8").ravel().astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array((keys ^ _SIGN).view(np.int64)), *batch.columns], ["b", "k", "node", "fp"])
+
+    return run
+
+
+def wide_edges(fps: DataFrame, budget: int = WIDE_BUDGET, chunk: int = CHUNK, per_probe: int = PER_PROBE) -> DataFrame:
+    """Links (u, v) between the names of distinct wide fingerprints (columns node and fp)."""
+    n = fps.count()
+    all_ = probes(n, WIDE, per_probe)
+    keyed = fps.select("node", "fp").mapInArrow(_probed(all_), "b int, k long, node long, fp binary")
+    return _edges(keyed, all_, budget, chunk, n, 20 + WIDE // 8)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
-    """The id column, ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
-    rows = frames.checkpointed(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "_id"))
-    distinct = frames.checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = graph.components(trie_edges(distinct, budget))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bits: int = BITS) -> DataFrame:
+    """The id column, ``fingerprint`` (hexadecimal digits) and ``component_id``.  ``bits`` is 64, or 256 for wide fingerprints."""
+    if bits not in (BITS, WIDE):
+        raise ValueError("bits must be 64 or 256")
+    rows = frames.checkpointed(fingerprints(docs, id_col, text_col, words, bits).withColumnRenamed(id_col, "_id"))
+    node = F.col("fp") if bits == BITS else F.xxhash64("fp")
+    distinct = frames.checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least")).withColumn("node", node))
+    roots = graph.components(trie_edges(distinct, budget) if bits == BITS else wide_edges(distinct, budget))
+    rooted = distinct.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     # written first, so that the join's sides are plain shuffles, of which a large component's part can be split
     least = frames.checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id")
     done = rows.join(named, "fp")
-    return done.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return done.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), bits // 4, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = WIDE_BUDGET, bits: int = WIDE) -> DataFrame:
     """The rows whose id is the smallest of their component, one for each id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, budget)
+    found = near_duplicates(docs, id_col, text_col, words, budget, bits)
     kept = frames.checkpointed(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count())
     stay = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
     if not kept.filter("count > 1").isEmpty():
