@@ -146,7 +146,7 @@ def _below(most: int, m: int) -> int:
 def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
     """Learns from the rows of ``train`` with a language."""
     rows = train.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    frequency = rows.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    frequency = rows.select("text").mapInArrow(A.tidy(_frequencies), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(frequency["place"].tolist(), frequency["n"].tolist(), strict=True))
     n = found.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
@@ -158,7 +158,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
     most = max(LEAST, min(SAMPLE, SAMPLE * LANGUAGES // len(of)))
     below = train.sparkSession.createDataFrame([(lang, _below(most, m)) for lang, m in of.items()], "lang string, below long")
     chosen = hashed.join(F.broadcast(below), "lang").filter("h <= below")
-    sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(_sampled, "lang string, h long, blob binary").toPandas()
+    sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(A.tidy(_sampled), "lang string, h long, blob binary").toPandas()
     sample = sample.sort_values(["lang", "h"]).groupby("lang").head(most).reset_index(drop=True)
     langs = sample["lang"].to_numpy()
     count = np.zeros((len(sample), DIMS), np.int64)
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-2]), *new], [*rest, *added])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"), has_letter(F.col(f"`{text_col}`")).alias("_letter"))
-    return kept.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(k, v) for k, v in added.items())]))
+    return kept.mapInArrow(A.tidy(run), T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(k, v) for k, v in added.items())]))
 
 
 def fold(id_: Column, folds: int = 4) -> Column:

@@ -263,12 +263,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_deleted, n_other, buckets = frames.parts(total, FOLDS * CHUNK_BYTES), frames.parts(total, CHUNK_BYTES), frames.parts(total, BUCKET_BYTES)
     key = F.struct(id_, F.octet_length(text_col))
     chunk = F.when(fold == DELETED, frames.dealt(key, n_deleted)).otherwise(n_deleted + frames.dealt(key, n_other))
-    rows = docs.select(chunk.alias("_chunk"), id_.alias("_id"), fold.alias("_fold"), F.col(text_col).cast("string").alias("_text")).mapInArrow(_dealt, "_chunk long, _texts binary")
+    rows = docs.select(chunk.alias("_chunk"), id_.alias("_id"), fold.alias("_fold"), F.col(text_col).cast("string").alias("_text")).mapInArrow(A.tidy(_dealt), "_chunk long, _texts binary")
     chunks, spark = n_deleted + n_other, docs.sparkSession
     few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, 2 * total, TASK_BYTES)
     rows = rows.repartition(few, "_chunk")
-    packed = rows.groupBy("_chunk").applyInArrow(_emitter(buckets), exchange.SENT)
-    answers = frames.checkpointed(exchange.exchange(packed, chunks, 2 * buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(n_deleted, chunks), _ANSWER))
+    packed = rows.groupBy("_chunk").applyInArrow(A.tidy_group(_emitter(buckets)), exchange.SENT)
+    answers = frames.checkpointed(exchange.exchange(packed, chunks, 2 * buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(A.tidy_group(_resolver(n_deleted, chunks)), _ANSWER))
     sums = answers.filter("_range = -1").agg(F.sum("_distinct"), F.sum("_tokens"), F.sum("_deleted")).first()
     distinct, tokens, deleted = (int(x or 0) for x in sums)
     texts = learned["n"]
@@ -276,9 +276,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     without = texts - learned["deleted"], tokens - deleted - learned["deleted"]
     told = exchange.exchange(answers.filter("_range >= 0").select("_range", "_from", "_to", "_blobs"), 2 * buckets, chunks, few).repartition(few, "_to")
     seen = rows.filter(F.col("_chunk") < n_deleted).groupBy("_chunk").cogroup(told.filter(F.col("_to") < n_deleted).groupBy("_to"))
-    cells = seen.applyInArrow(_collector(*without), "cell long, n double, s2 double, s1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).toPandas()
+    cells = seen.applyInArrow(A.tidy_groups(_collector(*without)), "cell long, n double, s2 double, s1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).toPandas()
     n = cells["n"].to_numpy(float)
     lambdas = weights(cells["cell"].to_numpy(np.int64), n, cells["s2"].to_numpy(float) / n, cells["s1"].to_numpy(float) / n, 1 / (distinct + 1))
     kind = "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    done = rows.groupBy("_chunk").cogroup(told.groupBy("_to")).applyInArrow(_scorer(lambdas, texts, tokens, distinct), kind)
+    done = rows.groupBy("_chunk").cogroup(told.groupBy("_to")).applyInArrow(A.tidy_groups(_scorer(lambdas, texts, tokens, distinct)), kind)
     return done.withColumnRenamed("_id", id_col)

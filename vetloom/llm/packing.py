@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
 from . import frames, tokens
 
 PER_PARTITION = 8192
@@ -70,7 +71,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_i
                 start = stop
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(A.tidy(cut), PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -153,7 +153,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     # `sample` rows of three numbers, whatever the input
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "h", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    seen = frames.checkpointed(one.select("h", "grade", "text").mapInArrow(_extractor, "h long, grade int, n long, blob binary"))
+    seen = frames.checkpointed(one.select("h", "grade", "text").mapInArrow(A.tidy(_extractor), "h long, grade int, n long, blob binary"))
     sizes = seen.select("h", "n").toPandas().sort_values("h")
     within = sizes["h"][sizes["n"].cumsum() <= most]
     rows = seen.filter(F.col("h") <= (int(within.iloc[-1]) if len(within) else -(1 << 63))).toPandas().sort_values(["h", "grade"])
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", tail: int | Non
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(above.sum(axis=1)), pa.array(tails)], [*rest, *added])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return kept.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.DoubleType()) for c in added)]))
+    return kept.mapInArrow(A.tidy(run), T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.DoubleType()) for c in added)]))
 
 
 def graded(labels: DataFrame) -> Column:

@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), fp], ["_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"_id long, fp {'long' if bits == BITS else 'binary'}").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(A.tidy(run), f"_id long, fp {'long' if bits == BITS else 'binary'}").withColumnRenamed("_id", id_col)
 
 
 def _bytes(parts: np.ndarray) -> pa.Array:
@@ -389,12 +389,12 @@ def _edges(keyed: DataFrame, all_: list[Order] | list[Probe], budget: int, chunk
     """Links from the tries of keyed fingerprints: order ``b``, key ``k`` and, of wide ones, their name and bits."""
     spark = keyed.sparkSession
     tries = frames.checkpointed(keyed.repartitionByRange(frames.tasks(spark, size * n * len(all_), TASK_BYTES), "b", "k"))
-    within = tries.mapInArrow(_within(all_, budget, chunk), "u long, v long")
+    within = tries.mapInArrow(A.tidy(_within(all_, budget, chunk)), "u long, v long")
     chunks = frames.stored(tries.mapInArrow(_chunks(all_, chunk), "b int, lead long, lo long, hi long, common int, part long, keys binary"))
     pairs = frames.stored(chunk_pairs(chunks, budget))
     tasks = frames.tasks(spark, 2 * size * chunk * pairs.count(), 4 * TASK_BYTES)
     full = pairs.join(chunks.select("b", "part", "keys"), ["b", "part"]).join(chunks.select("b", F.col("part").alias("part2"), F.col("keys").alias("keys2")), ["b", "part2"])
-    between = full.repartition(tasks, F.xxhash64("b", "part", "part2")).select("b", "keys", "keys2").mapInArrow(_between(all_, budget), "u long, v long")
+    between = full.repartition(tasks, F.xxhash64("b", "part", "part2")).select("b", "keys", "keys2").mapInArrow(A.tidy(_between(all_, budget)), "u long, v long")
     return within.unionByName(between)
 
 

@@ -310,7 +310,7 @@ def heavy_runs(docs: DataFrame, text_col: str, minimiser: int, total_bytes: int,
     """
     most = max(1, total_bytes // 2)
     heavy = max(heavy, most // HEAVY_LIST)
-    seen = docs.select(F.col(text_col)).mapInArrow(_counter(minimiser, heavy / 2 / most), "_run long, _n long")
+    seen = docs.select(F.col(text_col)).mapInArrow(A.tidy(_counter(minimiser, heavy / 2 / most)), "_run long, _n long")
     rows = seen.groupBy("_run").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= heavy / 2).select("_run")
     return np.sort(rows.toPandas()["_run"].to_numpy(np.int64).astype(A.U64))
 
@@ -329,10 +329,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chunked = docs.select(frames.dealt(F.struct(id_, F.octet_length(text_col)), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
     few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, EXPANSION * total, TASK_BYTES)
     chunked = chunked.repartition(few, "_chunk")
-    packed = chunked.groupBy("_chunk").applyInArrow(_emitter(window, minimiser, often, buckets), exchange.SENT)
-    answers = exchange.exchange(packed, chunks, buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(_resolver(window, chunks), exchange.SENT)
+    packed = chunked.groupBy("_chunk").applyInArrow(A.tidy_group(_emitter(window, minimiser, often, buckets)), exchange.SENT)
+    answers = exchange.exchange(packed, chunks, buckets, many).repartition(many, "_to").groupBy("_to").applyInArrow(A.tidy_group(_resolver(window, chunks)), exchange.SENT)
     told = exchange.exchange(answers, buckets, chunks, few).repartition(few, "_to")
     kind = T.StructType([T.StructField("_row", chunked.schema["_row"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), *(T.StructField(n, T.StringType()) for n in new[2:])])
-    done = chunked.groupBy("_chunk").cogroup(told.groupBy("_to")).applyInArrow(_marker(window, minimiser, often, buckets, cut), kind)
+    done = chunked.groupBy("_chunk").cogroup(told.groupBy("_to")).applyInArrow(A.tidy_groups(_marker(window, minimiser, often, buckets, cut)), kind)
     names = [c for c in docs.columns if c not in (text_col, *new)]
     return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *new)
