@@ -81,7 +81,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{frames.shared_folder(spark)}/warc/{uuid.uuid4().hex}"
     saved = warc.save(warc.write(_table(spark, sf_dir, "pages")), f"{folder}/gzip")
-    rows = warc.read(warc.normalise(saved, f"{folder}/records"), payloads=False)
+    files = warc.normalise(saved, f"{folder}/records")
+    frames.delete(spark, f"{folder}/gzip")
+    rows = warc.read(files, payloads=False)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import frames
 
 SHARD_BYTES = 8 << 20
-LEVEL = 1
+LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INFLATE = 1 << 20
