@@ -1,12 +1,10 @@
-"""Connected components of a large graph by alternating stars."""
+"""Connected components within a task, and of a large graph."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import frames
+from vetloom.operators.graph import components  # noqa: F401  the operators take both from here
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -20,31 +18,3 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while not np.array_equal(up := parent[parent], parent):
             parent = up
     return parent
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the smallest node reachable, for all nodes that have a link (columns u and v).
-
-    Large stars link the larger neighbours of a node to its smallest neighbour,
-    small stars the others.  The links are written to the checkpoint folder
-    after each round; the rounds grow with the logarithm of the number of nodes.
-    A node's smallest neighbour is written before the join that needs it: then
-    both sides of the join are plain shuffles, and Spark can split the part of a
-    node with very many links.
-    """
-    stars = frames.checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while (now := _state(stars)) != before:
-        before = now
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = frames.checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = frames.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = frames.checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
-    roots = stars.select(F.col("v").alias("node")).distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
