@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, simhash, substring_dedup, warc
+from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, runs, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,39 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: What op12's contract counts as a word.
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, of which op12's contract lets a tenth repeat a part of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    some = docs.filter(h % 10 == 0).select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    some = some.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    once = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    often = F.slice(F.flatten(F.array_repeat(once, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    told = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), often), " ")
+    rest = docs.filter((h % 10 != 0) | h.isNull()).select("doc_id", "text")
+    return rest.unionByName(some.select("doc_id", F.when(F.col("n") > 0, told).otherwise(F.col("text")).alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")))
+    longest = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], y["length"] - x["length"]).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    rows = found.withColumn("longest", longest)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"longest.{c}").alias(c) for c in runs.RUN.names],
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media": op2_media,
@@ -98,10 +131,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
     "op4_top_k": oracles.OP4,
     "op10_warc": oracles.OP10,
+    "op12_periodic_runs": oracles.OP12,
 }
