@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, runs, simhash, substring_dedup, warc
+from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, runs, simhash, substring_dedup, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media": op2_media,
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_window_packing": op13_window_packing,
 }
 
 ORACLES: dict[str, str] = {
