@@ -9,7 +9,7 @@ from vetloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, small_dir, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small_dir}/{table}.parquet'")
     want = db.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]

@@ -76,10 +76,9 @@ def test_long_text_with_a_run_and_of_one_word():
     assert runs.runs_of(same, runs.lag_counts(same, np.array([0, len(same)]))[0]) == [(0, len(same), 1)]
 
 
-def test_many_texts_in_steps(spark, monkeypatch):
-    monkeypatch.setattr(runs, "STEP", 500)
+def test_many_texts_in_steps(spark):
     rows = [(i, t, "x", "y") for i, t in enumerate(texts(9))]
-    got = runs.periodic_runs(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = runs.periodic_runs(spark.createDataFrame(rows, SCHEMA), step=500).collect()
     assert [tuple(map(tuple, r.runs)) for r in sorted(got, key=lambda r: r.doc_id)] == [tuple(plain((t or "").split())) for _, t, *_ in rows]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, frames, kdtree, langid, lm, media, oracles, packing, quality, runs, simhash, substring_dedup, warc, windows
+from . import bpe, frames, kdtree, langid, lexical, lm, media, oracles, packing, quality, runs, simhash, substring_dedup, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: What op12's contract counts as a word.
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_window_packing": op13_window_packing,
 }
@@ -143,5 +148,6 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
     "op4_top_k": oracles.OP4,
     "op10_warc": oracles.OP10,
+    "op11_lexical_search": oracles.OP11,
     "op12_periodic_runs": oracles.OP12,
 }

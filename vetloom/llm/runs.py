@@ -182,14 +182,14 @@ def _judged(column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
     return n, runs, text.cast(pa.string())
 
 
-def periodic_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def periodic_runs(docs: DataFrame, text_col: str = "text", step: int = STEP) -> DataFrame:
     """All columns but the text, then ``n_words``, ``runs`` (start, length and period in words, by start and period) and ``collapsed_text``: the words, one space between two, without those that a run repeats after its first period."""
     new = ["n_words", "runs", "collapsed_text"]
     names = [c for c in docs.columns if c not in (text_col, *new)]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in A.text_steps(batch.column(0), STEP):
+            for a, b in A.text_steps(batch.column(0), step):
                 n, runs, text = _judged(batch.column(0).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), runs, text], ["_row", *new])
 
