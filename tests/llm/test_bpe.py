@@ -32,6 +32,14 @@ def test_runs_that_the_library_cannot_match(spark):
     assert b"".join(table[i] for i in got[2].tolist()) == b"b" * n
 
 
+def test_long_white_space(spark):
+    texts = [("ab c" + " " * n) * (5_000_000 // n) for n in (10_000, 40_000, tokens.RUN - 1)]
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA), FILE, PATTERN).collect()}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=tokens.ranks(FILE), special_tokens={})
+    for i, text in enumerate(texts):
+        assert got[i] == np.array(library.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_stitching_of_random_texts():
     rng = random.Random(3)
     parts = ["'s", "'re", "'ll", " it's"]

@@ -1,5 +1,6 @@
 """Token pieces against the tokenizer's own library, and packing against its bound."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,17 @@ def test_runs_that_the_library_cannot_match(spark):
     assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in got)
 
 
+def test_long_white_space_takes_linear_time():
+    encode, tokenizer = tokens.by_tokenizer(FILE), Tokenizer.from_file(FILE)
+    encode(["a"])
+    for n in (10_000, 40_000, tokens.RUN - 1):
+        text = ("ab c" + " " * n) * (5_000_000 // n)
+        start = time.monotonic()
+        (ids,) = encode([text])
+        assert time.monotonic() - start < 30  # a second or two; quadratic time takes minutes
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, got, capacity):
     tokenizer = Tokenizer.from_file(FILE)
     expected = []

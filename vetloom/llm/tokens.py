@@ -44,7 +44,8 @@ def _cut(text: str) -> Iterator[tuple[str, bool]]:
 
     at = 0
     if len(text) >= RUN:
-        for run in regex.finditer(r"\p{White_Space}{%d,}" % RUN, text):
+        # behind a character of a run none begins, so that each run is matched once
+        for run in regex.finditer(r"(?<!\p{White_Space})\p{White_Space}{%d,}+" % RUN, text):
             stop = run.end() - (run.end() < len(text))
             yield text[at : run.start()], False
             yield text[run.start() : stop], True
