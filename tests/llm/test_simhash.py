@@ -1,5 +1,7 @@
 """SimHash against all pairs of a small table."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -147,5 +149,26 @@ def test_query_rows(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({r.component_id for r in got} | {-1})
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Against components of all pairs of rows: rows of one id in different components stay, each for its own."""
+    rng = random.Random(4)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(12)]
+    rows = [(i % 5, t, f"n{i}") for i, t in enumerate(base)] + [(2, base[0], "copy"), (0, base[0], "again"), (7, base[3], "later"), (-1, base[4], "first"), (None, base[4], "no id"), (9, base[11] + " tail", "near")]
+    fps = [int.from_bytes(simhash.wide_fingerprints(pa.array([t]), 5, simhash.WIDE).tobytes(), "little") for _, t, _ in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.WIDE_BUDGET and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["doc_id", "text", "fingerprint"]
+    kept = {r.fingerprint for r in got.collect()}
+    assert len(kept) == got.count() and "no id" in kept
+    for component in set(label):
+        mine = [r for r, x in zip(rows, label, strict=True) if x == component and r[0] is not None]
+        stays = [r for r in mine if r[2] in kept]
+        assert len(stays) == 1 and stays[0][0] == min(r[0] for r in mine)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -427,8 +427,8 @@ def wide_edges(fps: DataFrame, budget: int = WIDE_BUDGET, chunk: int = CHUNK, pe
     return _edges(keyed, all_, budget, chunk, n, 20 + WIDE // 8)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bits: int = BITS) -> DataFrame:
-    """The id column, ``fingerprint`` (hexadecimal digits) and ``component_id``.  ``bits`` is 64, or 256 for wide fingerprints."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, budget: int, bits: int) -> DataFrame:
+    """(_id, fp, root, component_id) of each row: ``root`` names the component, and ``component_id`` is the smallest id there."""
     if bits not in (BITS, WIDE):
         raise ValueError("bits must be 64 or 256")
     rows = frames.checkpointed(fingerprints(docs, id_col, text_col, words, bits).withColumnRenamed(id_col, "_id"))
@@ -438,16 +438,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     # written first, so that the join's sides are plain shuffles, of which a large component's part can be split
     least = frames.checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    done = rows.join(named, "fp")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bits: int = BITS) -> DataFrame:
+    """The id column, ``fingerprint`` (hexadecimal digits) and ``component_id``.  ``bits`` is 64, or 256 for wide fingerprints."""
+    done = _components(docs, id_col, text_col, words, budget, bits)
     return done.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), bits // 4, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = WIDE_BUDGET, bits: int = WIDE) -> DataFrame:
-    """The rows whose id is the smallest of their component, one for each id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, budget, bits)
-    kept = frames.checkpointed(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count())
-    stay = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
-    if not kept.filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of each component: that with the smallest id, and of several with that id any one.
+
+    So rows that share an id but not a component stay, each for its own; to tell
+    them apart, the rows of repeated ids are fingerprinted again.  Rows with a
+    null id stay.
+    """
+    found = frames.checkpointed(_components(docs, id_col, text_col, words, budget, bits))
+    ids = frames.checkpointed(found.groupBy("_id").agg(F.count("*").alias("_n"), F.bool_or(F.col("_id") == F.col("component_id")).alias("_first")).filter("_first"))
+    once, often = (ids.filter(n).select(F.col("_id").alias(id_col)) for n in ("_n = 1", "_n > 1"))
+    stay = docs.join(once, id_col, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    if often.isEmpty():
+        return stay
+    again = frames.stored(docs.join(often, id_col, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id")))
+    firsts = found.filter("_id = component_id").select("_id", "fp", "root").distinct()
+    kept = again.select("_at", "_id").join(fingerprints(again, "_at", "_text", words, bits), "_at").join(firsts, ["_id", "fp"]).groupBy("root").agg(F.min("_at").alias("_at"))
+    return stay.unionByName(again.join(kept, "_at", "left_semi").select("_row.*"))
