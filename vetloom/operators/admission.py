@@ -69,17 +69,23 @@ def _greedy(open_: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(admitted, columns=["a", "b"])
 
 
+def firsts(open_: DataFrame) -> DataFrame:
+    """Those (a, b) that come first for all of their keys."""
+    keyed = open_.select(F.struct("a", "b").alias("o"), F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("o").alias("first"))
+    return keyed.join(first, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).filter("all").select("o.*")
+
+
 def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Those admitted in one round, and those that are still open."""
     keyed = open_.select(F.struct("a", "b").alias("o"), F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("o").alias("first"))
-    wins = checkpointed(keyed.join(first, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).filter("all").select("o"))
+    wins = checkpointed(firsts(open_).select(F.struct("a", "b").alias("o")))
     taken = keyed.join(wins, "o", "left_semi").select("key").distinct()
     settled = keyed.join(taken, "key", "left_semi").select("o.*").distinct()
     return wins.select("o.*"), checkpointed(open_.join(settled, ["a", "b"], "left_anti"))
 
 
-def _grouped(open_: DataFrame) -> DataFrame:
+def grouped(open_: DataFrame) -> DataFrame:
     """Adds ``root``: the first vendor that shared keys lead to."""
     keyed = open_.select(F.struct("a", "b").alias("u"), F.explode("keys").alias("key"))
     links = keyed.join(keyed.groupBy("key").agg(F.min("u").alias("v")), "key").select("u", "v")
@@ -98,11 +104,13 @@ def admit(candidates: DataFrame, held: DataFrame | None = None, rounds: int = RO
     made = 0
     while not open_.isEmpty():
         if made >= rounds:
-            grouped = checkpointed(_grouped(open_))
-            sized = grouped.groupBy("root").agg(F.count("*").alias("n"))
-            small = grouped.join(sized.filter(F.col("n") <= group), "root", "left_semi")
-            done = done.unionByName(checkpointed(small.groupBy("root").applyInPandas(_greedy, "a long, b long")))
-            open_ = checkpointed(grouped.join(sized.filter(F.col("n") > group), "root", "left_semi").select("a", "b", "keys"))
+            rooted = checkpointed(grouped(open_))
+            sized = rooted.groupBy("root").agg(F.count("*").alias("n"))
+            small = rooted.join(sized.filter(F.col("n") <= group), "root", "left_semi")
+            # components share no key, so that many can be judged in one call
+            dealt = small.withColumn("_deal", F.pmod(F.xxhash64("root"), F.lit(-(-rooted.count() // max(1, group)))))
+            done = done.unionByName(checkpointed(dealt.groupBy("_deal").applyInPandas(_greedy, "a long, b long")))
+            open_ = checkpointed(rooted.join(sized.filter(F.col("n") > group), "root", "left_semi").select("a", "b", "keys"))
             if open_.isEmpty():
                 break
         won, open_ = _round(open_)
@@ -111,6 +119,11 @@ def admit(candidates: DataFrame, held: DataFrame | None = None, rounds: int = RO
     return done
 
 
+def digest() -> Column:
+    """What a vendor's ids are made of: 64 hexadecimal digits."""
+    return F.upper(F.sha2(F.concat_ws("|", F.col("arrival_seq").cast("string"), *[F.coalesce(c, F.lit("")) for c in ("vendor_name", "pan", "gstin", "bank_details.account_number")]), 256))
+
+
 def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None) -> DataFrame:
     """The vendors with ``success``, ``error_code``, ``message``, ``vendor_id`` and ``erp_reference``."""
     rows = checkpointed(arrivals.withColumn("_row", F.monotonically_increasing_id()))
@@ -127,14 +140,13 @@ def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame |
     won = admit(candidates, held).select(F.col("b").alias("_row"), F.lit(True).alias("_won"))
     done = judged.join(won, "_row", "left")
     success = F.coalesce("_won", F.lit(False))
-    digest = F.upper(F.sha2(F.concat_ws("|", F.col("arrival_seq").cast("string"), *[F.coalesce(c, F.lit("")) for c in ("vendor_name", "pan", "gstin", "bank_details.account_number")]), 256))
     return done.select(
         *arrivals.columns,
         success.alias("success"),
         F.when(success, "SUCCESS").otherwise(F.coalesce("_early.code", F.lit("DUPLICATE_VENDOR"))).alias("error_code"),
         F.when(success, F.concat(F.lit("Vendor '"), "vendor_name", F.lit("' created successfully"))).otherwise(F.coalesce("_early.text", F.lit(DUPLICATE))).alias("message"),
-        F.when(success, F.concat(F.lit("VND-"), F.substring(digest, 1, 8))).alias("vendor_id"),
-        F.when(success, F.concat(F.lit("TXN-"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), F.lit("-"), F.substring(digest, 9, 4))).alias("erp_reference"),
+        F.when(success, F.concat(F.lit("VND-"), F.substring(digest(), 1, 8))).alias("vendor_id"),
+        F.when(success, F.concat(F.lit("TXN-"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), F.lit("-"), F.substring(digest(), 9, 4))).alias("erp_reference"),
     )
 
 

@@ -7,6 +7,7 @@ the paper corpus, both sides derive the corpus from the same SQL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from vetloom.functions import confidence, similarity, text
 from vetloom.functions import identifiers as ids
 from vetloom.operators import admission, classify, evaluate, extract, layout, vendors
-from vetloom.sources import sinks
+from vetloom.session import shared_folder
+from vetloom.sources import clients, sinks
 
 from . import corpus
 from .corpus import BASE36, DUCK
@@ -412,11 +414,22 @@ o AS (SELECT arrival_seq, outcome FROM r WHERE n > 0)"""
 _MESSAGE = f"CASE o.outcome WHEN 'SUCCESS' THEN 'Vendor ''' || vendor_name || ''' created successfully' WHEN 'DUPLICATE_VENDOR' THEN '{admission.DUPLICATE}' ELSE CASE WHEN len(errors) > 0 THEN 'Validation failed: ' || array_to_string(errors, '; ') ELSE '{admission.GSTIN_NEEDED}' END END"
 
 
-@query(f"WITH RECURSIVE {_greedy()} SELECT arrival_seq, outcome = 'SUCCESS' AS success, outcome AS error_code, {_MESSAGE} AS message FROM o JOIN e USING (arrival_seq)")
+_OUTCOMES = f"WITH RECURSIVE {_greedy()} SELECT arrival_seq, outcome = 'SUCCESS' AS success, outcome AS error_code, {_MESSAGE} AS message FROM o JOIN e USING (arrival_seq)"
+
+
+@query(_OUTCOMES)
 def admission_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.outcomes(corpus.arrivals(spark, sf_dir)).select("arrival_seq", "success", "error_code", "message")
 
 
+@query(_OUTCOMES)
+def push_to_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outcomes from another system, which decides vendor by vendor, as they are sent."""
+    folder = f"{shared_folder(spark)}/clients/{uuid.uuid4().hex}"
+    told = clients.push(corpus.arrivals(spark, sf_dir), lambda: clients.FolderClient(f"{folder}/system"), f"{folder}/ledger")
+    return told.select("arrival_seq", "success", "error_code", "message")
+
+
 @query(f"WITH RECURSIVE {_greedy("coalesce(gstin, '') = ''")} SELECT arrival_seq, outcome = 'SUCCESS' AS success, outcome AS error_code, {_MESSAGE} AS message FROM o JOIN e USING (arrival_seq)")
 def admission_require_gstin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.outcomes(corpus.arrivals(spark, sf_dir), admission.Rules(require_gstin=True)).select("arrival_seq", "success", "error_code", "message")
