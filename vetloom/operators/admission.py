@@ -124,8 +124,11 @@ def digest() -> Column:
     return F.upper(F.sha2(F.concat_ws("|", F.col("arrival_seq").cast("string"), *[F.coalesce(c, F.lit("")) for c in ("vendor_name", "pan", "gstin", "bank_details.account_number")]), 256))
 
 
-def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None) -> DataFrame:
-    """The vendors with ``success``, ``error_code``, ``message``, ``vendor_id`` and ``erp_reference``."""
+def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """The vendors with ``success``, ``error_code``, ``message``, ``vendor_id`` and ``erp_reference``.
+
+    Keys are held by the vendors of a ``registry``, or given as ``held`` (column ``key``).
+    """
     rows = checkpointed(arrivals.withColumn("_row", F.monotonically_increasing_id()))
     wrong = vendors.errors()
     early = (
@@ -136,7 +139,8 @@ def outcomes(arrivals: DataFrame, rules: Rules = Rules(), registry: DataFrame |
     )
     judged = rows.withColumn("_early", early)
     candidates = judged.filter("_early is null").select(F.col("arrival_seq").alias("a"), F.col("_row").alias("b"), keys().alias("keys"))
-    held = None if registry is None else registry.select(F.struct(F.col("bank_account").alias("account_number")).alias("bank_details"), "pan", "gstin").select(F.explode(keys()).alias("key"))
+    if registry is not None:
+        held = registry.select(F.struct(F.col("bank_account").alias("account_number")).alias("bank_details"), "pan", "gstin").select(F.explode(keys()).alias("key"))
     won = admit(candidates, held).select(F.col("b").alias("_row"), F.lit(True).alias("_won"))
     done = judged.join(won, "_row", "left")
     success = F.coalesce("_won", F.lit(False))

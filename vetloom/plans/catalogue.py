@@ -18,6 +18,7 @@ from vetloom.functions import identifiers as ids
 from vetloom.operators import admission, classify, evaluate, extract, layout, vendors
 from vetloom.session import shared_folder
 from vetloom.sources import clients, sinks
+from vetloom.streaming.registry import Registry
 
 from . import corpus
 from .corpus import BASE36, DUCK
@@ -452,6 +453,24 @@ def vendor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.registered(admission.outcomes(corpus.arrivals(spark, sf_dir))).select("arrival_seq", "vendor_id", "vendor_name", "pan", "gstin", "bank_account", "ifsc")
 
 
+_LOOKUP = ("pan", "gstin", "account")
+
+
+@query(f"""WITH RECURSIVE {_greedy()}, p AS ({DUCK.people()}), w AS ({" UNION ".join(f"SELECT '{c}:' || {c} AS key FROM p" for c in _LOOKUP)}),
+h AS (SELECT unnest(e.keys) AS key, arrival_seq, e.vendor_name FROM o JOIN e USING (arrival_seq) WHERE outcome = 'SUCCESS')
+SELECT key, arrival_seq, vendor_name FROM h JOIN w USING (key)""")
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors arrive in four batches, of which a merged segment and fresh ones remain; then all people's keys are looked up."""
+    registry = Registry(spark, f"{shared_folder(spark)}/registries/{uuid.uuid4().hex}", fan=2, buckets=32)
+    rows = corpus.arrivals(spark, sf_dir)
+    last = rows.agg(F.max("arrival_seq").alias("last")).first()["last"] or 0
+    for batch in range(4):
+        registry.admit(rows.filter(F.col("arrival_seq").between(batch * last // 4 + 1, (batch + 1) * last // 4)), batch)
+    people = corpus.people(spark, sf_dir)
+    wanted = people.select(F.explode(F.array(*[F.concat(F.lit(f"{c}:"), c) for c in _LOOKUP])).alias("key"))
+    return registry.lookup(wanted).select("key", "arrival_seq", "vendor_name")
+
+
 @query(f"""WITH RECURSIVE {_VENDOR}, e AS (SELECT k, list_filter(['pan:' || pan, 'gstin:' || gstin, 'account:' || account], lambda x: x IS NOT NULL) AS keys, ifsc IS NULL OR regexp_full_match(ifsc, '{ids.IFSC}') AS fine FROM vendors),
 j AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM e WHERE fine),
 r AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS held, NULL::BIGINT AS k, false AS ok
