@@ -11,8 +11,9 @@ from vetloom.llm import kdtree
 SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
 
-def brute(rows, k, every):
-    fine = [(i, [math.floor(256 * np.float64(np.float32(x))) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def brute(rows, k, every, kind=np.float32):
+    whole = lambda x: math.floor(256 * x) if abs(x) < 2**60 else 256 * int(x)
+    fine = [(i, [whole(float(kind(x))) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in fine:
         if q % every == 0:
@@ -59,7 +60,7 @@ def test_far_shards_are_not_asked():
     asked = kdtree.A.pack(np.array([1, 2]), queries, np.array([50, 200]), np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     boxes = kdtree.A.pack(np.array([0, 1, 2]), np.array([0, 0, 0, 0, -9, -9]), np.array([9, 9, 4, 4, 9, 25]))
     batch = pa.RecordBatch.from_pylist([{"_part": 0, "_asked": asked, "_boxes": boxes}])
-    rows = next(kdtree._asker(2, 4)(iter([batch]))).to_pylist()
+    rows = next(kdtree._asker(2)(iter([batch]))).to_pylist()
     assert [(r["_part"], kdtree.A.unpack(r["_blob"])[0].tolist()) for r in rows] == [(2, [1, 2])]  # shard 1 reaches 40 of 50 and of 200
 
 
@@ -68,11 +69,42 @@ def test_large_components(spark):
     rows = [(0, [one] + [0.0] * 63, "", ""), (1, [one] + [0.0] * 63, "", ""), (2, [-one] + [1.0] * 63, "", ""), (10, [1.0] * 64, "", "")]
     got = kdtree.top_k(spark.createDataFrame(rows, SCHEMA), query_every=10, per_shard=2).collect()
     assert sorted(map(tuple, got)) == brute(rows, 5, 10)
-    far = [(0, [2.0**40], "", ""), (1, [-(2.0**40)], "", ""), (2, [1.0], "", "")]
-    with pytest.raises(Exception, match="64 bits"):
-        kdtree.top_k(spark.createDataFrame(far, SCHEMA), query_every=10).collect()
-    with pytest.raises(Exception, match="64 bits"):
-        kdtree.top_k(spark.createDataFrame([(0, [2.0**80], "", "")], SCHEMA)).collect()
+    with pytest.raises(Exception, match="64 bits"):  # the best score is far over 64 bits
+        kdtree.top_k(spark.createDataFrame([(0, [2.0**40], "", ""), (1, [2.0**40], "", "")], SCHEMA), query_every=10).collect()
+    with pytest.raises(Exception, match="64 bits"):  # there is no better one than that far below
+        kdtree.top_k(spark.createDataFrame([(0, [2.0**40], "", ""), (1, [-(2.0**40)], "", ""), (2, [1.0], "", "")], SCHEMA), query_every=10).collect()
+
+
+@pytest.mark.parametrize("shard", [3, 1000])
+def test_components_of_any_size(spark, shard):
+    """An error only where a score beyond 64 bits is returned."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (-rng.integers(0, 9, 3)).astype(float).tolist(), "", "") for i in range(40)] + [(200 + i, [0.0] * 3, "", "") for i in range(1, 6)]
+    # large components meet those of other rows as nothing or with the other sign
+    rows += [(101, [1e17, 0.0, 0.0], "", ""), (102, [1e300, -1.0, 0.0], "", ""), (103, [0.0, 0.0, 1.7e308], "", ""), (110, [0.0, 2.0**80, -5.0], "", ""), (110, [0.0, 2.0**81, 0.0], "", "")]
+    got = kdtree.top_k(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), query_every=10, per_shard=shard).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 10, float)
+    assert {110, 20, 30} <= {r.query_id for r in got} and not {101, 102, 103} & {r.vec_id for r in got}
+
+
+def test_trees_are_copied_by_demand(spark, monkeypatch):
+    """Queries in one corner ask few shards: no tree is read where none comes."""
+    rng = np.random.default_rng(9)
+    far = [(i, [float(x) for x in rng.normal(0, 1, 4)], "", "") for i in range(1, 400) if i % 10]
+    near = [(i * 10, [50.0 + float(x) for x in rng.normal(0, 1, 4)], "", "") for i in range(1, 40)]
+    read = []
+    real = kdtree.frames.stored
+
+    def stored(df, path=None):
+        done = real(df, path)
+        read.append(done)
+        return done
+
+    monkeypatch.setattr(kdtree.frames, "stored", stored)
+    got = kdtree.top_k(spark.createDataFrame(far + near, SCHEMA), query_every=10, per_shard=20)
+    assert sorted(map(tuple, got.collect())) == brute(far + near, 5, 10)
+    shards, asked = (r for r in read if "_tree" in r.columns or "_from" in r.columns)
+    assert asked.select("_part").distinct().count() < shards.count() / 2
 
 
 def test_few_and_none(spark):

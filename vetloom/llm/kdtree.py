@@ -12,20 +12,26 @@ best first until the bound falls below the kth score.
    propagated with it.
 2. The bounds of all shards' outer boxes tell in which other shards a query can
    still find something; it goes to no other.
-3. A shard's tree is read once, and blocks of queries stream past it.  At most k
-   rows of a query and shard come back, and Spark ranks them.
+3. A shard's tree is read once for every :data:`PER_TREE` blocks that come to it,
+   never where none comes, and the blocks stream past it.  At most k rows of a
+   query and shard come back, and Spark ranks them.
+
+Vectors with a component from 2^62 on do not fit such trees.  They are compared
+as they are, in whole numbers of any size: all queries in blocks with these
+vectors, and their own queries in blocks with all vectors.
 
 Contract: vectors that are null, or hold null or a component that is not
 finite, take no part, and neither do rows with a null id.  Missing trailing
 components count as zero.  Rows with the query's own id are not candidates.
 Rows that repeat a query's id with another vector are a query of their own.
-Ties go to the smaller id.  Products beyond 64 bits are computed as they are; a
-component or a returned score beyond 64 bits is an error.  An empty table gives
-an empty result.
+Ties go to the smaller id.  Components and products of any size are computed as
+they are; only a returned score that is not below 2^63 - 1 and above -2^63 is an
+error.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections.abc import Iterator
@@ -43,12 +49,15 @@ from . import frames
 PER_SHARD = 16_384
 #: Blocks of queries for which a shard's tree is read once, and boxes that a task compares with a block.
 PER_TREE, PER_GROUP = 64, 1024
+#: Shards whose blocks meet a group of boxes under one key, and vectors of a block of large components.
+PER_KEY, PER_BLOCK = 256, 256
 #: Bounds of what the regions are fitted on and of their number.
 SAMPLE, SAMPLE_BYTES, REGIONS = 32_768, 16 << 20, 4096
 TASK_BYTES = 32 << 20
 LEAF = 128
 _EXACT = 1 << 53
-LOWEST = np.iinfo(np.int64).min
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_LARGE = float(1 << 62)
 
 
 @dataclass
@@ -137,12 +146,12 @@ def regions(sample: np.ndarray, n: int) -> Regions:
     return Regions(*(np.array([x[i] for x in nodes], np.int64) for i in range(4)), np.arange(found + 1))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Lists of whole numbers as rows, filled up with zeros."""
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.int64) -> np.ndarray:
+    """Lists of numbers as rows, filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(n), width), np.int64)
+    out = np.zeros((len(n), width), kind)
     out[np.repeat(np.arange(len(n)), n), A.concat_ranges(np.zeros(len(n), np.int64), n)] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
@@ -164,10 +173,8 @@ def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray, kind: type)
 
 
 def _longs(scores: np.ndarray) -> np.ndarray:
-    try:
-        return scores.astype(np.int64)
-    except OverflowError:
-        raise ValueError("a score needs more than 64 bits") from None
+    """Scores beyond 64 bits become the highest or lowest number, which is an error only if it is returned."""
+    return scores.astype(np.int64) if scores.dtype != object else np.array([min(max(s, LOWEST), HIGHEST) for s in scores.tolist()], np.int64)
 
 
 def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -201,15 +208,70 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth:
     return out
 
 
+def valid(vector: Column) -> Column:
+    """Whether a vector takes part: every component is there and finite."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+
+
+def small(vector: Column, scale: int) -> Column:
+    """Whether all whole numbers of a valid vector fit a tree."""
+    return F.forall(vector, lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) < _LARGE)
+
+
 def whole_numbers(vector: Column, scale: int) -> Column:
-    """``floor(scale * x)`` of each component, null where the vector takes no part."""
+    """``floor(scale * x)`` of each component of a small vector."""
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+
+
+def _whole(x: float, scale: int) -> int:
+    return math.floor(x * scale) if abs(x) < _EXACT else int(x) * scale
+
+
+def _blocks(width: int):
+    """Vectors of any size as blobs: ids, and components as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PER_BLOCK):
+                part = batch.slice(at, PER_BLOCK)
+                blob = A.pack(part.column(0).to_numpy(), _matrix(part.column(1), width, np.float64))
+                yield pa.RecordBatch.from_arrays([A.blobs([blob])], ["_blob"])
+
+    return run
+
 
-    def whole(x: Column) -> Column:
-        product = F.lit(float(scale)) * x.cast("double")
-        return F.when(F.abs(product) < float(1 << 63), F.floor(product)).otherwise(F.raise_error(F.lit("a component needs more than 64 bits")).cast("long"))
+def _comparer(width: int, k: int, scale: int):
+    """The best of each block of candidates for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (asked, q), (ids, v) = (A.unpack(row[c]) for c in ("_queries", "_blob"))
+                q, v = (np.array([[_whole(x, scale) for x in y] for y in m.reshape(-1, width).tolist()], object).reshape(-1, width) for m in (q, v))
+                scores = q @ v.T
+                for i, me in enumerate(asked.tolist()):
+                    order = sorted((j for j, id_ in enumerate(ids.tolist()) if id_ != me), key=lambda j, mine=scores[i]: (-mine[j], ids[j]))[:k]  # noqa: B023
+                    yield _rows(asked[i : i + 1], q[i : i + 1], np.array([len(order)]), ids[order], _longs(scores[i][order]))
+
+    return run
 
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(fine, F.transform(vector, whole))
+
+def _block(width: int):
+    """One of the blocks that queries are dealt to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"_n": table["_n"].slice(0, 1), "_queries": A.blobs([A.pack(table["_id"].to_numpy(), _matrix(table["_x"], width, np.float64))])})
+
+    return run
+
+
+def _compared(queries: DataFrame, candidates: DataFrame, width: int, k: int, scale: int) -> DataFrame:
+    """What queries find among candidates (_id, _x), a block with a block: one of the two has large components."""
+    n = frames.parts(queries.count(), PER_BLOCK)
+    blocks = queries.withColumn("_n", frames.dealt(F.struct("_id", "_x"), n)).groupBy("_n").applyInArrow(_block(width), "_n long, _queries binary")
+    blobs = candidates.mapInArrow(_blocks(width), "_blob binary").withColumn("_key", frames.dealt(F.col("_blob"), PER_KEY))
+    met = blobs.withColumn("_n", F.explode(_upto(n))).join(blocks.withColumn("_key", F.explode(_upto(PER_KEY))), ["_n", "_key"])
+    return met.select("_queries", "_blob").mapInArrow(_comparer(width, k, scale), FOUND)
 
 
 SHARD = "_part long, _box binary, _tree binary, _asked binary"
@@ -265,7 +327,7 @@ def _boxes(table: pa.Table) -> pa.Table:
     return pa.table({"_group": table["_group"].slice(0, 1), "_boxes": pa.array([blob], pa.binary())})
 
 
-def _asker(width: int, spread: int):
+def _asker(width: int):
     """For each block of queries and each shard but its own: those queries that can find something there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +342,7 @@ def _asker(width: int, spread: int):
                 to = np.flatnonzero(open_.any(axis=0))
                 blobs = [A.pack(ids[x], queries[x], kth[x]) for x in open_.T[to]]
                 n = len(to)
-                yield pa.RecordBatch.from_arrays([pa.array(part[to]), pa.array(np.full(n, row["_part"] % spread)), pa.array(np.ones(n, np.int32)), A.blobs(blobs)], ["_part", "_salt", "_kind", "_blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[to]), pa.array(np.full(n, row["_part"])), A.blobs(blobs)], ["_part", "_from", "_blob"])
 
     return run
 
@@ -304,8 +366,14 @@ def _searcher(width: int, k: int):
     return run
 
 
+def _bits(x: int) -> int:
+    """64 bits of a whole number: its own where it has no more."""
+    return x % (1 << 64) if LOWEST <= x <= HIGHEST else int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big")
+
+
 def _rows(ids: np.ndarray, queries: np.ndarray, n: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    hashes = (A.mix((queries.astype(np.uint64) * A._powers(0x9E3779B97F4A7C15, queries.shape[1])).sum(axis=1, dtype=np.uint64))).view(np.int64)
+    parts = queries.astype(np.uint64) if queries.dtype != object else np.array([[_bits(x) for x in q] for q in queries.tolist()], np.uint64).reshape(queries.shape)
+    hashes = A.mix((parts * A._powers(0x9E3779B97F4A7C15, queries.shape[1])).sum(axis=1, dtype=np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ids, n), np.repeat(hashes, n), vec, score)], ["query_id", "_hash", "vec_id", "score"])
 
 
@@ -325,26 +393,42 @@ def _upto(n: int) -> Column:
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, query_every: int = 50, scale: int = 256, per_shard: int = PER_SHARD) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; queries are the rows whose id is divisible by ``query_every``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), whole_numbers(F.col(vector_col), scale).alias("_v")).filter("_id is not null and _v is not null")
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("width")).first()
+    spark, mine = vectors.sparkSession, F.col(vector_col)
+    all_ = vectors.select(F.col(id_col).cast("long").alias("_id"), mine.alias("_x")).filter(F.col("_id").isNotNull() & valid(F.col("_x")))
+    rows = all_.filter(small(F.col("_x"), scale)).select("_id", whole_numbers(F.col("_x"), scale).alias("_v"))
+    size = all_.agg(F.count_if(small(F.col("_x"), scale)).alias("n"), F.count("*").alias("all"), F.max(F.size("_x")).alias("width")).first()
     n, width = size["n"], max(1, size["width"] or 1)
     split = Regions(*(np.zeros(0, np.int64),) * 4, np.arange(2))
     if (n_regions := min(REGIONS, frames.parts(n, per_shard))) > 1:
         most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width), max(4096, 16 * n_regions)))
-        sample = rows.orderBy(F.xxhash64("_v", "_id")).limit(most).select("_v").toArrow()
+        number = F.xxhash64("_v", "_id")
+        # twice as many as needed are expected below this hash; it keeps the rows that are sorted in one task few
+        few = rows.filter(number < (1 << 63) * (4 * most - n) // n) if n > 2 * most else rows
+        sample = few.orderBy(number).limit(most).select("_v").toArrow()
         split = regions(_matrix(sample["_v"], width), n_regions)
         of = {r["region"]: r["n"] for r in rows.mapInArrow(_sharder(split, width, True), "region long, n long").groupBy("region").agg(F.sum("n").alias("n")).collect()}
         split.first = np.cumsum([0, *(frames.parts(of.get(i, 0), per_shard) for i in range(len(split.first) - 1))])
     n_shards = int(split.first[-1])
-    tasks = frames.tasks(vectors.sparkSession, 8 * width * n, TASK_BYTES)
+    tasks = frames.tasks(spark, 8 * width * n, TASK_BYTES)
     dealt = rows.mapInArrow(_sharder(split, width), "_part long, _id long, _v array<long>").repartition(tasks, "_part")
     shards = frames.stored(dealt.groupBy("_part").applyInArrow(_builder(width, k, query_every), SHARD))
-    groups, spread = frames.parts(n_shards, PER_GROUP), frames.parts(n_shards, PER_TREE)
-    boxes = shards.select("_part", "_box", F.pmod("_part", F.lit(groups)).alias("_group")).groupBy("_group").applyInArrow(_boxes, "_group long, _boxes binary")
-    blocks = shards.select("_part", "_asked", F.explode(_upto(groups)).alias("_group"))
-    asked = blocks.join(boxes, "_group").repartition(tasks, "_part", "_group").select("_part", "_asked", "_boxes").mapInArrow(_asker(width, spread), "_part long, _salt long, _kind int, _blob binary")
-    trees = shards.select("_part", F.explode(_upto(spread)).alias("_salt"), F.lit(0).alias("_kind"), F.col("_tree").alias("_blob"))
-    away = trees.unionByName(asked).repartition(tasks, "_part", "_salt").sortWithinPartitions("_part", "_salt", "_kind").mapInArrow(_searcher(width, k), FOUND)
+    groups, keys = frames.parts(n_shards, PER_GROUP), frames.parts(n_shards, PER_KEY)
+    boxes = shards.select("_part", "_box", F.pmod("_part", F.lit(groups)).alias("_group")).groupBy("_group").applyInArrow(_boxes, "_group long, _boxes binary").withColumn("_key", F.explode(_upto(keys)))
+    blocks = shards.select("_part", "_asked", F.explode(_upto(groups)).alias("_group"), F.pmod(F.xxhash64("_part"), F.lit(keys)).alias("_key"))
+    met = blocks.join(boxes, ["_group", "_key"]).repartition(tasks, "_part", "_group").select("_part", "_asked", "_boxes")
+    asked = frames.stored(met.mapInArrow(_asker(width), "_part long, _from long, _blob binary"))
+    copies = asked.groupBy("_part").agg(F.ceil(F.count("*") / PER_TREE).alias("_copies"))
+    trees = shards.join(copies, "_part").select("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_salt"), F.lit(0).alias("_kind"), F.col("_tree").alias("_blob"))
+    sent = asked.join(copies, "_part").select("_part", F.pmod(F.xxhash64("_from"), F.col("_copies")).alias("_salt"), F.lit(1).alias("_kind"), "_blob")
+    away = trees.unionByName(sent).repartition(tasks, "_part", "_salt").sortWithinPartitions("_part", "_salt", "_kind").mapInArrow(_searcher(width, k), FOUND)
     found = away.unionByName(shards.select("_asked").mapInArrow(_at_home(width), FOUND))
+    if size["all"] > n:
+        doubles = all_.select("_id", F.col("_x").cast("array<double>").alias("_x"), small(F.col("_x"), scale).alias("_small"))
+        asks = doubles.filter(F.pmod("_id", F.lit(query_every)) == 0).drop("_small").distinct()
+        large = doubles.filter("not _small").drop("_small")
+        for queries, candidates in ((asks, large), (asks.filter(~small(F.col("_x"), scale)), doubles.filter("_small").drop("_small"))):
+            found = found.unionByName(_compared(queries, candidates, width, k, scale))
     order = Window.partitionBy("query_id", "_hash").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    told = F.when(F.col("score").isin(LOWEST, HIGHEST), F.raise_error(F.lit("a score needs more than 64 bits")).cast("long")).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", told.alias("score"))
