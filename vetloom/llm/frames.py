@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from vetloom.session import checkpointed, shared_folder  # noqa: F401  the operators take both from here
 
+#: What a row counts beside its text, so that many empty texts are many bytes, too.
+ROW_BYTES = 16
+
 
 def new_table(spark: SparkSession) -> str:
     """A path of its own in the shared checkpoint folder."""
@@ -36,8 +39,8 @@ def clear(spark: SparkSession) -> None:
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
-    """The UTF-8 bytes of all values of a column: one number, from a scan of that column."""
-    return int(df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
+    """The UTF-8 bytes of all values of a column, and some for each row: one number, from a scan of that column."""
+    return int(df.agg(F.sum(ROW_BYTES + F.coalesce(F.octet_length(F.col(column)), F.lit(0))).alias("n")).first()["n"] or 0)
 
 
 def parts(total: int, each: int) -> int:
@@ -55,6 +58,16 @@ def dealt(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n))
 
 
+def spread(id_: Column, text: Column, n: int) -> Column:
+    """A number from 0 to ``n - 1`` by a row's id, text and partition.
+
+    The partition spreads a row that is repeated very often.  It is the same
+    each time that the rows are read, as from files, or computed behind a
+    shuffle; where it may not be, write them first.
+    """
+    return dealt(F.struct(id_, F.xxhash64(text), F.spark_partition_id()), n)
+
+
 def others(df: DataFrame, *without: str) -> Column:
     """All columns but those named, as one struct, so that they travel under names of their own."""
     names = [c for c in df.columns if c not in without]

@@ -261,8 +261,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fold = F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(-1)).cast("int")
     learned = docs.filter(fold.between(1, FOLDS - 1)).agg(F.count("*").alias("n"), F.count_if(fold == DELETED).alias("deleted")).first()
     n_deleted, n_other, buckets = frames.parts(total, FOLDS * CHUNK_BYTES), frames.parts(total, CHUNK_BYTES), frames.parts(total, BUCKET_BYTES)
-    key = F.struct(id_, F.octet_length(text_col))
-    chunk = F.when(fold == DELETED, frames.dealt(key, n_deleted)).otherwise(n_deleted + frames.dealt(key, n_other))
+    text = F.col(text_col)
+    chunk = F.when(fold == DELETED, frames.spread(id_, text, n_deleted)).otherwise(n_deleted + frames.spread(id_, text, n_other))
     rows = docs.select(chunk.alias("_chunk"), id_.alias("_id"), fold.alias("_fold"), F.col(text_col).cast("string").alias("_text")).mapInArrow(A.tidy(_dealt), "_chunk long, _texts binary")
     chunks, spark = n_deleted + n_other, docs.sparkSession
     few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, 2 * total, TASK_BYTES)

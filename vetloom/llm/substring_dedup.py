@@ -326,7 +326,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     new = ["n_words", "n_removed", "kept_text", *(["cut_text"] if cut else [])]
     row = frames.others(docs, text_col, *new)
     id_ = F.col(id_col).cast("long")
-    chunked = docs.select(frames.dealt(F.struct(id_, F.octet_length(text_col)), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
+    chunked = docs.select(frames.spread(id_, F.col(text_col), chunks).alias("_chunk"), id_.alias("_id"), F.col(text_col).cast("string").alias("_text"), row.alias("_row"))
     few, many = frames.tasks(spark, total, TEXT_TASK), frames.tasks(spark, EXPANSION * total, TASK_BYTES)
     chunked = chunked.repartition(few, "_chunk")
     packed = chunked.groupBy("_chunk").applyInArrow(A.tidy_group(_emitter(window, minimiser, often, buckets)), exchange.SENT)

@@ -95,7 +95,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     total = frames.text_bytes(pages, html_col)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.sha1(payload).alias("_sha"), payload.alias("_payload"))
-    rows = rows.withColumn("_shard", frames.dealt(F.struct("_id", "_sha"), frames.parts(total, SHARD_BYTES)))
+    rows = rows.withColumn("_shard", frames.spread(F.col("_id"), F.col("_sha"), frames.parts(total, SHARD_BYTES)))
     sums = rows.filter(F.octet_length("_payload") >= min_bytes).select("_id", "_sha", "_shard")
     # written first, so that the join's sides are plain shuffles, and Spark can split those of a payload that very many pages share
     most = frames.checkpointed(sums.groupBy("_sha").agg(F.max("_id").alias("_refers"), F.count("*").alias("_n")).filter("_n > 1 and _refers is not null").drop("_n"))
