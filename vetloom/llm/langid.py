@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
+from . import frames
 
 DIMS = 4096
 GRAMS = 3
@@ -143,67 +144,111 @@ def _below(most: int, m: int) -> int:
     return (1 << 63) - 1 if m <= wanted else (wanted << 64) // m - (1 << 63)
 
 
+def _dense(blobs: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """The vectors of sampled texts that have an n-gram."""
+    count = np.zeros((len(blobs), DIMS), np.int64)
+    for i, blob in enumerate(blobs):
+        at, n = A.unpack(blob)
+        count[i, at] = n
+    return vectors(count[count.any(axis=1)], idf)
+
+
+def _clustered(idf: np.ndarray, k: int, most: int):
+    """The ``most`` texts of a language with the smallest hashes, and its centroids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h").slice(0, most)
+        x = _dense(table["blob"].to_pylist(), idf)
+        centres = kmeans(x, k) if len(x) else x
+        lang = table["lang"][0].as_py()
+        return pa.table({"lang": [lang] * len(centres), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
+
+    return run
+
+
+def _voting(idf: np.ndarray, model, most: int):
+    """How many of a language's texts are nearest to each centroid."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _dense(table.sort_by("h").slice(0, most)["blob"].to_pylist(), idf)
+        near, n = np.unique(np.argmax(x @ model.value.centroids.T, axis=1), return_counts=True)
+        return pa.table({"lang": [table["lang"][0].as_py()] * len(near), "near": near, "n": n})
+
+    return run
+
+
+def _reaching(idf: np.ndarray, model, most: int):
+    """What a language's own texts reach, and what they reach with other languages' centroids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        m, lang = model.value, table["lang"][0].as_py()
+        cosine = _dense(table.sort_by("h").slice(0, most)["blob"].to_pylist(), idf) @ m.centroids.T
+        mine = np.array(m.labels, object) == lang
+        right = mine[np.argmax(cosine, axis=1)]
+        some = cosine[right] if right.any() else cosine
+        own = float(np.quantile(some[:, mine].max(axis=1), 0.01))
+        foreign = float(np.quantile(some[:, ~mine].max(axis=1), 0.9)) if right.any() and not mine.all() else None
+        return pa.table({"lang": [lang], "own": pa.array([own]), "foreign": pa.array([foreign], pa.float64())})
+
+    return run
+
+
+def _kept(labels: np.ndarray, votes: dict[tuple[int, str], float]) -> np.ndarray:
+    """The centroids whose texts mostly carry their own language's label, and one of each language at least."""
+    best = np.zeros(len(labels))
+    for (i, _), n in votes.items():
+        best[i] = max(best[i], n)
+    own = np.array([votes.get((i, lang), 0.0) for i, lang in enumerate(labels)])
+    keep = (own > 0) & (own >= best)
+    for lang in np.unique(labels):
+        mine = np.flatnonzero(labels == lang)
+        if not keep[mine].any():
+            keep[mine[np.argmax(own[mine])]] = True
+    return np.flatnonzero(keep)
+
+
+def _limits(own: dict[str, float], foreign: list[float]) -> dict[str, float]:
+    """MARGIN of the way from what unlearned languages reach to what a language's own texts do."""
+    middle = np.median(foreign) if foreign else None
+    return {lang: q - (1 - MARGIN) * max(0, q - (ALONE * q if middle is None else middle)) for lang, q in own.items()}
+
+
 def fit(train: DataFrame, text_col: str, lang_col: str) -> Model:
-    """Learns from the rows of ``train`` with a language."""
+    """Learns from the rows of ``train`` with a language.
+
+    The sample stays on the executors, a group for each language.  The driver
+    has the centroids, 16 kB each, and some numbers of each language.
+    """
+    context = train.sparkSession.sparkContext
     rows = train.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     frequency = rows.select("text").mapInArrow(A.tidy(_frequencies), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(frequency["place"].tolist(), frequency["n"].tolist(), strict=True))
     n = found.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
+    nothing = Model(idf, [], np.zeros(0), np.zeros((0, DIMS), np.float32))
     # texts that repeat share a hash, so a group of copies counts once
     hashed = rows.filter(has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
     of = {r["lang"]: r["n"] for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
-        return Model(idf, [], np.zeros(0), np.zeros((0, DIMS), np.float32))
+        return nothing
     most = max(LEAST, min(SAMPLE, SAMPLE * LANGUAGES // len(of)))
     below = train.sparkSession.createDataFrame([(lang, _below(most, m)) for lang, m in of.items()], "lang string, below long")
     chosen = hashed.join(F.broadcast(below), "lang").filter("h <= below")
-    sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(A.tidy(_sampled), "lang string, h long, blob binary").toPandas()
-    sample = sample.sort_values(["lang", "h"]).groupby("lang").head(most).reset_index(drop=True)
-    langs = sample["lang"].to_numpy()
-    count = np.zeros((len(sample), DIMS), np.int64)
-    for i, blob in enumerate(sample["blob"]):
-        at, c = A.unpack(blob)
-        count[i, at] = c
-    x = vectors(count, idf)
-    full = count.any(axis=1)
-    x, langs = x[full], langs[full]
-    labels, parts = [], []
-    for lang in sorted(set(langs)):
-        parts.append(kmeans(x[langs == lang], max(1, CLUSTERS * most // SAMPLE)))
-        labels += [lang] * len(parts[-1])
-    if not parts:
-        return Model(idf, [], np.zeros(0), np.zeros((0, DIMS), np.float32))
-    return _checked(Model(idf, labels, np.zeros(len(labels)), np.vstack(parts)), x, langs, of)
-
-
-def _checked(model: Model, x: np.ndarray, langs: np.ndarray, of: dict[str, int]) -> Model:
-    """Without the centroids of other languages' texts, and with limits."""
-    cosine = x @ model.centroids.T
-    nearest = np.argmax(cosine, axis=1)
-    weight = np.array([of[lang] / (langs == lang).sum() for lang in langs])
-    keep = []
-    for i, label in enumerate(model.labels):
-        votes = {lang: weight[(nearest == i) & (langs == lang)].sum() for lang in set(langs)}
-        keep.append(votes[label] > 0 and votes[label] >= max(votes.values()))
-    labels = np.array(model.labels)
-    for lang in set(langs):  # one of each language at least
-        mine = np.flatnonzero(labels == lang)
-        if not np.array(keep)[mine].any():
-            keep[mine[np.argmax([weight[(nearest == i) & (langs == lang)].sum() for i in mine])]] = True
-    at = np.flatnonzero(keep)
-    labels = labels[at]
-    cosine = cosine[:, at]
-    own, foreign = {}, []
-    for lang in set(langs):
-        some, mine = cosine[langs == lang], labels == lang
-        right = mine[np.argmax(some, axis=1)]
-        some = some[right] if right.any() else some
-        own[lang] = np.quantile(some[:, mine].max(axis=1), 0.01)
-        if right.any() and not mine.all():
-            foreign.append(np.quantile(some[:, ~mine].max(axis=1), 0.9))
-    limit = {lang: q - (1 - MARGIN) * max(0, q - (np.median(foreign) if foreign else ALONE * q)) for lang, q in own.items()}
-    return Model(model.idf, labels.tolist(), np.array([limit[lang] for lang in labels]), model.centroids[at])
+    sample = frames.checkpointed(chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(A.tidy(_sampled), "lang string, h long, blob binary"))
+    groups = sample.groupBy("lang")
+    clustered = groups.applyInArrow(A.tidy_group(_clustered(idf, max(1, CLUSTERS * most // SAMPLE), most)), "lang string, centroid binary").toArrow().sort_by("lang")
+    if not len(clustered):
+        return nothing
+    labels = np.array(clustered["lang"].to_pylist(), object)
+    centroids = np.frombuffer(b"".join(clustered["centroid"].to_pylist()), np.float32).reshape(len(labels), DIMS)
+    told = groups.applyInArrow(A.tidy_group(_voting(idf, context.broadcast(Model(idf, labels.tolist(), np.zeros(0), centroids)), most)), "lang string, near long, n long").toPandas()
+    size = told.groupby("lang")["n"].sum()
+    votes = {(i, lang): c * of[lang] / size[lang] for lang, i, c in zip(told["lang"], told["near"], told["n"], strict=True)}
+    at = _kept(labels, votes)
+    labels, centroids = labels[at].tolist(), centroids[at]
+    reached = groups.applyInArrow(A.tidy_group(_reaching(idf, context.broadcast(Model(idf, labels, np.zeros(0), centroids)), most)), "lang string, own double, foreign double").toPandas()
+    limit = _limits(dict(zip(reached["lang"], reached["own"], strict=True)), reached["foreign"].dropna().tolist())
+    return Model(idf, labels, np.array([limit[lang] for lang in labels]), centroids)
 
 
 def has_letter(column: Column) -> Column:
