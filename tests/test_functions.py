@@ -72,18 +72,30 @@ def test_text(spark):
 
 
 def test_similarity(spark):
-    rng = random.Random(1)
-    words = ["NAMF", "1FSC", "AC", "AN", "PAM", "", "GSTlN"] + ["".join(rng.choices("NAMEGSTIPOF", k=rng.randint(1, 8))) for _ in range(200)]
-    for word in words:
-        for key in ("NAME", "IFSC", "A/C", "PAN", "GSTIN"):
-            assert similarity.similar(word, key, 0.75) == bool(difflib.get_close_matches(key, [word], cutoff=0.75))
+    rng = random.Random(7)
+    words = ["NAMF", "1FSC", "AC", "AN", "PAM", "", "GSTlN", "日本語", "É"] + ["".join(rng.choices("NAMEGSTIPOF", k=rng.randint(1, 8))) for _ in range(200)]
+    pairs = [(w, k) for w in words for k in ("NAME", "IFSC", "A/C", "PAN", "GSTIN", "日本", "")] + [("".join(rng.choices("ABC ", k=rng.randint(0, 12))), "".join(rng.choices("ABC ", k=rng.randint(0, 12)))) for _ in range(800)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    for r in frame.select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("ratio"), similarity.similar(F.col("a"), F.col("b"), 0.75).alias("near")).collect():
+        want = difflib.SequenceMatcher(None, r.a, r.b).ratio()
+        assert (r.ratio, r.near) == (want, want >= 0.75)
     near = similarity.near_keywords(["NAME", "PAN"])
     rows = spark.createDataFrame([(["Your Namf: x", None, "PAM"],)], "lines array<string>")
-    assert rows.select(near("lines").alias("x")).first().x == [["NAME"], [], []]
+    assert rows.select(near(F.col("lines")).alias("x")).first().x == [["NAME"], [], []]
     snap = similarity.closest(["Regular", "Composition"])
     assert of(spark, ["Regulor", "composition", "zzz", None], snap) == ["Regular", "Composition", None, None]
 
 
+@pytest.mark.parametrize("cutoff", [0.6, 0.75, 0.9, 1.0])
+def test_similar_pairs(spark, cutoff):
+    rng = random.Random(cutoff)
+    words = lambda n: ["".join(rng.choices("ABCD é", k=rng.randint(0, 9))) for _ in range(n)]
+    one, two = [*words(150), None, "same"], [*words(150), None, "same"]
+    got = similarity.similar_pairs(spark.createDataFrame([(w, 1) for w in one + one[:9]], "word string, ratio int"), spark.createDataFrame([(w,) for w in two], "other string"), cutoff)
+    want = {(a, b, x) for a in one if a for b in two if b and (x := difflib.SequenceMatcher(None, a, b).ratio()) >= cutoff}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("empty", ["", None])
 def test_empty_text(spark, empty):
     assert of(spark, [empty], lambda v: text.find(v, "[A-Z]")) == [None]

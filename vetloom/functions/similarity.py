@@ -1,63 +1,127 @@
-"""Similarity of short strings by matching blocks (``difflib``), which SQL lacks.
-
-These are Arrow-batched functions over arrays of a page's lines.  Each worker
-remembers the words that it has met.
+"""Similarity of short strings by matching blocks, as expressions.
+
+The longest common block of two strings is found (of several the first in the
+one, and then in the other string), then those left and right of it, and so on.
+The ratio is twice the length of all blocks over both lengths.  Spark evaluates
+this beside the data, without Python: a loop over a list of pairs of parts that
+are still to be compared.  What two lengths, and the characters that two strings
+share, leave possible is tested first, so that few pairs come to the loop.
 """
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Sequence
-from functools import lru_cache
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANCHOR_CUTOFF, SNAP_CUTOFF = 0.75, 0.6
+#: Characters that words are split at, and what is dropped from them.
+SPACE, NO_LETTER = r"[\s\x1c-\x1f\x85\p{Z}]+", r"[^\p{L}\p{N}_]"
 
 
-def similar(word: str, other: str, cutoff: float) -> bool:
-    """Whether the ratio of the two reaches the cutoff; the shorter length bounds it."""
-    both = len(word) + len(other)
-    if not both or 2 * min(len(word), len(other)) < cutoff * both:
-        return not both
-    match = difflib.SequenceMatcher(None, word, other)
-    return match.quick_ratio() >= cutoff and match.ratio() >= cutoff
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression in which a value occurs more than once, but is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-@lru_cache(maxsize=200_000)
-def _near(word: str, keys: tuple[str, ...], cutoff: float) -> tuple[str, ...]:
-    return tuple(k for k in keys if similar(word, k, cutoff))
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(1), n)
 
 
-@lru_cache(maxsize=200_000)
-def _closest(value: str, members: tuple[str, ...], cutoff: float) -> str | None:
-    return next(iter(difflib.get_close_matches(value, members, n=1, cutoff=cutoff)), None)
+def _block(a: Column, b: Column) -> Column:
+    """(length, minus the place in ``a``) of the longest common block of two strings that are not empty."""
+    longest = lambda i: F.size(F.filter(_upto(F.length(a) - i + 1), lambda n: F.instr(b, F.substr(a, i, n)) > 0))
+    return F.array_max(F.transform(_upto(F.length(a)), lambda i: F.struct(longest(i).alias("n"), (-i).alias("i"))))
 
 
-def near_keywords(keywords: Sequence[str], cutoff: float = ANCHOR_CUTOFF):
-    """A function of a page's lines: for each line, the keywords that one of its words is similar to."""
-    keys = tuple(keywords)
+def _parts(x: Column, n: Column, i: Column) -> Column:
+    """What lies left and right of a block, where both strings have something."""
+    both = lambda j: F.array(F.struct(F.substr(x["a"], F.lit(1), i - 1).alias("a"), F.substr(x["b"], F.lit(1), j - 1).alias("b")), F.struct(F.substr(x["a"], i + n).alias("a"), F.substr(x["b"], j + n).alias("b")))
+    return F.filter(_let(F.instr(x["b"], F.substr(x["a"], i, n)), both), lambda y: (F.length(y["a"]) > 0) & (F.length(y["b"]) > 0))
+
+
+def matched(a: Column, b: Column) -> Column:
+    """The length of all matching blocks."""
+
+    def step(state: Column) -> Column:
+        x, rest = state["todo"][0], F.slice(state["todo"], F.lit(2), F.size(state["todo"]))
+        done = lambda t: F.struct((state["m"] + t["n"]).alias("m"), F.when(t["n"] > 0, F.concat(rest, _parts(x, t["n"], -t["i"]))).otherwise(rest).alias("todo"))
+        return _let(_block(x["a"], x["b"]), done)
+
+    # a block takes at least a character of each, and leaves two parts at most
+    rounds = _upto(2 * F.least(F.length(a), F.length(b)) + 1)
+    start = F.struct(F.lit(0).alias("m"), F.array(F.struct(a.alias("a"), b.alias("b"))).alias("todo"))
+    looped = F.aggregate(rounds, start, lambda state, _: F.when(F.size(state["todo"]) > 0, step(state)).otherwise(state), lambda state: state["m"])
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), looped).otherwise(0)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Twice the matched length over both lengths; 1 for two empty strings."""
+    both = F.length(a) + F.length(b)
+    return F.when(both > 0, F.lit(2.0) * matched(a, b) / both).otherwise(1.0)
 
-    @F.pandas_udf("array<array<string>>")
-    def near(lines: pd.Series) -> pd.Series:
-        def page(texts) -> list[list[str]] | None:
-            if texts is None:
-                return None
-            return [sorted({k for w in (t or "").upper().split() for k in _near(re.sub(r"[^\w]", "", w), keys, cutoff)}) for t in texts]
 
-        return lines.map(page)
+def _possible(a: Column, b: Column, cutoff: float) -> Column:
+    """Whether lengths and shared characters leave a ratio of the cutoff possible."""
+    least = F.lit(cutoff) * (F.length(a) + F.length(b))
+    without = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))
+    shared = F.least(F.length(a) - without(a, b), F.length(b) - without(b, a))
+    return (2 * F.least(F.length(a), F.length(b)) >= least) & (2 * shared >= least)
 
-    return near
 
+def similar(a: Column, b: Column, cutoff: float) -> Column:
+    """Whether the ratio of the two reaches the cutoff."""
+    return F.when(a == b, True).when(_possible(a, b, cutoff), ratio(a, b) >= cutoff).otherwise(False)
 
-def closest(domain: Sequence[str], cutoff: float = SNAP_CUTOFF):
-    """A function of a value: the most similar member of a domain, null below the cutoff."""
-    members = tuple(domain)
 
-    @F.pandas_udf("string")
-    def snap(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _closest(v, members, cutoff))
+def words(text: Column) -> Column:
+    """The words of a line in upper case, without punctuation; some may be empty."""
+    return F.transform(F.split(F.upper(text), SPACE), lambda w: F.regexp_replace(w, NO_LETTER, ""))
+
+
+def near_keywords(keywords: Sequence[str], cutoff: float = ANCHOR_CUTOFF) -> Callable[[Column], Column]:
+    """A function of a page's lines: for each line, the keywords that one of its words is similar to."""
+    fits = lambda k, n: 2 * min(len(k), n) >= cutoff * (len(k) + n)
+    longest = next(n for n in range(1, 1 << 16) if not any(fits(k, m) for k in keywords for m in (n, n + 1)) and n > max(map(len, keywords)))
+    # the keywords of a length that a word's own length leaves possible, by that length
+    none = F.array().cast("array<string>")
+    of = F.array(*[F.array(*[F.lit(k) for k in sorted(keywords) if fits(k, n)]) if any(fits(k, n) for k in keywords) else none for n in range(longest)])
+    near = lambda w: F.filter(F.coalesce(F.get(of, F.length(w)), none), lambda k: similar(w, k, cutoff))
+    return lambda lines: F.transform(lines, lambda t: F.array_distinct(F.flatten(F.transform(words(F.coalesce(t, F.lit(""))), near))))
+
+
+def closest(domain: Sequence[str], cutoff: float = SNAP_CUTOFF) -> Callable[[Column], Column]:
+    """A function of a value: the most similar member of a domain (of several the last by the alphabet), null below the cutoff."""
+    members = F.array(*[F.lit(m) for m in domain])
+
+    def snap(value: Column) -> Column:
+        rated = F.transform(F.filter(members, lambda m: _possible(m, value, cutoff)), lambda m: F.struct(ratio(m, value).alias("r"), m.alias("m")))
+        return F.array_max(F.filter(rated, lambda x: x["r"] >= cutoff))["m"]
 
     return snap
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = ANCHOR_CUTOFF) -> DataFrame:
+    """(word, other, ratio) of all pairs of distinct words (column ``word`` of ``left``, ``other`` of ``right``) whose ratio reaches the cutoff.
+
+    In such a pair of n and o characters at least m match.  Two blocks have a
+    character between them that does not, in one word or the other, so there are
+    ``n + o - 2m + 1`` blocks at most, and one has ``m / (n + o - 2m + 1)``
+    characters.  So words meet in an equi-join on both lengths and a substring of
+    that length; characters that they share then leave few for the loop.  Null
+    and empty words are left out.
+    """
+    # lengths that leave the ratio possible, and one more on each side for the rounding of doubles
+    near = lambda n: F.sequence(F.greatest(F.lit(1), F.floor(n * F.lit(cutoff / (2 - cutoff))).cast("int")), F.ceil(n * F.lit((2 - cutoff) / cutoff)).cast("int"))
+    one = left.select("word").filter("word <> ''").distinct().withColumn("n", F.length("word"))
+    two = right.select("other").filter("other <> ''").distinct().withColumn("o", F.length("other"))
+
+    def block(n: Column, o: Column) -> Column:
+        m = F.ceil(F.lit(cutoff) * (n + o) / 2)
+        return F.greatest(F.lit(1), F.ceil(m / F.greatest(F.lit(1), n + o - 2 * m + 1))).cast("int")
+
+    grams = lambda text, size: F.when(size <= F.length(text), F.array_distinct(F.transform(_upto(F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, size))))
+    cut = lambda rows, word, length, other: rows.withColumn(other, F.explode(near(F.col(length)))).withColumn("gram", F.explode(grams(F.col(word), block(F.col("n"), F.col("o")))))
+    pairs = cut(one, "word", "n", "o").join(cut(two, "other", "o", "n"), ["n", "o", "gram"]).select("word", "other").distinct().filter(_possible(F.col("word"), F.col("other"), cutoff))
+    return pairs.withColumn("ratio", ratio(F.col("word"), F.col("other"))).filter(F.col("ratio") >= cutoff)

@@ -223,7 +223,25 @@ def bank_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(f"lower({_BANK})").alias("bank")).select("s_suppkey", "bank", ids.bank_code(F.col("bank")).alias("code"))
 
 
-@query()
+#: The longest common block of ``a`` and ``b``, the first in ``a``: its length times 1000, and 999 less its place.
+_BLOCK = "list_max(list_transform(range(1, length(a) + 1), lambda i: 1000 * len(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n)))) + 999 - i))"
+
+
+def _ratios(pairs: str, cutoff: float) -> str:
+    """CTEs that end in ratios(one, two, ratio): pairs (one, two) by matching blocks, found by a recursive query."""
+    return f"""pairs AS (SELECT DISTINCT one, two FROM ({pairs}) WHERE 2 * least(length(one), length(two)) >= {cutoff} * (length(one) + length(two))),
+parts AS (SELECT one, two, one AS a, two AS b FROM pairs
+  UNION ALL SELECT one, two, unnest([substr(a, 1, i - 1), substr(a, i + n)]), unnest([substr(b, 1, instr(b, substr(a, i, n)) - 1), substr(b, instr(b, substr(a, i, n)) + n)])
+  FROM (SELECT *, t // 1000 AS n, 999 - t % 1000 AS i FROM (SELECT *, {_BLOCK} AS t FROM parts WHERE a <> '' AND b <> '')) WHERE n > 0),
+ratios AS (SELECT one, two, 2.0::DOUBLE * sum(coalesce({_BLOCK}, 0) // 1000)::DOUBLE / (length(one) + length(two)) AS ratio FROM parts GROUP BY one, two HAVING ratio >= {cutoff})"""
+
+
+_MEMBERS = "SELECT unnest([" + ", ".join(f"'{m}'" for m in extract.REGISTRATION_TYPES) + "]) AS m"
+
+
+@query(f"""WITH RECURSIVE p AS ({DUCK.people()}), {_ratios(f"SELECT m AS one, unnest([type_read, upper(type_read)]) AS two FROM p, ({_MEMBERS})", similarity.SNAP_CUTOFF)},
+best AS (SELECT two, max(struct_pack(r := ratio, m := one)).m AS m FROM ratios GROUP BY two)
+SELECT k, type, u.m AS of_upper, b.m AS snapped FROM p LEFT JOIN best u ON u.two = upper(type_read) LEFT JOIN best b ON b.two = type_read""")
 def snap_registration_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.people(spark, sf_dir).select("k", "type", similarity.closest(extract.REGISTRATION_TYPES)(F.upper("type_read")).alias("of_upper"), similarity.closest(extract.REGISTRATION_TYPES)(F.col("type_read")).alias("snapped"))
 
@@ -273,11 +291,32 @@ def anchors_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(spark, sf_dir, False)
 
 
-@query()
+_SPLIT = r"list_transform(regexp_split_to_array(upper(line), '[\s\x1c-\x1f\x85\p{Z}]+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g'))"
+_KEYS = "SELECT unnest([" + ", ".join(f"'{k}'" for k in extract.KEYWORDS) + "]) AS k"
+_NEAR = lambda n: f"min(CASE WHEN len(list_intersect(keys, {extract.ANCHORS[n]})) = {len(extract.ANCHORS[n])} THEN line_no END)::INTEGER AS {n}"
+
+
+@query(f"""WITH RECURSIVE {_LINES}, words AS (SELECT doc_id, page_no, line_no, unnest({_SPLIT}) AS word FROM lines), {_ratios(f"SELECT word AS one, k AS two FROM words, ({_KEYS})", similarity.ANCHOR_CUTOFF)},
+marks AS (SELECT doc_id, page_no, line_no, two AS k FROM words JOIN ratios ON word = one UNION SELECT doc_id, page_no, line_no, k FROM lines, ({_KEYS}) WHERE contains(upper(line), k)),
+marked AS (SELECT doc_id, page_no, line_no, list(k) AS keys FROM marks GROUP BY ALL)
+SELECT doc_id, page_no, {", ".join(map(_NEAR, _SHOWN))} FROM lines LEFT JOIN marked USING (doc_id, page_no, line_no) GROUP BY doc_id, page_no""")
 def anchors_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(spark, sf_dir, True)
 
 
+#: Words of documents that are like a keyword: letters alone, of which a text has many.
+_WORDS = r"unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS word"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT word FROM (SELECT {_WORDS} FROM documents)), {_ratios(f"SELECT word AS one, k AS two FROM d, ({_KEYS})", similarity.ANCHOR_CUTOFF)}
+SELECT one AS word, two AS other, round(ratio, 9) AS ratio FROM ratios""")
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of all documents that are like a keyword."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]+"), F.lit(0))).alias("word"))
+    keys = spark.createDataFrame([(k,) for k in extract.KEYWORDS], "other string")
+    return similarity.similar_pairs(words, keys).withColumn("ratio", F.round("ratio", 9))
+
+
 # --- extraction -----------------------------------------------------------
 
 
