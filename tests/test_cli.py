@@ -43,6 +43,9 @@ def test_uploaded_files_and_exit_codes(spark, tmp_path, capsys):
     assert main(one) == 0
     assert sorted(json.loads(r.value)["document_type"] for r in spark.read.text(out).collect()) == ["PAN", "UNKNOWN"]
     assert main([one[0], str(folder / "a.png"), *one[2:]]) == 0
+    (folder / "none.png").touch()
+    assert main(one) == 1
+    (folder / "none.png").unlink()
     (folder / "d.jpg").write_text("broken")
     (folder / "c.txt").write_text("no")
     assert main(one) == 1

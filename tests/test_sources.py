@@ -24,8 +24,12 @@ def recogniser():
 def test_uploads_and_recogniser(spark, tmp_path):
     for name, content in (("a.PNG", "one"), ("b.pdf", "two"), ("c.txt", "no"), ("d.jpg", "broken"), ("e.png", "blank")):
         (tmp_path / name).write_text(content)
+    (tmp_path / "deep/er").mkdir(parents=True)
+    for name in ("empty.png", "deep/er/_hidden none.jpg", "deep/.x"):
+        (tmp_path / name).touch()
     taken, refused = files.uploads(spark, str(tmp_path))
-    assert [r.path.rsplit("/", 1)[1] for r in refused.collect()] == ["c.txt"]
+    assert {r.path.removeprefix(f"file:{tmp_path}/"): r.message for r in refused.collect()} == {"c.txt": "Unsupported file type: .txt", "empty.png": files.NO_BYTES, "deep/er/_hidden none.jpg": files.NO_BYTES, "deep/.x": "Unsupported file type: .x"}
+    assert [(r.path, bytes(r.content)) for r in files.uploads(spark, str(tmp_path / "b.pdf"))[0].collect()] == [(f"file:{tmp_path}/b.pdf", b"two")]
     tokens, failures = files.recognised(taken, recogniser)
     assert sorted((r.doc_id.rsplit("/", 1)[1], r.page_no, r.text) for r in tokens.filter("page_no is not null").collect()) == [("a.PNG", 1, "one"), ("b.pdf", 1, "two"), ("b.pdf", 2, "two")]
     assert [r.message for r in failures.collect()] == ["not an image"]
@@ -40,10 +44,14 @@ def test_extraction_stream(spark, tmp_path):
     (source / "c.txt").write_text("no")
     run()
     (source / "d.jpg").write_text("broken")
+    (source / "none.png").touch()
     run()
-    got = {r.doc_id.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert set(got) == {"a.png", "d.jpg"} and got["d.jpg"].message == "not an image"
-    assert got["a.png"].fields["pan_number"].value == "ABCDE1234F"
+    (source / "later.pdf").touch()
+    run()
+    got = [(r.doc_id.rsplit("/", 1)[1], r.batch, r.status, r.message) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("a.png", 0, "success", None), ("c.txt", 0, "failure", "Unsupported file type: .txt"), ("d.jpg", 1, "failure", "not an image"), ("later.pdf", 2, "failure", files.NO_BYTES), ("none.png", 1, "failure", files.NO_BYTES)]
+    fields = {r.doc_id: r.fields for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert fields[next(d for d in fields if d.endswith("a.png"))]["pan_number"].value == "ABCDE1234F"
 
 
 class Ledger:

@@ -22,17 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.operators import evaluate, extract
-from vetloom.session import checkpointed, ship
+from vetloom.session import checkpointed, exists, ship
 from vetloom.sources import files, sinks
 
 VERSION = "0.1.0"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _results(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if not args.recogniser:
         return extract.results(files.tokens(spark, args.input))
@@ -43,7 +38,7 @@ def _results(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def _extract(spark: SparkSession, args: argparse.Namespace) -> int:
-    if not _exists(spark, args.input):
+    if not exists(spark, args.input):
         print(f"Error: no input {args.input}", file=sys.stderr)
         return 1
     done = checkpointed(_results(spark, args))
@@ -64,7 +59,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     truth = None
     for kind in kinds:
         path = f"{args.truth.rstrip('/')}/{kind}_ground_truth.json"
-        if not _exists(spark, path):
+        if not exists(spark, path):
             print(f"Warning: no labelled file {path}", file=sys.stderr)
             continue
         rows = evaluate.unpivoted(files.labelled(spark, path, kind), kind)

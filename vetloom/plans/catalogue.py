@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from vetloom.functions import confidence, similarity, text
 from vetloom.functions import identifiers as ids
 from vetloom.operators import admission, classify, evaluate, extract, layout, vendors
-from vetloom.session import shared_folder
-from vetloom.sources import clients, sinks
+from vetloom.session import shared_folder, stored
+from vetloom.sources import clients, files, sinks
 from vetloom.streaming.registry import Registry
 
 from . import corpus
@@ -521,6 +521,34 @@ def push_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pushed.groupBy("extraction_status", "document_type", "erp_status").agg(F.count("*").alias("documents"))
 
 
+# --- uploads --------------------------------------------------------------
+
+#: A file for each customer: of no bytes, of another kind, or fine.
+_FILE = "CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 3 = 0 THEN '_' ELSE '' END || 'doc' || CAST(c_custkey AS STRING) || CASE c_custkey % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '.jpeg' END"
+_CONTENT = "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END"
+
+
+def _saved(folder: str):
+    def save(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                clients.FolderClient(folder).write(name, content)
+            yield batch.select([0])
+
+    return save
+
+
+@query(f"""SELECT {_FILE} AS name, CASE WHEN c_custkey % 5 = 2 THEN 'Unsupported file type: .txt' WHEN {_CONTENT} = '' THEN '{files.NO_BYTES}' END AS message,
+CASE WHEN c_custkey % 5 <> 2 AND {_CONTENT} <> '' THEN {_CONTENT} END AS content FROM customer""")
+def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of a folder is taken with its content or refused with a message."""
+    folder = f"{shared_folder(spark)}/uploads/{uuid.uuid4().hex}"
+    stored(table(spark, sf_dir, "customer").selectExpr(f"{_FILE} AS name", f"{_CONTENT} AS content").mapInArrow(_saved(folder), "name string"))
+    taken, refused = files.uploads(spark, folder)
+    rows = taken.select("path", F.lit(None).cast("string").alias("message"), F.col("content").cast("string").alias("content")).unionByName(refused.withColumn("content", F.lit(None).cast("string")))
+    return rows.select(F.regexp_extract("path", "([0-6]/[^/]*)$", 1).alias("name"), "message", "content")
+
+
 # --- evaluation -----------------------------------------------------------
 
 #: Predictions with errors: what is wrong or missing follows from the key.

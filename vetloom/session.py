@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared checkpoint folder and read from there."""
     shared_folder(df.sparkSession)

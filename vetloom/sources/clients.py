@@ -83,9 +83,11 @@ class FolderClient:
 
     def _path(self, kind: str, name: str) -> str:
         digest = hashlib.sha256(name.encode()).hexdigest()
-        return f"{self.root}/{kind}/{digest[:2]}/{digest}"
+        return f"{kind}/{digest[:2]}/{digest}"
 
-    def _write(self, path: str, text: str) -> None:
+    def write(self, name: str, text: str) -> None:
+        """Writes a file of the folder."""
+        path = f"{self.root}/{name}"
         self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with self.fs.open_output_stream(path) as out:
             out.write(text.encode())
@@ -96,7 +98,7 @@ class FolderClient:
     def check_duplicate(self, vendor: dict) -> bool:
         for key in _keys(vendor):
             try:
-                with self.fs.open_input_stream(self._path("keys", key)) as file:
+                with self.fs.open_input_stream(f"{self.root}/{self._path('keys', key)}") as file:
                     if file.read().decode() != str(vendor["arrival_seq"]):
                         return True
             except FileNotFoundError:
@@ -105,9 +107,9 @@ class FolderClient:
 
     def create_vendor(self, vendor: dict) -> Answer:
         number = hashlib.sha256(str(vendor["arrival_seq"]).encode()).hexdigest().upper()
-        self._write(self._path("vendors", str(vendor["arrival_seq"])), json.dumps(vendor, default=str))
+        self.write(self._path("vendors", str(vendor["arrival_seq"])), json.dumps(vendor, default=str))
         for key in _keys(vendor):
-            self._write(self._path("keys", key), str(vendor["arrival_seq"]))
+            self.write(self._path("keys", key), str(vendor["arrival_seq"]))
         return Answer(True, "SUCCESS", f"Vendor '{vendor['vendor_name']}' created successfully", f"VND-{number[:8]}", f"TXN-{number[8:16]}")
 
 

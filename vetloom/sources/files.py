@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from vetloom.schemas import TOKENS, TRUTH
 from vetloom.session import checkpointed
 
+from . import listing
+
 #: Suffixes of files that are taken (fixed values).
 SUFFIXES = (".png", ".jpg", ".jpeg", ".pdf")
 
+NO_BYTES = "File has no bytes"
+
 Recogniser = Callable[[bytes, str], list[list[tuple]]]
 
 
@@ -27,16 +31,18 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
+def told(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listed files (path, length): those taken (path, length, suffix), and those refused (path, message)."""
+    named = listed.select("path", "length", suffix(F.col("path")).alias("suffix"))
+    fine = F.col("suffix").isin(*SUFFIXES)
+    message = F.when(~fine, F.concat(F.lit("Unsupported file type: "), "suffix")).otherwise(NO_BYTES)
+    return named.filter(fine & (F.col("length") > 0)), named.filter(~fine | (F.col("length") == 0)).select("path", message.alias("message"))
+
+
 def uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The files below a folder: those taken (path, suffix, content), and those refused (path, message).
-
-    Spark's readers pass over files of no bytes, so these are in neither.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    told = files.select("path", suffix(F.col("path")).alias("suffix"), "content")
-    taken = told.filter(F.col("suffix").isin(*SUFFIXES))
-    refused = told.filter(~F.col("suffix").isin(*SUFFIXES)).select("path", F.concat(F.lit("Unsupported file type: "), "suffix").alias("message"))
-    return taken, refused
+    """Every file below a folder: those taken (path, length, suffix, content), and those refused (path, message), files of no bytes among them."""
+    taken, refused = told(listing.listed(spark, folder))
+    return listing.contents(taken), refused
 
 
 def recognised_rows(files: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:

@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vetloom.session import exists
+
 SCHEMA = "id string, success boolean, error_code string, message string, vendor_id string, erp_reference string"
 #: Answers that say nothing about a vendor, so that another push asks again (fixed values).
 PASSING = ("CONNECTION_ERROR", "AUTHENTICATION_ERROR", "INTERNAL_ERROR", "TIMEOUT")
@@ -66,8 +68,7 @@ class Ledger:
 
 def earlier(spark: SparkSession, folder: str) -> DataFrame | None:
     """The answers of earlier pushes with this ledger that settle a vendor, one for each id; null if there are none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return None
     rows = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
     return rows.filter(~F.col("error_code").isin(*PASSING)).dropDuplicates(["id"])
