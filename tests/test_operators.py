@@ -175,12 +175,24 @@ def test_rounds_match_one_by_one(spark, rounds, group):
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     made = []
     one = admission._round
-    monkeypatch.setattr(admission, "_round", lambda open_: made.append(1) or one(open_))
+    monkeypatch.setattr(admission, "_round", lambda *a, **k: made.append(1) or one(*a, **k))
     some = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(400)]
     rows = spark.createDataFrame([(i, 0, k) for i, k in some], "a long, b long, keys array<string>")
     assert sorted(r.a for r in admission.admit(rows).collect()) == model.greedy(some) and len(made) == admission.ROUNDS
 
 
+def test_a_chain_longer_than_a_group(spark, monkeypatch):
+    made = []
+    one = admission.checkpointed
+    monkeypatch.setattr(admission, "checkpointed", lambda df: made.append(1) or one(df))
+    n = 200_000
+    k = F.col("id")
+    rows = spark.range(n).select(k.alias("a"), k.alias("b"), F.array(F.concat(F.lit("k"), k.cast("string")), F.concat(F.lit("k"), (k + 1).cast("string"))).alias("keys"))
+    won = admission.admit(rows, rounds=0, group=1000)
+    assert won.agg(F.count("*"), F.sum("a"), F.max(F.pmod("a", F.lit(2)))).first()[:] == (n // 2, sum(range(0, n, 2)), 0)
+    assert len(made) <= 25 + 10  # steps that double, and the rest of a round
+
+
 def test_documents_without_tokens(spark):
     docs = [*paper("d", "INCOME TAX"), ("bare", None, None, None, None, None), ("blank", 1, 0, None, "", 0.5), ("bad", None, None, None, None, None)]
     failures = spark.createDataFrame([("bad", "cannot read")], "doc_id string, message string")

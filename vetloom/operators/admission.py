@@ -12,8 +12,10 @@ group of vendors that share keys, and all others of a key that many share.
 What :data:`ROUNDS` of them leave are mostly short chains: groups are then
 found as components of shared keys, and each group of at most :data:`GROUP`
 vendors is judged in one pass, group beside group.  Larger groups take more
-rounds.  Only a chain of more than GROUP vendors, each of whom shares a key with
-the next alone, takes rounds in proportion to its length.
+rounds, which also follow chains: a vendor with a single earlier one among those
+that share a key with it is admitted if that one is not, so the place in a chain
+decides, and places are found by steps that double.  A chain of any length is
+settled in one round of logarithmically many joins.
 
 Contract: vendors with the same ``arrival_seq`` come in any one order.  Null or
 empty keys never collide.  An empty table gives an empty result.
@@ -76,15 +78,39 @@ def firsts(open_: DataFrame) -> DataFrame:
     return keyed.join(first, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).filter("all").select("o.*")
 
 
-def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Those admitted in one round, and those that are still open."""
+def _round(open_: DataFrame, chains: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Those admitted in one round, with those along chains if asked for, and those that are still open."""
     keyed = open_.select(F.struct("a", "b").alias("o"), F.explode("keys").alias("key"))
     wins = checkpointed(firsts(open_).select(F.struct("a", "b").alias("o")))
+    if chains:
+        along = _chains(open_).join(wins.withColumnRenamed("o", "root"), "root", "left_semi").filter("not odd").select("o")
+        wins = checkpointed(wins.unionByName(along))
     taken = keyed.join(wins, "o", "left_semi").select("key").distinct()
     settled = keyed.join(taken, "key", "left_semi").select("o.*").distinct()
     return wins.select("o.*"), checkpointed(open_.join(settled, ["a", "b"], "left_anti"))
 
 
+def _chains(open_: DataFrame) -> DataFrame:
+    """(o, root, odd) of each vendor with a single earlier one among those that share a key with it.
+
+    It is admitted if that one is not, so along a chain of such vendors the
+    place decides.  ``root`` is the vendor at the chain's head, and ``odd``
+    whether an odd number of steps leads there; steps double in each round.
+    """
+    keyed = open_.select(F.struct("a", "b").alias("o"), F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("o").alias("first"))
+    later = checkpointed(keyed.join(first, "key").filter(F.col("o") != F.col("first")))
+    second = later.groupBy("key").agg(F.min("o").alias("second"))
+    before = later.join(second, "key").groupBy("o").agg(F.bool_and(F.col("o") == F.col("second")).alias("near"), F.min("first").alias("root"), F.max("first").alias("other"))
+    links = checkpointed(before.filter(F.col("near") & (F.col("root") == F.col("other"))).select("o", "root", F.lit(True).alias("odd")))
+    while True:
+        on = links.select(F.col("o").alias("root"), F.col("root").alias("_root"), F.col("odd").alias("_odd"))
+        moved = checkpointed(links.join(on, "root", "left").select("o", F.coalesce("_root", "root").alias("root"), F.when(F.col("_odd"), ~F.col("odd")).otherwise(F.col("odd")).alias("odd"), F.col("_root").isNotNull().alias("_moved")))
+        links = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            return links
+
+
 def grouped(open_: DataFrame) -> DataFrame:
     """Adds ``root``: the first vendor that shared keys lead to."""
     keyed = open_.select(F.struct("a", "b").alias("u"), F.explode("keys").alias("key"))
@@ -104,17 +130,19 @@ def admit(candidates: DataFrame, held: DataFrame | None = None, rounds: int = RO
     made = 0
     while not open_.isEmpty():
         if made >= rounds:
+            if open_.count() > group:  # only then can a group be too large
+                won, open_ = _round(open_, chains=True)
+                done = done.unionByName(won)
             rooted = checkpointed(grouped(open_))
             sized = rooted.groupBy("root").agg(F.count("*").alias("n"))
             small = rooted.join(sized.filter(F.col("n") <= group), "root", "left_semi")
             # components share no key, so that many can be judged in one call
-            dealt = small.withColumn("_deal", F.pmod(F.xxhash64("root"), F.lit(-(-rooted.count() // max(1, group)))))
+            dealt = small.withColumn("_deal", F.pmod(F.xxhash64("root"), F.lit(max(1, -(-rooted.count() // max(1, group))))))
             done = done.unionByName(checkpointed(dealt.groupBy("_deal").applyInPandas(_greedy, "a long, b long")))
             open_ = checkpointed(rooted.join(sized.filter(F.col("n") > group), "root", "left_semi").select("a", "b", "keys"))
-            if open_.isEmpty():
-                break
-        won, open_ = _round(open_)
-        done = done.unionByName(won)
+        else:
+            won, open_ = _round(open_)
+            done = done.unionByName(won)
         made += 1
     return done
 

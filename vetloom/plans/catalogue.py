@@ -492,6 +492,18 @@ def vendor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.registered(admission.outcomes(corpus.arrivals(spark, sf_dir))).select("arrival_seq", "vendor_id", "vendor_name", "pan", "gstin", "bank_account", "ifsc")
 
 
+@query("""WITH RECURSIVE j AS (SELECT c_custkey AS k, ['a' || (c_custkey // 2), 'b' || ((c_custkey + 1) // 2)] AS keys, row_number() OVER (ORDER BY c_custkey) AS n FROM customer),
+r AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS held, NULL::BIGINT AS k, false AS ok
+  UNION ALL SELECT j.n, CASE WHEN list_has_any(r.held, j.keys) THEN r.held ELSE list_concat(r.held, j.keys) END, j.k, NOT list_has_any(r.held, j.keys) FROM r JOIN j ON j.n = r.n + 1)
+SELECT k AS arrival_seq FROM r WHERE ok""")
+def admission_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chain of all customers, each of whom shares a key with the next alone; groups are kept small, so that it is followed."""
+    key = lambda tag, n: F.concat(F.lit(tag), F.floor(n / 2).cast("string"))
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("a"), k.alias("b"), F.array(key("a", k), key("b", k + 1)).alias("keys"))
+    return admission.admit(rows, group=100).select(F.col("a").alias("arrival_seq"))
+
+
 _LOOKUP = ("pan", "gstin", "account")
 
 
