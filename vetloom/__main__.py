@@ -5,8 +5,8 @@ INPUT is a table of tokens, or with ``--recogniser MODULE:FACTORY`` an uploaded
 file or a folder of them (see :mod:`vetloom.sources.files`).  The exit code is 0
 if every document was read, 1 if INPUT is missing or a document failed, and 2
 after an error.  ``evaluate TOKENS TRUTH`` compares with labelled files
-(``pan_ground_truth.json`` and so on, of which any may be missing, with a
-warning) and prints the metrics of the eleven fields.  A labelled file name
+(``pan_ground_truth.json`` and so on, of which any may be missing or have broken
+records, with a warning) and prints the metrics of the eleven fields.  A labelled file name
 matches a document whose id ends with it.  The exit code is 0, or 2 after an
 error.  Without a command there is help, and 0.
 """
@@ -62,7 +62,10 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
         if not exists(spark, path):
             print(f"Warning: no labelled file {path}", file=sys.stderr)
             continue
-        rows = evaluate.unpivoted(files.labelled(spark, path, kind), kind)
+        known, broken = files.labelled_apart(spark, path, kind)
+        if n := broken.count():
+            print(f"Warning: {n} broken records in {path}", file=sys.stderr)
+        rows = evaluate.unpivoted(known, kind)
         truth = rows if truth is None else truth.unionByName(rows)
     if truth is None:
         print("[]" if args.output == "json" else "Nothing to evaluate")
@@ -74,7 +77,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
         for r in sinks.metric_lines(metrics).collect():
             print(f"{r.doc_type} {r.gt_key}: {r.line}")
         told = evaluate.summary(metrics).first()
-        print(f"Fields at the target: {told.passing_fields}/{told.total_fields} ({told.pass_rate:.1%}) - {told.verdict}")
+        print("Nothing to evaluate" if told.pass_rate is None else f"Fields at the target: {told.passing_fields}/{told.total_fields} ({told.pass_rate:.1%}) - {told.verdict}")
     return 0
 
 

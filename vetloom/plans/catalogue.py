@@ -305,10 +305,10 @@ def anchors_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Words of documents that are like a keyword: letters alone, of which a text has many.
-_WORDS = r"unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS word"
+_KEYWORD_LIKE = r"unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS word"
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT word FROM (SELECT {_WORDS} FROM documents)), {_ratios(f"SELECT word AS one, k AS two FROM d, ({_KEYS})", similarity.ANCHOR_CUTOFF)}
+@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT word FROM (SELECT {_KEYWORD_LIKE} FROM documents)), {_ratios(f"SELECT word AS one, k AS two FROM d, ({_KEYS})", similarity.ANCHOR_CUTOFF)}
 SELECT one AS word, two AS other, round(ratio, 9) AS ratio FROM ratios""")
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of all documents that are like a keyword."""

@@ -80,6 +80,18 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKENS).parquet(path)
 
 
+def labelled_apart(spark: SparkSession, path: str, doc_type: str) -> tuple[DataFrame, DataFrame]:
+    """A labelled table (JSON files that hold an array of objects each), and (path, record) of what cannot be read.
+
+    An object that does not fit the schema is a record of its own; a file that is
+    no JSON is one as a whole.
+    """
+    kind = TRUTH[doc_type]
+    rows = spark.read.schema(kind.fromJson(kind.jsonValue()).add("_record", "string")).option("multiLine", "true").option("columnNameOfCorruptRecord", "_record").json(path)
+    told = checkpointed(rows.select(*kind.names, "_record", F.col("_metadata.file_path").alias("_path")))
+    return told.filter("_record is null").select(*kind.names), told.filter("_record is not null").select(F.col("_path").alias("path"), F.col("_record").alias("record"))
+
+
 def labelled(spark: SparkSession, path: str, doc_type: str) -> DataFrame:
-    """A labelled table: a JSON file that holds an array of objects."""
-    return spark.read.schema(TRUTH[doc_type]).option("multiLine", "true").json(path)
+    """The labelled table alone."""
+    return labelled_apart(spark, path, doc_type)[0]
