@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.schemas import TOKENS
+from vetloom.session import checkpointed
 
 LETTERS, BASE36 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST, LAST = ["RAVI", "PRIYA", "ARJUN", "MEERA", "KABIR", "ANITA", "VIKRAM"], ["SHARMA", "IYER", "KHAN", "DAS", "MEHTA", "REDDY", "BOSE", "NAIR", "GILL", "PATEL", "JAIN"]
 TYPES = ["Regular", "Composition", "Casual Taxable Person", "SEZ Unit", "SEZ Developer", "Input Service Distributor"]
 BANKS = ["HDFC", "ICIC", "SBIN", "UTIB", "PUNB"]
+#: Customers that a task makes papers of, at most about.
+TASK_CUSTOMERS = 8192
 
 #: Where a kind of paper (0 PAN, 1 GST, 2 bank) has which token: kind, number, x, y, text.
 LAYOUT = [
@@ -127,8 +130,22 @@ class Sql:
 SPARK, DUCK = Sql(True), Sql(False)
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' keys, dealt out by the id of their paper.
+
+    A customer is a few bytes of a file, of which one task may read all, and
+    becomes up to two pages of text.  Dealt out here, it is an id that moves, and
+    what is grouped by document or page later lies together already.  The
+    checkpoint keeps that place, and keeps filters on what is derived from being
+    pushed below the exchange, where few tasks would derive it.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_CUSTOMERS))
+    return checkpointed(keys.repartition(tasks, F.expr("'doc' || CAST(c_custkey AS STRING)")))
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM customer", "FROM {customer}"), customer=customers(spark, sf_dir))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +161,8 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a recogniser would give it: each token has a box of 8 by 12 for each character."""
-    rows = _run(spark, sf_dir, SPARK.tokens())
+    # never null, and so told: of a filter for texts the optimizer would make one for all that they are derived from
+    rows = _run(spark, sf_dir, SPARK.tokens()).withColumn("text", F.coalesce("text", F.lit("")))
     wide = F.col("x") + 8.0 * F.length("text")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     low = F.col("y") + 12.0
