@@ -100,3 +100,17 @@ def test_similar_pairs(spark, cutoff):
 def test_empty_text(spark, empty):
     assert of(spark, [empty], lambda v: text.find(v, "[A-Z]")) == [None]
     assert of(spark, [empty], text.normal) == [""]
+
+
+def test_near_keywords_of_many_pages(spark):
+    rng = random.Random(11)
+    keys = ["NAME", "A/C", "IFSC", "GSTIN", "GST", "ACCOUNT", "REGISTRATION"]
+    word = lambda: "".join(rng.choice([rng.choice(keys), *rng.choices("NAMEGSTIC09é", k=3)]) for _ in range(rng.randint(0, 3)))
+    pages = [[" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 5))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else p) for i, p in enumerate(pages)], "i int, lines array<string>").repartition(2)
+    looked = rows.select("i", similarity.near_keywords(keys)(F.col("lines")).alias("x"), F.transform("lines", similarity.words).alias("w"))
+    assert "ArrowEvalPython" in looked._jdf.queryExecution().executedPlan().toString()  # by batch, so that a word is compared once
+    for r in looked.collect():
+        assert (r.x is None) == (r.i % 7 == 0)
+        for found, parts in zip(r.x or [], r.w or [], strict=True):
+            assert found == sorted({k for k in keys for w in parts if difflib.SequenceMatcher(None, w, k).ratio() >= 0.75})

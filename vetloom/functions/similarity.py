@@ -5,13 +5,18 @@ one, and then in the other string), then those left and right of it, and so on.
 The ratio is twice the length of all blocks over both lengths.  Spark evaluates
 this beside the data, without Python: a loop over a list of pairs of parts that
 are still to be compared.  What two lengths, and the characters that two strings
-share, leave possible is tested first, so that few pairs come to the loop.
+share, leave possible is tested first, so that few pairs come to the loop.  Only
+the keywords of lines are found in Arrow batches, since a batch repeats its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +85,48 @@ def words(text: Column) -> Column:
     return F.transform(F.split(F.upper(text), SPACE), lambda w: F.regexp_replace(w, NO_LETTER, ""))
 
 
+@lru_cache(1 << 16)
+def _reaches(word: str, key: str, cutoff: float) -> bool:
+    return SequenceMatcher(None, word, key, autojunk=False).ratio() >= cutoff
+
+
 def near_keywords(keywords: Sequence[str], cutoff: float = ANCHOR_CUTOFF) -> Callable[[Column], Column]:
-    """A function of a page's lines: for each line, the keywords that one of its words is similar to."""
-    fits = lambda k, n: 2 * min(len(k), n) >= cutoff * (len(k) + n)
-    longest = next(n for n in range(1, 1 << 16) if not any(fits(k, m) for k in keywords for m in (n, n + 1)) and n > max(map(len, keywords)))
-    # the keywords of a length that a word's own length leaves possible, by that length
-    none = F.array().cast("array<string>")
-    of = F.array(*[F.array(*[F.lit(k) for k in sorted(keywords) if fits(k, n)]) if any(fits(k, n) for k in keywords) else none for n in range(longest)])
-    near = lambda w: F.filter(F.coalesce(F.get(of, F.length(w)), none), lambda k: similar(w, k, cutoff))
-    return lambda lines: F.transform(lines, lambda t: F.array_distinct(F.flatten(F.transform(words(F.coalesce(t, F.lit(""))), near))))
+    """A function of a page's lines: for each line, the keywords that one of its words is similar to.
+
+    Papers share their words, so this looks at the distinct words of a batch of
+    pages.  Lengths and shared characters, counted for all of them at once, leave
+    few pairs to compare.
+    """
+    keys = sorted(set(keywords))
+    chars = sorted(set("".join(keys)))
+
+    def of_words(distinct: list[str]) -> np.ndarray:
+        """For each word and keyword, whether they are similar."""
+        counts = np.array([[w.count(c) for c in chars] for w in distinct], dtype=np.int64).reshape(-1, len(chars))
+        sizes = np.array([len(w) for w in distinct], dtype=np.int64)
+        out = np.zeros((len(distinct), len(keys)), dtype=bool)
+        for j, key in enumerate(keys):
+            shared = np.minimum(counts, [key.count(c) for c in chars]).sum(axis=1)
+            for i in np.flatnonzero((2 * shared >= cutoff * (sizes + len(key)) - 1e-6) & (shared > 0)):
+                out[i, j] = _reaches(distinct[i], key, cutoff)
+        return out
+
+    def near(pages: pa.Array) -> pa.Array:
+        lines = pages.flatten()
+        coded = lines.flatten().dictionary_encode()
+        fits = of_words(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        line = np.repeat(np.arange(len(lines)), lines.value_lengths().to_numpy(zero_copy_only=False))
+        some = fits.any(axis=1)[codes] if len(codes) else np.zeros(0, dtype=bool)
+        at, key = np.nonzero(fits[codes[some]])
+        found = np.unique(line[some][at] * len(keys) + key)
+        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        of_line = pa.ListArray.from_arrays(ends(np.bincount(found // len(keys), minlength=len(lines))), pa.array(keys).take(pa.array(found % len(keys))))
+        return pa.ListArray.from_arrays(ends(pages.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), of_line, mask=pages.is_null())
+
+    near.__annotations__ = {"pages": pa.Array, "return": pa.Array}  # objects, not their names: Spark reads them
+    by_batch = F.arrow_udf(near, "array<array<string>>")
+    return lambda lines: by_batch(F.transform(lines, lambda t: words(F.coalesce(t, F.lit("")))))
 
 
 def closest(domain: Sequence[str], cutoff: float = SNAP_CUTOFF) -> Callable[[Column], Column]:
