@@ -222,3 +222,11 @@ def test_evaluation(spark):
     assert (summary.passing_fields, summary.total_fields, summary.verdict) == (0, 3, "NEEDS IMPROVEMENT")
     halves = spark.createDataFrame([("a", "b", 1, 15, 0), ("a", "c", 3, 13, 0)], "doc_type string, gt_key string, tp long, fp long, fn long")
     assert [r.precision for r in evaluate.metrics(halves).orderBy("gt_key").collect()] == [0.062, 0.188]
+
+
+def test_a_line_is_put_in_upper_case_once(spark):
+    pages = spark.createDataFrame([("d", 1, [("Gstin no",), ("x",)])], "doc_id string, page_no int, lines array<struct<text:string>>")
+    marked = layout.marked(pages, ["GSTIN", "NO"], fuzzy=False)
+    assert marked.first().marks == [["GSTIN", "NO"], []]
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(upper" not in plan and plan.count("upper(") == 1

@@ -89,7 +89,8 @@ def pages(tokens: DataFrame) -> DataFrame:
 def marked(pages_: DataFrame, keywords: list[str], fuzzy: bool = True) -> DataFrame:
     """Adds ``marks``: for each line, the keywords that occur in it or, if fuzzy, that a word of it is similar to."""
     words = F.array(*[F.lit(k) for k in keywords])
-    inside = F.transform("lines", lambda line: F.filter(words, lambda k: F.contains(F.upper(line["text"]), k)))
+    upper = F.transform("lines", lambda line: F.upper(line["text"]))  # once for a line, not for each keyword
+    inside = F.transform(upper, lambda text: F.filter(words, lambda k: F.contains(text, k)))
     if not fuzzy:
         return pages_.withColumn("marks", inside)
     near = pages_.withColumn("_near", near_keywords(keywords)(F.col("lines.text")))
