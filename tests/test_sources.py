@@ -1,9 +1,13 @@
 """Files, recognisers, reports, and the registry that a stream feeds."""
 
 import json
+from collections import Counter
 
+from pyspark.sql import functions as F
+
+from vetloom.plans import catalogue
 from vetloom.schemas import VENDORS
-from vetloom.sources import clients, files, sinks
+from vetloom.sources import clients, files, listing, sinks
 from vetloom.streaming.extraction import extract_files
 from vetloom.streaming.registry import Registry
 from tests.test_operators import results, vendor
@@ -36,6 +40,28 @@ def test_uploads_and_recogniser(spark, tmp_path):
     assert [r.doc_id.rsplit("/", 1)[1] for r in tokens.filter("page_no is null").collect()] == ["e.png"]
 
 
+def test_folders_and_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    for folder in "abcd":
+        (tmp_path / folder).mkdir()
+        for i in range(3):
+            (tmp_path / folder / f"{i}.png").write_text(folder)
+    monkeypatch.setattr(listing, "BATCH_FILES", 2)
+    monkeypatch.setattr(listing, "TASK_FILES", 1)
+    found = listing.listed(spark, str(tmp_path))
+    told = found.select(F.spark_partition_id().alias("task"), F.element_at(F.split("path", "/"), -2).alias("folder")).collect()
+    assert len(told) == 12 and len({(r.task, r.folder) for r in told}) == len({r.task for r in told}) == 4  # a task for each folder
+    read = listing.contents(found)
+    assert read.rdd.getNumPartitions() == 12 and Counter(bytes(r.content) for r in read.collect()) == dict.fromkeys((b"a", b"b", b"c", b"d"), 3)
+
+
+def test_uploads_are_written_by_many_tasks(spark, small_dir, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(catalogue, "stored", lambda df: tasks.append(df.rdd.getNumPartitions()))
+    monkeypatch.setattr(files, "uploads", lambda spark, folder: (spark.createDataFrame([], "path string, content binary"), spark.createDataFrame([], "path string, message string")))
+    catalogue.uploaded_files(spark, small_dir)
+    assert tasks[0] >= 8  # the table is one small file, of which one task would write all
+
+
 def test_extraction_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

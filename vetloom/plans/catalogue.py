@@ -542,9 +542,10 @@ _CONTENT = "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END"
 
 def _saved(folder: str):
     def save(batches):
+        client = clients.FolderClient(folder)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                clients.FolderClient(folder).write(name, content)
+                client.write(name, content)
             yield batch.select([0])
 
     return save
@@ -555,7 +556,7 @@ CASE WHEN c_custkey % 5 <> 2 AND {_CONTENT} <> '' THEN {_CONTENT} END AS content
 def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of a folder is taken with its content or refused with a message."""
     folder = f"{shared_folder(spark)}/uploads/{uuid.uuid4().hex}"
-    stored(table(spark, sf_dir, "customer").selectExpr(f"{_FILE} AS name", f"{_CONTENT} AS content").mapInArrow(_saved(folder), "name string"))
+    stored(corpus.customers(spark, sf_dir, "c_name").selectExpr(f"{_FILE} AS name", f"{_CONTENT} AS content").mapInArrow(_saved(folder), "name string"))
     taken, refused = files.uploads(spark, folder)
     rows = taken.select("path", F.lit(None).cast("string").alias("message"), F.col("content").cast("string").alias("content")).unionByName(refused.withColumn("content", F.lit(None).cast("string")))
     return rows.select(F.regexp_extract("path", "([0-6]/[^/]*)$", 1).alias("name"), "message", "content")

@@ -130,8 +130,8 @@ class Sql:
 SPARK, DUCK = Sql(True), Sql(False)
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers' keys, dealt out by the id of their paper.
+def customers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The customers' keys (and other columns), dealt out by the id of their paper.
 
     A customer is a few bytes of a file, of which one task may read all, and
     becomes up to two pages of text.  Dealt out here, it is an id that moves, and
@@ -139,7 +139,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint keeps that place, and keeps filters on what is derived from being
     pushed below the exchange, where few tasks would derive it.
     """
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", *more)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_CUSTOMERS))
     return checkpointed(keys.repartition(tasks, F.expr("'doc' || CAST(c_custkey AS STRING)")))
 

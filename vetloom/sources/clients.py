@@ -88,8 +88,12 @@ class FolderClient:
     def write(self, name: str, text: str) -> None:
         """Writes a file of the folder."""
         path = f"{self.root}/{name}"
-        self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with self.fs.open_output_stream(path) as out:
+        try:
+            out = self.fs.open_output_stream(path)
+        except FileNotFoundError:  # the first file of a folder
+            self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            out = self.fs.open_output_stream(path)
+        with out:
             out.write(text.encode())
 
     def health_check(self) -> bool:

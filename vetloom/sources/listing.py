@@ -18,6 +18,8 @@ from vetloom.session import checkpointed
 
 #: Bytes of files that a task reads, about, and those that are handed on at once.
 TASK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Files that a task reads, about, and those of a folder that are handed on at once.
+TASK_FILES, BATCH_FILES = 8192, 8192
 
 
 def _at(uri: str):
@@ -38,9 +40,11 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, root = _at(uri)
             (mine,) = system.get_file_info([root])
             found = system.get_file_info(fs.FileSelector(root)) if mine.type == fs.FileType.Directory else [mine] if mine.type == fs.FileType.File else []
-            paths = [uri.rstrip("/") + x.path[len(root.rstrip("/")) :] for x in found]
-            folder = [x.type == fs.FileType.Directory for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array(folder, pa.bool_())], ["path", "length", "folder"])
+            for start in range(0, len(found), BATCH_FILES):
+                some = found[start : start + BATCH_FILES]
+                paths = [uri.rstrip("/") + x.path[len(root.rstrip("/")) :] for x in some]
+                folder = [x.type == fs.FileType.Directory for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x.size or 0 for x in some], pa.int64()), pa.array(folder, pa.bool_())], ["path", "length", "folder"])
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,13 +52,16 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     level, done = spark.createDataFrame([(root,)], "path string"), None
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     while True:
         found = checkpointed(level.mapInArrow(_lists, "path string, length long, folder boolean"))
         files = found.filter("not folder").drop("folder")
         done = files if done is None else done.unionByName(files)
-        level = found.filter("folder").select("path").repartition("path")
-        if level.isEmpty():
+        folders = found.filter("folder").select("path")
+        if not (n := folders.count()):
             return done
+        # the number is told: a few folders are few bytes, and would else be put together, however many files they have
+        level = folders.repartition(min(n, most))
 
 
 def contents(files: DataFrame) -> DataFrame:
@@ -73,6 +80,6 @@ def contents(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*batch.slice(start, len(blobs)).columns, pa.array(blobs, pa.binary())], [*names, "content"])
                     start, size, blobs = i + 1, 0, []
 
-    total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
-    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    total = files.agg(F.sum("length").alias("bytes"), F.count("*").alias("files")).first()
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // TASK_BYTES), -(-total["files"] // TASK_FILES))
     return files.repartition(tasks, "path").mapInArrow(read, files.schema.fromJson(files.schema.jsonValue()).add("content", "binary"))
