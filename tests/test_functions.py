@@ -96,6 +96,21 @@ def test_similar_pairs(spark, cutoff):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_similar_pairs_of_few_and_many_words(spark, few, monkeypatch):
+    rng = random.Random(few)
+    kept = similarity.checkpointed
+    plans = []
+    monkeypatch.setattr(similarity, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    keys = ["NAME", "AAAA", "ÄÖ\u0394\u03b4", "a", "!A", "REGISTRATION", "\U0001f600\U0001f601B"]
+    words = ["".join(rng.choices([*rng.choice(keys), "A", "a", "\u0394"], k=rng.randint(1, 9))) for _ in range(300)] + keys
+    keys += [f"NAMED{i}" for i in range(9)]
+    got = similarity.similar_pairs(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(k,) for k in keys], "other string"), 0.7, few)
+    assert sorted(map(tuple, got.collect())) == sorted({(w, k, x) for w in words for k in keys if (x := difflib.SequenceMatcher(None, w, k, autojunk=False).ratio()) >= 0.7})
+    # a word is tried with few others without substrings that move; the loop runs for each pair once, after it is dealt out
+    assert ("BroadcastNestedLoopJoin" if few else "SortMergeJoin") in plans[-1] and ("Generate explode" in plans[-1]) == (not few) and "instr(" not in plans[-1]
+
+
 @pytest.mark.parametrize("empty", ["", None])
 def test_empty_text(spark, empty):
     assert of(spark, [empty], lambda v: text.find(v, "[A-Z]")) == [None]

@@ -20,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetloom.session import checkpointed
+
 ANCHOR_CUTOFF, SNAP_CUTOFF = 0.75, 0.6
 #: Characters that words are split at, and what is dropped from them.
 SPACE, NO_LETTER = r"[\s\x1c-\x1f\x85\p{Z}]+", r"[^\p{L}\p{N}_]"
+#: Words that each other word is compared with; more of them meet by the substrings that they share.
+FEW = 1024
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -140,20 +144,38 @@ def closest(domain: Sequence[str], cutoff: float = SNAP_CUTOFF) -> Callable[[Col
     return snap
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = ANCHOR_CUTOFF) -> DataFrame:
+def _marks(text: Column) -> Column:
+    """64 bits of a word: of each of 32 sorts of characters, whether it has one, and whether it has two."""
+
+    def mark(held: Column, char: Column) -> Column:
+        shift = lambda bit, n: F.call_function("shiftleft", bit, n)
+        once = shift(F.lit(1).cast("long"), F.pmod(F.ascii(char), F.lit(32)).cast("int"))
+        return held.bitwiseOR(F.when(held.bitwiseAND(once) != 0, shift(once, F.lit(32))).otherwise(once))
+
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), mark)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = ANCHOR_CUTOFF, few: int = FEW) -> DataFrame:
     """(word, other, ratio) of all pairs of distinct words (column ``word`` of ``left``, ``other`` of ``right``) whose ratio reaches the cutoff.
 
-    In such a pair of n and o characters at least m match.  Two blocks have a
-    character between them that does not, in one word or the other, so there are
-    ``n + o - 2m + 1`` blocks at most, and one has ``m / (n + o - 2m + 1)``
-    characters.  So words meet in an equi-join on both lengths and a substring of
-    that length; characters that they share then leave few for the loop.  Null
-    and empty words are left out.
+    In such a pair of n and o characters at least m match.  So a word has n - m
+    characters at most that the other has not, and no more bits of its marks.
+    Where ``right`` has few words, each word of ``left`` is tried with all of them:
+    two lengths and two numbers to compare.
+
+    Where it has more, words meet first.  Two blocks have a character between them
+    that does not match, in one word or the other, so there are ``n + o - 2m + 1``
+    blocks at most, and one has ``m / (n + o - 2m + 1)`` characters: an equi-join
+    on both lengths and a substring of that length.  Few pairs are left for the
+    loop.  Null and empty words are left out.
     """
     # lengths that leave the ratio possible, and one more on each side for the rounding of doubles
     near = lambda n: F.sequence(F.greatest(F.lit(1), F.floor(n * F.lit(cutoff / (2 - cutoff))).cast("int")), F.ceil(n * F.lit((2 - cutoff) / cutoff)).cast("int"))
-    one = left.select("word").filter("word <> ''").distinct().withColumn("n", F.length("word"))
-    two = right.select("other").filter("other <> ''").distinct().withColumn("o", F.length("other"))
+    one = left.select("word").filter("word <> ''").distinct().withColumn("n", F.length("word")).withColumn("_a", _marks(F.col("word")))
+    two = checkpointed(right.select("other").filter("other <> ''").distinct().withColumn("o", F.length("other")).withColumn("_b", _marks(F.col("other"))))
+    least = F.lit(cutoff) * (F.col("n") + F.col("o")) / 2 - 1e-6  # for the rounding of doubles
+    without = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    close = (F.least("n", "o") >= least) & (F.col("n") - without("_a", "_b") >= least) & (F.col("o") - without("_b", "_a") >= least)
 
     def block(n: Column, o: Column) -> Column:
         m = F.ceil(F.lit(cutoff) * (n + o) / 2)
@@ -161,5 +183,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = ANCHOR_CUTO
 
     grams = lambda text, size: F.when(size <= F.length(text), F.array_distinct(F.transform(_upto(F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, size))))
     cut = lambda rows, word, length, other: rows.withColumn(other, F.explode(near(F.col(length)))).withColumn("gram", F.explode(grams(F.col(word), block(F.col("n"), F.col("o")))))
-    pairs = cut(one, "word", "n", "o").join(cut(two, "other", "o", "n"), ["n", "o", "gram"]).select("word", "other").distinct().filter(_possible(F.col("word"), F.col("other"), cutoff))
+    if two.count() <= few:
+        pairs = one.join(F.broadcast(two), close).select("word", "other")
+    else:  # the sizes of substrings are not foreseen: neither side is to be broadcast by a guess
+        pairs = cut(one, "word", "n", "o").hint("merge").join(cut(two, "other", "o", "n"), ["n", "o", "gram"]).filter(close).select("word", "other").distinct()
+    # the loop is dear, and pairs are few bytes: a filter for its outcome would be made part of the join, and run for each
+    # substring, and without a number of tasks one would take all pairs
+    tasks = 2 * left.sparkSession.sparkContext.defaultParallelism
+    pairs = checkpointed(pairs.repartition(tasks, "word", "other")).filter(_possible(F.col("word"), F.col("other"), cutoff))
     return pairs.withColumn("ratio", ratio(F.col("word"), F.col("other"))).filter(F.col("ratio") >= cutoff)

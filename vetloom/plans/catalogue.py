@@ -312,7 +312,7 @@ _KEYWORD_LIKE = r"unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS word"
 SELECT one AS word, two AS other, round(ratio, 9) AS ratio FROM ratios""")
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of all documents that are like a keyword."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]+"), F.lit(0))).alias("word"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]+"), F.lit(0)))).alias("word"))
     keys = spark.createDataFrame([(k,) for k in extract.KEYWORDS], "other string")
     return similarity.similar_pairs(words, keys).withColumn("ratio", F.round("ratio", 9))
 
