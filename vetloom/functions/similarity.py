@@ -152,7 +152,8 @@ def _marks(text: Column) -> Column:
         once = shift(F.lit(1).cast("long"), F.pmod(F.ascii(char), F.lit(32)).cast("int"))
         return held.bitwiseOR(F.when(held.bitwiseAND(once) != 0, shift(once, F.lit(32))).otherwise(once))
 
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), mark)
+    # never null, and so told: of a join on marks the optimizer would make a filter for all that words are derived from
+    return F.coalesce(F.aggregate(F.split(text, ""), F.lit(0).cast("long"), mark), F.lit(0).cast("long"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = ANCHOR_CUTOFF, few: int = FEW) -> DataFrame:
